@@ -19,10 +19,14 @@ def fill_with_series_median(panel: DataFrame) -> DataFrame:
 
 
 def _neighbours(pos: str, value: str, part=ID):
-    w = W.partitionBy(part).orderBy(pos)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))
-    return F.last(seen, True).over(back), F.first(seen, True).over(ahead)
+    return _latest(seen, F.col(pos).asc(), part), _latest(seen, F.col(pos).desc(), part)
+
+
+def _latest(seen: Column, order: Column, part=ID) -> Column:
+    """Last non-NULL so far. The look-ahead uses the reversed order: a frame from the current row to the end
+    would be evaluated anew for every row."""
+    return F.last(seen, True).over(W.partitionBy(part).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
 
 
 def _lerp(pos: str) -> Column:
@@ -85,10 +89,8 @@ def impute_by_sparsity(panel: DataFrame, threshold: float = 0.3) -> DataFrame:
     med = day_quantiles(panel, "value", {"day_median": 0.5})
     days = dense.join(med, DAY, "left").select(DAY, "dense", "dpos", "day_median")
     base = panel.join(F.broadcast(days), DAY).withColumn("_dv", F.when(F.col("dense"), F.col("value")))
-    w = W.partitionBy(ID).orderBy(DAY)
     seen = F.when(F.col("_dv").isNotNull(), F.struct(F.col("dpos").alias("p"), F.col("_dv").alias("v")))
-    base = base.withColumn("_b", F.last(seen, True).over(w.rowsBetween(W.unboundedPreceding, 0))) \
-        .withColumn("_n", F.first(seen, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    base = base.withColumn("_b", _latest(seen, F.col(DAY).asc())).withColumn("_n", _latest(seen, F.col(DAY).desc()))
     val = F.when(F.col("dense"), F.coalesce("value", _lerp("dpos"))).otherwise(F.coalesce("value", "day_median"))
     first = base.withColumn("filled", val).drop("_b", "_n", "_dv", "dpos")
     return first.withColumn("filled", F.coalesce("filled", "day_median", F.lit(0.0)))

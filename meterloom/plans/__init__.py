@@ -1,7 +1,7 @@
 """Query definitions. Importing a module registers its queries in `catalog`."""
 import importlib
 
-MODULES = ["panel_plans"]
+MODULES = ["panel_plans", "series_plans", "shape_plans", "runs_plans"]
 
 
 def load_all() -> None:

@@ -1,14 +1,13 @@
 """Sources, densification, cleaning and resampling (inventory A and B)."""
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.numeric import rounded
 from ..operators import clean as C, panel as P
 from ..operators.folds import series_folds
+from ..session import cut_lineage
 from ..sources import pool as SP, sinks, tables as T, wide
 from .catalog import query
 from .sqlbase import FOLDS, PANEL, READINGS, SCORES, rnd, sel
@@ -248,7 +247,8 @@ ma AS (SELECT day_idx, med, quantile_cont(abs(filled - med), 0.5) AS mad FROM ga
 cl AS (SELECT series_id, day_idx, CASE WHEN mad > 0 THEN least(greatest(filled, med - 5 * mad), med + 5 * mad) ELSE filled END
        AS clipped FROM gated JOIN ma USING (day_idx))""", "cl", "series_id, day_idx", "clipped"))
 def _(spark, sf):
-    x = C.impute_by_sparsity(weekly_panel(spark, sf)).select("series_id", "day_idx", "filled")
+    # imputed values are read four times by the two quantile passes: materialize them once
+    x = cut_lineage(C.impute_by_sparsity(weekly_panel(spark, sf)).select("series_id", "day_idx", "filled"))
     return rounded(C.clip_to_day_mad(x, "filled").select("series_id", "day_idx", "clipped"))
 
 
