@@ -50,8 +50,8 @@ def _(spark, sf):
 @query("distribution_shape", "E-5", sel(OBSERVED + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value) AS i, avg(value) OVER s AS mu, stddev_pop(value) OVER s AS sd, avg(ln(value + 1e-6)) OVER s AS lm, stddev_pop(ln(value + 1e-6)) OVER s AS ls, min(value) OVER s AS lo, max(value) OVER s AS hi, least(50, n // 5) AS b
   FROM observed WINDOW s AS (PARTITION BY series_id)),
-h AS (SELECT series_id, least(floor((value - lo) * b / (hi - lo)), b - 1) AS c, count(*) / (any_value(n) * (any_value(hi) - any_value(lo)) / any_value(b)) AS dens, any_value(lo) + (least(floor((value - lo) * b / (hi - lo)), b - 1) + 0.5) * (any_value(hi) - any_value(lo)) / any_value(b) AS mid,
-  any_value(mu) AS mu, any_value(sd) AS sd, any_value(lm) AS lm, any_value(ls) AS ls, any_value(b) AS b FROM o GROUP BY ALL),
+oc AS (SELECT *, least(floor((value - lo) * b / (hi - lo)), b - 1) AS c, (hi - lo) / b AS wd FROM o),
+h AS (SELECT series_id, c, count(*) / any_value(n * wd) AS dens, any_value(lo + (c + 0.5) * wd) AS mid, any_value(mu) AS mu, any_value(sd) AS sd, any_value(lm) AS lm, any_value(ls) AS ls, any_value(b) AS b FROM oc GROUP BY series_id, c),
 hh AS (SELECT series_id, sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-((mid - mu) / (sd + 1e-6)) ** 2 / 2) / ((sd + 1e-6) * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_normal,
   sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-((ln(mid) - lm) / ls) ** 2 / 2) / (mid * ls * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_lognormal FROM h GROUP BY 1),
 g AS (SELECT series_id, (2 * sum(i * value) - (count(*) + 1) * sum(value)) / (count(*) * sum(value) + 1e-6) AS gini, count(*) AS n, avg(((value - mu) / sd) ** 3) AS sk, avg(((value - mu) / sd) ** 4) - 3 AS ku,
@@ -262,7 +262,7 @@ _EDGES = "[" + ", ".join(f"0.001 * 500.0 ** ({i} / 10.0)" for i in range(11)) +
 
 
 @query("log_band_features", "G-4", sel(SPEC + f""",
-s AS (SELECT *, sum(power) OVER (PARTITION BY series_id) + 1e-10 AS t, sqrt(power) AS a, len(list_filter({_EDGES}, e -> e <= freq)) - 1 AS band FROM spec),
+s AS (SELECT *, sum(power) OVER (PARTITION BY series_id) + 1e-10 AS t, sqrt(power) AS a, len(list_filter({_EDGES}, lambda e: e <= freq)) - 1 AS band FROM spec),
 c AS (SELECT *, sum(freq * a) OVER w / (sum(a) OVER w + 1e-10) AS c FROM s WHERE band >= 0 AND band < 10 WINDOW w AS (PARTITION BY series_id, band))""", "c GROUP BY ALL HAVING count(*) >= 2", "series_id, CAST(band AS INTEGER) AS band",
                                        [("sum(power) / any_value(t)", "energy"), ("any_value(c)", "centroid"), ("sqrt(sum((freq - c) ** 2 * a) / (sum(a) + 1e-10))", "spread")], 5))
 def _(spark, sf):
