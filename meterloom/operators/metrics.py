@@ -6,30 +6,39 @@ that every table has (groups x grid) rows. Rank questions use `running_totals`,
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import div, entropy_term
+from ..functions.numeric import div
 from .ranking import exact_quantiles, running_totals
 
-Grid = tuple[int, int, int]           # start, stop (exclusive), step in thousandths
+Grid = tuple[int, ...]                # start, stop (exclusive), step and, if not thousandths, the denominator
 GRID: Grid = (50, 950, 5)
 RECALL_GRID: Grid = (20, 950, 5)
+FINE_GRID: Grid = (198, 19603, 98, 19800)  # 199 even steps from 0.01 to 0.99
 
 
 def grid_size(g: Grid) -> int:
-    return len(range(*g))
+    return len(range(*g[:3]))
+
+
+def grid_scale(g: Grid) -> float:
+    return float(g[3]) if len(g) > 3 else 1000.0
 
 
 def grid_value(g: Grid, j: Column) -> Column:
-    return (F.lit(g[0]) + j * g[2]) / F.lit(1000.0)
+    return (F.lit(g[0]) + j * g[2]) / F.lit(grid_scale(g))
+
+
+def grid_values(g: Grid) -> np.ndarray:
+    return np.arange(*g[:3]) / grid_scale(g)
 
 
 def grid_bucket(p: Column, g: Grid, inclusive: bool = False) -> Column:
     """How many grid thresholds lie below p (or at p, when inclusive): the score passes exactly those."""
-    est = F.floor((p * 1000.0 - g[0]) / g[2]).cast("int")
+    est = F.floor((p * grid_scale(g) - g[0]) / g[2]).cast("int")
 
     def passes(j):
         return grid_value(g, j) <= p if inclusive else grid_value(g, j) < p
@@ -45,6 +54,11 @@ def threshold_table(scores: DataFrame, by: list[str] | None = None, grid: Grid =
     src = scores if by else scores.withColumn("_g", F.lit(0))
     h = src.groupBy(*keys, grid_bucket(F.col("p"), grid, inclusive).alias("b")).agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return table_from_histogram(h, keys, grid).drop(*([] if by else ["_g"]))
+
+
+def table_from_histogram(h: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+    """Counts above every threshold from (keys, b, pos, neg) cells."""
     cells = h.groupBy(*keys).agg(F.collect_list(F.struct("b", "pos", "neg")).alias("h"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     k = grid_size(grid)
     t = cells.select(*keys, "n_pos", "n_neg", "h", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))  # at most k+1 cells per group
@@ -52,7 +66,7 @@ def threshold_table(scores: DataFrame, by: list[str] | None = None, grid: Grid =
     def above(field):
         return F.aggregate(F.filter("h", lambda c: c["b"] > F.col("j")), F.lit(0).cast("bigint"), lambda a, c: a + c[field])
 
-    t = t.select(*by, "j", grid_value(grid, F.col("j")).alias("th"), above("pos").alias("tp"), above("neg").alias("fp"), "n_pos", "n_neg")
+    t = t.select(*keys, "j", grid_value(grid, F.col("j")).alias("th"), above("pos").alias("tp"), above("neg").alias("fp"), "n_pos", "n_neg")
     return t.withColumn("fn", F.col("n_pos") - F.col("tp")).withColumn("tn", F.col("n_neg") - F.col("fp"))
 
 

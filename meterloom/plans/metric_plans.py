@@ -27,9 +27,9 @@ def grid_sql(src: str, by: str, lo: int = 50, hi: int = 950, step: int = 5, op:
 def best_sql(by: str, where: str = "tp + fp > 0", obj: str = "f1", cols: str = "f1, recall, precision", cte: str = "best", grid: str = "grid") -> str:
     keys = f"{by}, " if by else ""
     grp = f"GROUP BY {by}" if by else ""
-    b = f"arg_max(struct_pack(th, {cols}), struct_pack(a := {obj}, b := -th)) FILTER ({where} AND {obj} > 0)"
-    out = ", ".join(f"coalesce(b.{c.strip()}, 0) AS {c.strip()}" for c in cols.split(","))
-    return f"{cte}_a AS (SELECT {keys}{b} AS b FROM {grid} {grp}),\n{cte} AS (SELECT {keys}coalesce(b.th, 0.5) AS threshold, {out} FROM {cte}_a)"
+    b = f"arg_max(struct_pack(th := th, {", ".join(f"{c.strip()} := {c.strip()}" for c in cols.split(","))}), struct_pack(a := {obj}, b := -th)) FILTER ({where} AND {obj} > 0)"
+    out = ", ".join(f"coalesce(bst.{c.strip()}, 0) AS {c.strip()}" for c in cols.split(","))
+    return f"{cte}_a AS (SELECT {keys}{b} AS bst FROM {grid} {grp}),\n{cte} AS (SELECT {keys}coalesce(bst.th, 0.5) AS threshold, {out} FROM {cte}_a)"
 
 
 def auc_sql(src: str, by: str, cte: str = "auc") -> str:
@@ -384,7 +384,7 @@ TARGETS = [.80, .83, .85, .88, .90, .92, .95]
 
 @query("recall_ceiling", "J-24", sel(SCORES + f""",
 pr AS (SELECT model, p, row_number() OVER (PARTITION BY model ORDER BY p DESC) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM scores WHERE y = 1),
-th AS (SELECT model, target, CAST(floor(any_value(n) * target + 1e-9) AS BIGINT) AS k, any_value(n) AS n, max(p) FILTER (r = least(CAST(floor(n * target + 1e-9) AS BIGINT), n - 1)) AS threshold FROM pr, (VALUES {", ".join(f"({t}::DOUBLE)" for t in TARGETS)}) t(target) GROUP BY ALL),
+th AS (SELECT model, target, CAST(floor(any_value(n) * target + 1e-9) AS BIGINT) AS k, any_value(n) AS n, max(p) FILTER (r = least(CAST(floor(n * target + 1e-9) AS BIGINT), n - 1)) AS threshold FROM pr, (VALUES {", ".join(f"({t}::DOUBLE)" for t in TARGETS)}) t(target) GROUP BY model, target),
 fp AS (SELECT th.model, target, count(s.id) AS fp FROM th LEFT JOIN scores s ON s.model = th.model AND s.y = 0 AND s.p >= threshold GROUP BY ALL)""", "th JOIN fp USING (model, target)", "model, k AS tp, fp, n - k AS fn",
                                      ["target", "threshold", ("2 * k / (2 * k + fp + n - k)::DOUBLE", "f1")]))
 def _(spark, sf):

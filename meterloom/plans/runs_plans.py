@@ -52,8 +52,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value) AS i,
   FROM observed WINDOW s AS (PARTITION BY series_id)),
 oc AS (SELECT *, least(floor((value - lo) * b / (hi - lo)), b - 1) AS c, (hi - lo) / b AS wd FROM o),
 h AS (SELECT series_id, c, count(*) / any_value(n * wd) AS dens, any_value(lo + (c + 0.5) * wd) AS mid, any_value(mu) AS mu, any_value(sd) AS sd, any_value(lm) AS lm, any_value(ls) AS ls, any_value(b) AS b FROM oc GROUP BY series_id, c),
-hh AS (SELECT series_id, sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-((mid - mu) / (sd + 1e-6)) ** 2 / 2) / ((sd + 1e-6) * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_normal,
-  sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-((ln(mid) - lm) / ls) ** 2 / 2) / (mid * ls * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_lognormal FROM h GROUP BY 1),
+hh AS (SELECT series_id, sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-pow((mid - mu) / (sd + 1e-6), 2) / 2) / ((sd + 1e-6) * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_normal,
+  sqrt(greatest(0, 1 - sum(sqrt(dens * exp(-pow((ln(mid) - lm) / ls, 2) / 2) / (mid * ls * sqrt(2 * pi())) + 1e-10)) - (any_value(b) - count(*)) * 1e-5)) AS hellinger_lognormal FROM h GROUP BY 1),
 g AS (SELECT series_id, (2 * sum(i * value) - (count(*) + 1) * sum(value)) / (count(*) * sum(value) + 1e-6) AS gini, count(*) AS n, avg(((value - mu) / sd) ** 3) AS sk, avg(((value - mu) / sd) ** 4) - 3 AS ku,
   quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS c FROM o GROUP BY 1),
 ms AS (SELECT series_id, avg((value <= m)::INT) AS mass_below_median FROM o JOIN g USING (series_id) GROUP BY 1)""", "g JOIN hh USING (series_id) JOIN ms USING (series_id)", "series_id",
