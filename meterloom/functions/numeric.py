@@ -41,3 +41,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             c = F.round(c.cast("double"), digits).alias(f.name)
         out.append(c)
     return df.select(*out)
+
+
+def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a column that the optimizer does not inline into lambdas, where it would be evaluated once per element."""
+    return df.withColumn(name, F.explode(F.array(expr)))

@@ -44,7 +44,7 @@ def isolation_scores(df: DataFrame, trees: int = 200, sample: int = 256, seed: i
     w = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "id", "tree"))
     picked = picked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= take)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         out = grow(np.stack(pdf.vec.to_numpy()), np.random.default_rng([seed, int(key[0])]))
         t = pd.DataFrame(out, columns=["node", "feature", "cut", "left", "right", "path"])

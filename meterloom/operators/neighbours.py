@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.numeric import div
+from ..functions.numeric import pin
 
 BLOCK_ROWS = 1024
 KEEP_ROWS = 200_000     # query rows whose best candidates a task holds before it emits them
@@ -113,8 +113,8 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
 
 def unit_vectors(df: DataFrame) -> DataFrame:
     """L2-normalized vectors: Euclidean order equals cosine order, cosine distance = dist^2 / 2."""
-    n = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn("vec", F.when(n > 0, F.transform("vec", lambda x: x / n)).otherwise(F.col("vec")))
+    x = pin(df, "_n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
+    return x.withColumn("vec", F.when(F.col("_n") > 0, F.transform("vec", lambda x: x / F.col("_n"))).otherwise(F.col("vec"))).drop("_n")
 
 
 def cosine_graph(df: DataFrame, k: int) -> DataFrame:

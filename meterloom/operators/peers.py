@@ -79,22 +79,16 @@ def normalize_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     return x.withColumn("combined", sum((F.col(f"{c}_n") for c in cols[1:]), F.col(f"{cols[0]}_n")) / len(cols)).drop("_b")
 
 
-def standardized_arrays(arrays: DataFrame) -> DataFrame:
-    """x minus its mean over its deviation, per array."""
-    n = F.size("x")
-    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
-    a = arrays.withColumn("_m", mean)
-    a = a.withColumn("_s", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + (v - F.col("_m")) * (v - F.col("_m"))) / n))
-    return a.select(ID, F.transform("x", lambda v: (v - F.col("_m")) / (F.col("_s") + 1e-6)).alias("x"))
-
-
 def right_vectors(arrays: DataFrame, k: int) -> np.ndarray:
-    """Top-k right singular vectors (days x k): the days x days Gram matrix is summed over tasks, days are bounded."""
-    from pyspark.mllib.linalg import Vectors
+    """Top-k right singular vectors (days x k). One pass sums the days x days Gram matrix in a tree; its size is bounded
+    by the calendar, and its eigenvectors are the singular vectors."""
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    m = RowMatrix(arrays.select("x").rdd.map(lambda r: Vectors.dense(r.x)))
-    return m.computeSVD(k, computeU=False).V.toArray()
+    rows = MLUtils.convertVectorColumnsFromML(arrays.select(array_to_vector("x").alias("x")), "x")
+    values, vectors = np.linalg.eigh(RowMatrix(rows).computeGramianMatrix().toArray())
+    return np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][:k]])
 
 
 def low_rank_residual(arrays: DataFrame, v: np.ndarray) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import div
+from ..functions.numeric import div, pin
 from . import metrics as M
 from .ranking import running_totals
 
@@ -333,7 +333,7 @@ def consensus_labels(m: DataFrame, width: int, threshold: float = 0.5, needed: i
 def leave_one_out_consensus(m: DataFrame, width: int, threshold: float = 0.5) -> DataFrame:
     """Consensus without each model in turn = all votes minus its own; final label by their majority."""
     need = (width - 1) // 2 + 1
-    x = m.withColumn("n_votes", votes(threshold))
+    x = pin(m, "n_votes", votes(threshold))
     loo = F.transform("p", lambda v: (F.col("n_votes") - (v > threshold).cast("int") >= need).cast("int"))
     x = x.withColumn("loo", loo)
     share = F.aggregate("loo", F.lit(0), lambda a, v: a + v) / float(width)

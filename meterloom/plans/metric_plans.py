@@ -457,3 +457,8 @@ def _(spark, sf):
                                     "cf", "model, fold, n, tp, fp, fn, tn", [("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)", "f1"), ("coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)", "recall"), ("coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)", "precision")]))
 def _(spark, sf):
     return rounded(M.with_rates(M.confusion(scored_folds(spark, sf, FEW), ["model", "fold"])))
+
+
+def with_subgroup_of(x):
+    """Usage quintile of the largest value."""
+    return M.with_subgroup(x, "log_max")

@@ -10,7 +10,6 @@ from ..session import cut_lineage
 from ..sources import tables as T
 from .catalog import query
 from .metric_plans import ID_FOLDS
-from .runs_plans import weekly_arrays
 from .series_plans import TIERS, series_means
 from .shape_plans import cohorts
 from .sqlbase import PANEL, READINGS, sel
@@ -98,7 +97,8 @@ def _(spark, sf):
 
 
 def weekly_residual(spark, sf):
-    a = cut_lineage(PE.standardized_arrays(weekly_arrays(spark, sf)))
+    # week_z is already centred and scaled per series
+    a = cut_lineage(P.series_arrays(C.weekly(T.filled(spark, sf)), "week_z", "week"))
     n = a.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     return PE.low_rank_residual(a, PE.right_vectors(a, min(20, min(n) - 1)))
 
