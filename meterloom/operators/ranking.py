@@ -78,13 +78,19 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
         base = base.withColumn("_g", F.lit(0))
     hint = F.broadcast if few_groups else (lambda d: d)
     names = list(probs)
-    slack = 3.0 / accuracy
-    points = [p for q in names for p in (max(0.0, probs[q] - slack), min(1.0, probs[q] + slack))]
+    # The sketch may be off by a rank or two in small groups and by n / accuracy in large ones: the bracket spans at
+    # least three ranks either way at every size (groups of up to 30 take their whole range).
+    tiers = [(30, 1.0), (1000, 0.1), (30 * accuracy // 10, 0.003), (None, 3.0 / accuracy)]
+    points = [p for q in names for _, d in tiers for p in (max(0.0, probs[q] - d), min(1.0, probs[q] + d))]
     sketch = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
         "v", [float(p) for p in points], accuracy).alias("a"))
+    tier = F.lit(0)
+    for limit, _ in tiers[:-1]:
+        tier = tier + (F.col("n") > limit).cast("int")
+    at0 = tier * 2
     br = sketch.select(*by, "n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(probs[q])).alias("q"), F.get("a", F.lit(2 * i)).alias("lo"),
-                 F.get("a", F.lit(2 * i + 1)).alias("hi")) for i, q in enumerate(names)])).alias("b")) \
+        F.struct(F.lit(i).alias("i"), F.lit(float(probs[q])).alias("q"), F.get("a", at0 + 2 * len(tiers) * i).alias("lo"),
+                 F.get("a", at0 + 2 * len(tiers) * i + 1).alias("hi")) for i, q in enumerate(names)])).alias("b")) \
         .select(*by, "n", "b.*")
     packed = br.groupBy(*by).agg(F.collect_list(F.struct("i", "lo", "hi")).alias("bs"))
     zone = F.when(F.col("v") < F.col("b.lo"), -1).when(F.col("v") > F.col("b.hi"), 1).otherwise(0)

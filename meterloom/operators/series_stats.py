@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import avg_if, clip, div, share
+from ..functions.numeric import avg_if, clip, col, div, share
 from .clean import tier_bounds, tier_of
 from .panel import DAY, ID, by_day, whole
 from .ranking import global_quantiles, mean_ranks
@@ -19,7 +19,11 @@ def nz(c: Column, d: float = 0.0) -> Column:
 
 
 def safe_corr(a, b) -> Column:
-    return nz(F.corr(a, b))
+    """Pearson correlation over the rows where both are present; 0 when either side is constant."""
+    a, b = col(a), col(b)
+    both = a.isNotNull() & b.isNotNull()
+    sd = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.coalesce(F.try_divide(F.covar_pop(a.cast("double"), b.cast("double")), sd), F.lit(0.0))
 
 
 def pct(value: str, *ps: float) -> Column:

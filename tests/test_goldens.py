@@ -334,7 +334,8 @@ def test_gram_nnls_and_prune(spark):
     c = pool.correlation_array(m)
     assert np.allclose(c, np.corrcoef(p.T))
     assert pool.prune_in_order(c, [0, 1, 2, 3], 0.999) == [0, 1, 2]
-    assert len(pool.prune_by_clusters(c, 0.9, np.ones(4))) == 3
+    assert pool.prune_by_clusters(c, 0.9, np.ones(4)) == [0, 1, 2, 3]  # no cluster may hold a pair above the limit
+    assert len(pool.prune_by_clusters(c, 1.1, np.ones(4))) == 2
     w = pool.nnls_from_gram(p.T @ p, p.T @ y)
     g = p.T @ y - p.T @ p @ w
     assert (w >= 0).all() and (g <= 1e-6).all() and np.abs(g * w).max() < 1e-6
