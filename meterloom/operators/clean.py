@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clip, col
-from .panel import DAY, ID, by_day, moving_average, whole
+from .panel import DAY, ID, _emit_days, _indexed, by_day, moving_average, whole
 from .ranking import exact_quantiles, global_quantiles
 
 
@@ -38,14 +38,18 @@ def _lerp(pos: str) -> Column:
 
 def interpolate(df: DataFrame, pos: str = DAY, value: str = "value", out: str = "filled",
                 max_gap: int | None = None, hold_edges: bool = True) -> DataFrame:
-    """Linear interpolation along `pos`; edges hold the nearest value; longer gaps than max_gap stay NULL."""
-    b, n = _neighbours(pos, value)
+    """Linear interpolation along `pos`; edges hold the nearest value; longer gaps than max_gap stay NULL.
+
+    A panel densified with `neighbours` brings them along; otherwise two windows look them up."""
     res = _lerp(pos)
     if not hold_edges:
         res = F.when(F.col("_b").isNotNull() & F.col("_n").isNotNull(), res)
     if max_gap is not None:
         res = F.when(F.col("_n.p") - F.col("_b.p") - 1 <= max_gap, res)
-    return df.withColumn("_b", b).withColumn("_n", n).withColumn(out, F.coalesce(value, res)).drop("_b", "_n")
+    if "_b" not in df.columns:
+        b, n = _neighbours(pos, value)
+        df = df.withColumn("_b", b).withColumn("_n", n)
+    return df.withColumn(out, F.coalesce(value, res)).drop("_b", "_n")
 
 
 def tier_bounds(means: DataFrame, value: str = "m") -> Column:
@@ -79,21 +83,31 @@ def day_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFra
     return exact_quantiles(df, value, probs, by=[DAY])
 
 
-def impute_by_sparsity(panel: DataFrame, threshold: float = 0.3) -> DataFrame:
+def day_table(obs: DataFrame, threshold: float) -> DataFrame:
+    """One row per calendar day: dense flag, position among the dense days, median of the observed values."""
+    seen = obs.where("value is not null")
+    series = obs.agg(F.count_distinct(ID).alias("n")).scalar()
+    have = seen.groupBy(F.col(DAY).alias("_c")).agg(F.count(F.lit(1)).alias("c"))
+    days = obs.agg(F.max(DAY).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias(DAY))
+    rate = days.join(have, F.col(DAY) == F.col("_c"), "left").select(DAY, (1 - F.coalesce("c", F.lit(0)) / series).alias("miss_rate"))
+    # running count over the calendar: a few thousand rows
+    pos = rate.withColumn("dense", F.col("miss_rate") <= threshold).withColumn("dpos", F.sum(F.col("dense").cast("int")).over(W.orderBy(DAY)) - 1)
+    return pos.join(day_quantiles(seen, "value", {"day_median": 0.5}), DAY, "left").select(DAY, "dense", "dpos", "day_median")
+
+
+def impute_by_sparsity(readings: DataFrame, threshold: float = 0.3, date_col: str = "dt") -> DataFrame:
     """Days missing for more than `threshold` of the series take the day's median; the other days are
-    interpolated along their own sequence (position among dense days); what is left takes the day's median."""
-    rates = panel.groupBy(DAY).agg(F.avg(F.col("is_missing").cast("double")).alias("miss_rate"))
-    # dense position of each day: one row per calendar day, bounded
-    dense = rates.withColumn("dense", F.col("miss_rate") <= threshold).withColumn(
-        "dpos", F.sum(F.col("dense").cast("int")).over(W.orderBy(DAY)) - 1)
-    med = day_quantiles(panel, "value", {"day_median": 0.5})
-    days = dense.join(med, DAY, "left").select(DAY, "dense", "dpos", "day_median")
-    base = panel.join(F.broadcast(days), DAY).withColumn("_dv", F.when(F.col("dense"), F.col("value")))
-    seen = F.when(F.col("_dv").isNotNull(), F.struct(F.col("dpos").alias("p"), F.col("_dv").alias("v")))
-    base = base.withColumn("_b", _latest(seen, F.col(DAY).asc())).withColumn("_n", _latest(seen, F.col(DAY).desc()))
-    val = F.when(F.col("dense"), F.coalesce("value", _lerp("dpos"))).otherwise(F.coalesce("value", "day_median"))
-    first = base.withColumn("filled", val).drop("_b", "_n", "_dv", "dpos")
-    return first.withColumn("filled", F.coalesce("filled", "day_median", F.lit(0.0)))
+    interpolated along their own sequence (position among dense days); what is left takes the day's median.
+
+    Works from the observed rows: day statistics are small aggregates, the neighbours among dense days are found in the
+    one sort that also densifies, and the dense rows need no window.
+    """
+    r = _indexed(readings, date_col)
+    days = day_table(r.withColumnRenamed("_d", DAY), threshold)
+    sparse = r.join(F.broadcast(days.select(F.col(DAY).alias("_d"), "dense", "dpos")), "_d").withColumnRenamed("value", "_v")
+    p = _emit_days(sparse, True, seen=F.col("dense"), pos="dpos").join(F.broadcast(days), DAY)
+    val = F.coalesce("value", F.when(F.col("dense"), _lerp("dpos")), "day_median", F.lit(0.0))
+    return p.withColumn("filled", val).drop("_b", "_n", "dpos")
 
 
 def clip_to_day_mad(df: DataFrame, value: str, width: float = 5.0, out: str = "clipped") -> DataFrame:

@@ -23,23 +23,48 @@ def span(readings: DataFrame, date_col: str = "dt"):
     return readings.agg(F.struct(F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).alias("s")).scalar()
 
 
-def densify(readings: DataFrame, date_col: str = "dt", value_col: str = "value") -> DataFrame:
+def densify(readings: DataFrame, date_col: str = "dt", value_col: str = "value", neighbours: bool = False) -> DataFrame:
     """ids x days without a join: each observed day also emits the empty days up to the next observed one.
 
     One shuffle by series; the rows stay partitioned by series, so later per-series windows add no shuffle.
+    neighbours: also carry _b and _n, the last observed (p, v) up to the day and the first one from the day on; they
+    come from the sparse rows in the same sort, so interpolation needs no window over the dense rows.
     """
-    s = span(readings, date_col)
+    return _emit_days(_indexed(readings, date_col).withColumnRenamed(value_col, "_v"), neighbours)
+
+
+def _indexed(readings: DataFrame, date_col: str) -> DataFrame:
+    return (readings.withColumn("_s", span(readings, date_col)).withColumn("_d", F.datediff(date_col, F.col("_s.lo")))
+            .withColumn("n_days", F.datediff(F.col("_s.hi"), F.col("_s.lo")) + 1).withColumn("_lo", F.col("_s.lo")))
+
+
+def _emit_days(r: DataFrame, neighbours: bool, seen=None, pos: str = "_d") -> DataFrame:
+    """Sparse rows (series_id, _d, _v, n_days, _lo) to dense rows. `seen` marks the rows that count as neighbours."""
     w = by_day("_d")
-    r = (readings.withColumn("_s", s)
-         .withColumn("_d", F.datediff(date_col, F.col("_s.lo")))
-         .withColumn("n_days", F.datediff(F.col("_s.hi"), F.col("_s.lo")) + 1)
-         .withColumn("_next", F.coalesce(F.lead("_d").over(w), F.col("n_days")))
+    r = (r.withColumn("_next", F.coalesce(F.lead("_d").over(w), F.col("n_days")))
          .withColumn("_from", F.when(F.lag("_d").over(w).isNull(), F.lit(0)).otherwise(F.col("_d"))))
-    d = r.select(ID, "n_days", F.col("_s.lo").alias("_lo"), "_d", F.col(value_col).alias("_v"),
-                 F.explode(F.sequence(F.col("_from"), F.col("_next") - 1)).alias(DAY))
-    value = F.when(F.col(DAY) == F.col("_d"), F.col("_v"))
-    return d.select(ID, DAY, F.date_add("_lo", F.col(DAY)).alias("dt"), value.alias("value"),
-                    value.isNull().alias("is_missing"), "n_days")
+    extra = []
+    if neighbours:
+        ok = F.col("_v").isNotNull() if seen is None else F.col("_v").isNotNull() & seen
+        r = r.withColumn("_self", F.when(ok, F.struct(F.col(pos).alias("p"), F.col("_v").alias("v"))))
+        r = r.withColumn("_prev", F.last("_self", True).over(w.rowsBetween(W.unboundedPreceding, 0))) \
+            .withColumn("_later", F.expr(f"lead(_self, 1) ignore nulls over (partition by {ID} order by _d)"))
+        extra = ["_self", "_prev", "_later"]
+    d = r.select(ID, "n_days", "_lo", "_d", "_v", *extra, F.explode(F.sequence(F.col("_from"), F.col("_next") - 1)).alias(DAY))
+    here = F.col(DAY) == F.col("_d")
+    value = F.when(here, F.col("_v"))
+    out = [ID, DAY, F.date_add("_lo", F.col(DAY)).alias("dt"), value.alias("value"), value.isNull().alias("is_missing"), "n_days"]
+    if neighbours:
+        before = F.col(DAY) < F.col("_d")  # only ahead of the first observed row
+        out += [F.when(~before, F.col("_prev")).alias("_b"),
+                F.when(here, F.coalesce("_self", "_later")).when(before, F.coalesce("_self", "_later")).otherwise(F.col("_later")).alias("_n")]
+    return d.select(*out)
+
+
+def with_day_index(readings: DataFrame, date_col: str = "dt") -> DataFrame:
+    """Observed rows with the day_idx they have in the panel; no shuffle, for statistics that ignore missing days."""
+    r = readings.withColumn("_s", span(readings, date_col))
+    return r.withColumn(DAY, F.datediff(date_col, F.col("_s.lo"))).drop("_s")
 
 
 def observed_positions(readings: DataFrame, date_col: str = "dt") -> DataFrame:

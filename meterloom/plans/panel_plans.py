@@ -206,14 +206,18 @@ o AS (SELECT series_id, day_idx, CAST(CASE WHEN value IS NOT NULL THEN 0 WHEN l1
          WHEN peer IS NOT NULL THEN 3 ELSE 4 END AS INTEGER) AS layer, coalesce(l1, l2, peer, 0) AS filled FROM l)""",
                                        "o", "series_id, day_idx, layer", "filled"))
 def _(spark, sf):
-    return rounded(C.impute_layers(T.panel(spark, sf)).select("series_id", "day_idx", "layer", "filled"))
+    return rounded(C.impute_layers(P.densify(T.readings(spark, sf), neighbours=True)).select("series_id", "day_idx", "layer", "filled"))
 
 
-def weekly_panel(spark, sf):
-    """Panel on a weekly grid (one 'day' per week), dense enough for the gated imputation."""
+def weekly_readings(spark, sf):
+    """Readings on a weekly grid (one 'day' per week), dense enough for the gated imputation."""
     r = T.readings(spark, sf)
     week = F.date_add(F.to_date(F.lit("1995-01-01")), F.floor(F.datediff("dt", F.to_date(F.lit("1995-01-01"))) / 7).cast("int"))
-    return P.densify(r.groupBy("series_id", week.alias("dt")).agg(F.sum("value").alias("value")))
+    return r.groupBy("series_id", week.alias("dt")).agg(F.sum("value").alias("value"))
+
+
+def weekly_imputed(spark, sf):
+    return C.impute_by_sparsity(weekly_readings(spark, sf))
 
 
 WEEKLY = PANEL.replace("""SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS dt,""",
@@ -238,7 +242,7 @@ gated AS (SELECT p.series_id, p.day_idx, d.dense, coalesce(CASE WHEN d.dense THE
 
 @query("impute_by_sparsity", "B-5", sel(_GATED, "gated", "series_id, day_idx, dense", "filled"))
 def _(spark, sf):
-    return rounded(C.impute_by_sparsity(weekly_panel(spark, sf)).select("series_id", "day_idx", "dense", "filled"))
+    return rounded(weekly_imputed(spark, sf).select("series_id", "day_idx", "dense", "filled"))
 
 
 @query("clip_day_mad", "B-6", sel(_GATED + """,
@@ -248,7 +252,7 @@ cl AS (SELECT series_id, day_idx, CASE WHEN mad > 0 THEN least(greatest(filled,
        AS clipped FROM gated JOIN ma USING (day_idx))""", "cl", "series_id, day_idx", "clipped"))
 def _(spark, sf):
     # imputed values are read four times by the two quantile passes: materialize them once
-    x = cut_lineage(C.impute_by_sparsity(weekly_panel(spark, sf)).select("series_id", "day_idx", "filled"))
+    x = cut_lineage(weekly_imputed(spark, sf).select("series_id", "day_idx", "filled"))
     return rounded(C.clip_to_day_mad(x, "filled").select("series_id", "day_idx", "clipped"))
 
 

@@ -144,6 +144,21 @@ def test_interpolation_holds_edges(spark):
     assert v[2, 2] is None
 
 
+def test_neighbours_from_sparse_rows_equal_windows(spark):
+    r = readings(spark, {1: [None, 2, None, None, 5, None], 2: [1] + [None] * 4 + [1], 3: [None] * 5 + [9]})
+    a = clean.interpolate(panel.densify(r)).select("series_id", "day_idx", "filled").collect()
+    b = clean.interpolate(panel.densify(r, neighbours=True)).select("series_id", "day_idx", "filled").collect()
+    assert sorted(a) == sorted(b)
+
+
+def test_sparsity_gate(spark):
+    """Day 2 is missing for most series: its gaps take the median, the interpolation of the others skips it."""
+    x = clean.impute_by_sparsity(readings(spark, {1: [0, 10, 50, 30, 40], 2: [2, None, None, 6, None], 3: [1, 1, None, 1, 1], 4: [5, 5, None, 5, 5]}))
+    v = {(r.series_id, r.day_idx): (r.dense, r.filled) for r in x.collect()}
+    assert [v[2, d][1] for d in range(5)] == [2, 4, 50, 6, 6]
+    assert [v[1, d][0] for d in range(5)] == [True, True, False, True, True]
+
+
 @pytest.mark.parametrize("width", [3, 4, 7])
 def test_moving_average_edges(spark, width):
     x = [3.0, 1, 4, 1, 5, 9, 2, 6, 5, 3]
