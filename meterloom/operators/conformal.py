@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import div
 from .metrics import with_rates
+from .pool import cell_sum, packed
 from .ranking import running_totals
 
 ALPHAS = (.01, .02, .05, .08, .10, .12, .15, .20, .25, .30)
@@ -84,12 +85,21 @@ def cost_aware(cal: DataFrame, test: DataFrame, ratios: list[float], alphas: lis
 
 def gate_table(scores: DataFrame, gates: list[float], correction: float = 0.9) -> DataFrame:
     """Automatic decisions outside the gate, review inside it, and the system after review corrects a share of the errors."""
-    x = scores.withColumn("gate", F.explode(F.array(*[F.lit(float(g)) for g in gates])))
-    p, y, g = F.col("p"), F.col("y"), F.col("gate")
-    up, down = p >= g, (p <= 1 - g) & ~(p >= g)
-    rev = ~(p >= g) & ~(p <= 1 - g)
-    t = x.groupBy("gate").agg(F.count(F.lit(1)).alias("n"), F.count_if(up & (y == 1)).alias("tp"), F.count_if(up & (y == 0)).alias("fp"), F.count_if(down & (y == 1)).alias("fn"), F.count_if(down & (y == 0)).alias("tn"),
-                              F.count_if(rev & (y == 1)).alias("review_pos"), F.count_if(rev).alias("n_review"), F.count_if(((y == 1) & (p < 0.5)) | ((y == 0) & (p >= 0.5))).alias("errors"))
+    gates = sorted(gates)
+    p, y = F.col("p"), F.col("y")
+    # a row is described by how many gates it passes upwards and downwards: one small two-dimensional histogram
+    up = sum(((p >= float(g)).cast("int") for g in gates), F.lit(0))
+    down = sum(((p <= 1 - float(g)).cast("int") for g in gates), F.lit(0))
+    h = scores.groupBy(up.alias("u"), down.alias("d")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"),
+                                                           F.count_if(((y == 1) & (p < 0.5)) | ((y == 0) & (p >= 0.5))).alias("err"))
+    x = scores.sparkSession.createDataFrame([(i, float(g)) for i, g in enumerate(gates)], "gi int, gate double").withColumn("h", packed(h))
+    is_up = lambda c: c["u"] > F.col("gi")
+    is_down = lambda c: (c["d"] > F.col("gi")) & ~is_up(c)
+    is_rev = lambda c: ~is_up(c) & ~is_down(c)
+    every = lambda c: F.lit(True)
+    t = x.select("gate", (cell_sum(every, "pos") + cell_sum(every, "neg")).alias("n"), cell_sum(is_up, "pos").alias("tp"), cell_sum(is_up, "neg").alias("fp"),
+                 cell_sum(is_down, "pos").alias("fn"), cell_sum(is_down, "neg").alias("tn"), cell_sum(is_rev, "pos").alias("review_pos"),
+                 (cell_sum(is_rev, "pos") + cell_sum(is_rev, "neg")).alias("n_review"), cell_sum(every, "err").alias("errors"))
     fixed = F.floor(F.col("review_pos") * correction)
     t = with_rates(t).withColumnsRenamed({"f1": "auto_f1", "recall": "auto_recall", "precision": "auto_precision"})
     t = t.withColumn("review_rate", F.col("n_review") / F.col("n")).withColumn("error_capture", F.col("review_pos") / F.greatest(F.col("errors"), F.lit(1))) \

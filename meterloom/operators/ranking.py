@@ -92,15 +92,18 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
         F.struct(F.lit(i).alias("i"), F.lit(float(probs[q])).alias("q"), F.get("a", at0 + 2 * len(tiers) * i).alias("lo"),
                  F.get("a", at0 + 2 * len(tiers) * i + 1).alias("hi")) for i, q in enumerate(names)])).alias("b")) \
         .select(*by, "n", "b.*")
-    packed = br.groupBy(*by).agg(F.collect_list(F.struct("i", "lo", "hi")).alias("bs"))
-    zone = F.when(F.col("v") < F.col("b.lo"), -1).when(F.col("v") > F.col("b.hi"), 1).otherwise(0)
-    cells = (base.join(hint(packed), by).select(*by, "v", F.explode("bs").alias("b"))
-             .select(*by, F.col("b.i").alias("i"), zone.alias("z"), "v")
-             .groupBy(*by, "i", "z", F.when(F.col("z") == 0, F.col("v")).alias("cell"))
+    packed = br.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "q", "lo", "hi")).alias("bs"))
+    # every row goes to one cell: its own value inside a bracket, else the gap between brackets it lies in
+    v = F.col("v")
+    x = base.join(hint(packed), by)
+    inside = F.exists("bs", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
+    gap = F.size(F.filter("bs", lambda b: b["hi"] < v))
+    cells = (x.select(*by, "v", inside.alias("in"), gap.alias("gap"))
+             .groupBy(*by, F.when(F.col("in"), v).alias("cell"), F.when(~F.col("in"), F.col("gap")).alias("gap"))
              .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first_v"), F.max("v").alias("last_v")))
-    w = W.partitionBy(*by, "i").orderBy("z", "cell").rowsBetween(W.unboundedPreceding, -1)
-    cum = cells.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(
-        hint(br.select(*by, "i", "n", "q")), [*by, "i"])
+    w = W.partitionBy(*by).orderBy("first_v").rowsBetween(W.unboundedPreceding, -1)
+    cum = cells.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(hint(packed), by) \
+        .select(*by, "cell", "c", "first_v", "last_v", "before", "n", F.explode("bs").alias("b")).select("*", "b.i", "b.q")
     rank = F.col("q") * (F.col("n") - 1)
     lo_r = F.floor(rank + 1e-9) if not higher else F.ceil(rank - 1e-9)
     frac = F.greatest(rank - F.floor(rank + 1e-9), F.lit(0.0))
@@ -108,10 +111,9 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
 
     def at(r: str) -> Column:
         first, last = F.col("before"), F.col("before") + F.col("c") - 1
-        hit = F.when((F.col("z") == 0) & (F.col(r) >= first) & (F.col(r) <= last), F.col("first_v")) \
-            .when((F.col("z") == -1) & (F.col(r) == last), F.col("last_v")) \
-            .when((F.col("z") == 1) & (F.col(r) == first), F.col("first_v"))
-        return F.max(hit)
+        known = F.when(F.col("cell").isNotNull() & (F.col(r) >= first) & (F.col(r) <= last), F.col("cell")) \
+            .when(F.col(r) == first, F.col("first_v")).when(F.col(r) == last, F.col("last_v"))
+        return F.max(known)
 
     got = cum.groupBy(*by, "i").agg(at("r0").alias("v0"), at("r1").alias("v1"), F.first("fr").alias("fr"))
     val = F.col("v0") if higher else F.col("v0") + F.col("fr") * (F.col("v1") - F.col("v0"))

@@ -38,6 +38,12 @@ class StageStore:
         return self.spark.read.parquet(self.path(name))
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Table bucketed and sorted by `key`: later joins, aggregates and windows on the key read it without a shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_report(df: DataFrame, path: str, sort_by: str) -> str:
     """Small report as a single sorted CSV file."""
     df.orderBy(F.col(sort_by).desc()).coalesce(1).write.mode("overwrite").csv(path, header=True)

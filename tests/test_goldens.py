@@ -436,6 +436,20 @@ def test_stage_store_computes_once(spark, tmp_path):
     assert store.cache_or_compute("x", make, ["model"]).count() == 20 and len(calls) == 1
 
 
+def test_bucketed_table_needs_no_shuffle(spark, tmp_path):
+    t = sinks.save_bucketed(spark.range(100).withColumn("v", F.col("id") % 7), "bucketed_panel", str(tmp_path / "b"), "v", 4)
+    g = t.groupBy("v").agg(F.count("*").alias("n"))
+    assert "Exchange" not in g._jdf.queryExecution().executedPlan().toString() and g.count() == 7
+    spark.sql("drop table bucketed_panel")
+
+
+def test_per_series_windows_add_no_shuffle(spark):
+    """After densification, windows and aggregates on the series reuse its partitioning."""
+    p = dense(spark, {1: [1, 2, None, 4], 2: [None, 3, 3, None]}).withColumn("m", panel.moving_average("f", 3))
+    plan = p.groupBy("series_id").agg(F.avg("m"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(series_id") == 1
+
+
 def test_same_result_for_other_partitioning(spark, skewed):
     _, df = skewed
     before = spark.conf.get("spark.sql.shuffle.partitions")
