@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import col
 
-_PER_CUT = 16
+_PER_CUT = 8
 
 
 def _bucket(cuts: Column, v: Column, buckets: int) -> Column:
@@ -25,20 +25,22 @@ def _bucket(cuts: Column, v: Column, buckets: int) -> Column:
 
 
 def running_totals(df: DataFrame, key: str | Column, sums: dict[str, Column], by: list[str] | None = None,
-                   descending: bool = False, buckets: int = 256, few_groups: bool = True,
+                   descending: bool = False, buckets: int = 1024, few_groups: bool = True,
                    collapsed: bool = False) -> DataFrame:
     """Distinct `key` per group with `<name>`, `<name>_before` and `<name>_all` for every entry of `sums`.
 
     few_groups: the number of groups is bounded by the schema or a parameter (models, folds, classes), so the
     table of cut points (groups x buckets values) is broadcast. Otherwise it is joined by shuffle.
-    collapsed: rows are already unique per (group, key); saves the first aggregation.
+    collapsed: rows are already unique per (group, key), no aggregation is needed.
     """
     by = list(by or [])
     base = df.select(*by, col(key).alias("key"), *[c.alias(n) for n, c in sums.items()]).where("key is not null")
     if not by:
         by = ["_g"]
         base = base.withColumn("_g", F.lit(0))
-    if not collapsed:
+    if collapsed:  # one shuffle that all four readers below share, instead of four runs of the input
+        base = base.repartition(*by, "key")
+    else:
         base = base.groupBy(*by, "key").agg(*[F.sum(n).alias(n) for n in sums])
     hint = F.broadcast if few_groups else (lambda d: d)
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
