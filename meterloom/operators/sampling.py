@@ -90,7 +90,7 @@ def mixup(df: DataFrame, seed: int = 42) -> DataFrame:
     """Convex mix of every row with a permuted partner: features and soft label."""
     p = permuted(df, "id", "id", seed).withColumnRenamed("id_permuted", "pid")
     other = df.select(F.col("id").alias("pid"), F.col("y").alias("py"), F.col("vec").alias("pvec"))
-    x = df.join(p, "id").join(other, "pid").withColumn("lam", unit_random(F.lit(seed), "id"))
+    x = df.join(p, "id").join(other, "pid").withColumn("lam", mixed("id", seed) / 10007.0)
     return x.select("id", "pid", "lam", (F.col("lam") * F.col("y") + (1 - F.col("lam")) * F.col("py")).alias("y"), F.zip_with("vec", "pvec", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b).alias("vec"))
 
 

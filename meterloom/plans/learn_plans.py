@@ -137,7 +137,9 @@ def _(spark, sf):
     return k.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < 0).alias("synthetic"))
 
 
-@query("mixup", "H-10")
+@query("mixup", "H-10", sel("""e AS (SELECT vec_id AS id, (label = 0)::INT AS y, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings),
+a AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM e), b AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 42) % 10007, id) AS r FROM e),
+m AS (SELECT a.id, b.id AS pid, ((a.id * 7919 + 42) % 10007) / 10007.0 AS lam, a.y, b.y AS py, a.v, b.v AS pv FROM a JOIN b USING (r))""", "m", "id, pid", ["lam", ("lam * y + (1 - lam) * py", "y"), ("lam * v + (1 - lam) * pv", "v0")]))
 def _(spark, sf):
     m = SA.mixup(labelled_vectors(spark, sf))
     return rounded(m.select("id", "pid", "lam", "y", F.get("vec", F.lit(0)).alias("v0")))

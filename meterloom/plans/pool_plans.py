@@ -152,12 +152,15 @@ SIMPLEX = [(a, b, 10 - a - b) for a in range(11) for b in range(11 - a)]
 SIMPLEX_GRID: M.Grid = (100, 900, 20)
 
 
-@query("triple_blends", "K-11")
+@query("triple_blends", "K-11", sel(SCORES + """,
+w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores WHERE k < 3 GROUP BY 1),
+bl AS MATERIALIZED (SELECT wa, wb, y, (wa / 10.0) * ps[1] + (wb / 10.0) * ps[2] + ((10 - wa - wb) / 10.0) * ps[3] AS p FROM w, range(1, 10) x(wa), range(1, 10) z(wb) WHERE wa + wb < 10),
+""" + grid_sql("bl", "wa, wb") + ",\n" + best_sql("wa, wb"), "best", "CAST(wa AS INTEGER) AS wa, CAST(wb AS INTEGER) AS wb", "threshold, f1, recall, precision"))
 def _(spark, sf):
     tri = [(a, b, c) for a, b, c in SIMPLEX if min(a, b, c) > 0]
     r = K.evaluate_weights(matrix(spark, sf, [0, 1, 2]), np.array(tri) / 10)
-    names = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t]) for t in tri]), F.col("cand") + 1)
-    return rounded(r.withColumn("tenths", names).drop("cand").orderBy(F.round("f1", 9).desc(), "tenths").limit(10))
+    names = F.element_at(F.array(*[F.struct(F.lit(a).alias("wa"), F.lit(b).alias("wb")) for a, b, _ in tri]), F.col("cand") + 1)
+    return rounded(r.withColumn("n", names).select("n.*", "threshold", "f1", "recall", "precision"))
 
 
 @query("fold_simplex_weights", "K-12", sel(SCORES + ",\n" + ID_FOLDS + """,

@@ -15,7 +15,12 @@ from .sqlbase import OBSERVED, PANEL, READINGS, sel
 # ---------------------------------------------------------------- E
 
 
-@query("sample_entropy", "E-1")
+@query("sample_entropy", "E-1", sel(OBSERVED + """,
+th AS (SELECT series_id, value AS x, CAST(pos // (CASE WHEN n > 200 THEN n // 200 ELSE 1 END) AS BIGINT) AS i FROM observed WHERE pos % (CASE WHEN n > 200 THEN n // 200 ELSE 1 END) = 0),
+tn AS (SELECT series_id, count(*) AS n, 0.2 * stddev_pop(x) AS r FROM th GROUP BY 1),
+tv AS (SELECT th.*, n, r, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM th JOIN tn USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+pc AS (SELECT a.series_id, count(*) FILTER (abs(a.x - b.x) < a.r AND abs(a.x1 - b.x1) < a.r AND a.i < a.n - 2 AND b.i < a.n - 2) AS nb,
+  count(*) FILTER (abs(a.x - b.x) < a.r AND abs(a.x1 - b.x1) < a.r AND abs(a.x2 - b.x2) < a.r AND a.i < a.n - 3 AND b.i < a.n - 3) AS na FROM tv a JOIN tv b ON a.series_id = b.series_id AND a.i < b.i GROUP BY 1)""", "pc", "series_id", [("CASE WHEN na > 0 AND nb > 0 THEN -ln(na / nb::DOUBLE) ELSE 0 END", "sample_entropy")], 5))
 def _(spark, sf):
     return rounded(X.sample_entropy(T.observed(spark, sf)), 5)
 
@@ -107,11 +112,6 @@ def _(spark, sf):
     return rounded(X.symbol_features(T.filled(spark, sf)))
 
 
-@query("component_fuzzy_entropy", "E-11, F-6")
-def _(spark, sf):
-    return rounded(G.component_fuzzy_entropy(T.filled(spark, sf)), 4)
-
-
 # ---------------------------------------------------------------- F
 
 
@@ -181,6 +181,17 @@ ee AS (SELECT series_id, """ + ", ".join(f"avg(c{i}) AS c{i}_mean, stddev_pop(c{
 et AS (SELECT *, e0 + e1 + e2 + e3 + e4 + 1e-12 AS tot FROM ee)"""
 
 
+@query("component_fuzzy_entropy", "E-11, F-6", sel(EMD.split(",\nee AS")[0].replace("emd AS (SELECT series_id,", "emd AS (SELECT series_id, day_idx, n_days,") + """,
+cl AS (""" + " UNION ALL ".join(f"SELECT series_id, 'c{i}' AS component, day_idx // greatest(1, n_days // 200) AS i, c{i} AS v FROM emd WHERE day_idx % greatest(1, n_days // 200) = 0" for i in range(5)) + """),
+cm AS (SELECT *, v - avg(v) OVER s AS x, pow(0.15 * stddev_pop(v) OVER s + 1e-12, 2) AS r2, count(*) OVER s AS n FROM cl WINDOW s AS (PARTITION BY series_id, component)),
+cv AS (SELECT *, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM cm WINDOW w AS (PARTITION BY series_id, component ORDER BY i)),
+cp AS (SELECT a.series_id, a.component, any_value(a.n) AS n, sum(exp(-(pow(a.x - b.x, 2) + pow(a.x1 - b.x1, 2)) / a.r2)) AS s2, sum(exp(-(pow(a.x - b.x, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) / a.r2)) AS s3
+  FROM cv a JOIN cv b ON a.series_id = b.series_id AND a.component = b.component AND a.i < b.i GROUP BY 1, 2)""", "cp", "series_id, component",
+    [("ln(greatest(2 * s2 / ((n - 1) * (n - 2)), 1e-12)) - ln(greatest(2 * s3 / ((n - 2) * (n - 3)), 1e-12))", "fuzzy_entropy")], 4))
+def _(spark, sf):
+    return rounded(G.component_fuzzy_entropy(T.filled(spark, sf)), 4)
+
+
 @query("smoothing_components", "F-6", sel(EMD, "et", "series_id", [x for i in range(5) for x in (f"c{i}_mean", f"c{i}_std", (f"ln(1 + e{i})", f"c{i}_energy_log"), (f"e{i} / tot", f"c{i}_rel_energy"))]
                                           + [("ln(1 + tot)", "total_energy_log"), ("sqrt((" + " + ".join(f"(e{i} / tot) ** 2" for i in range(5)) + ") / 5 - ((e0 + e1 + e2 + e3 + e4) / tot / 5) ** 2)", "rel_energy_std")], 5))
 def _(spark, sf):

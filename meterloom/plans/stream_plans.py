@@ -26,9 +26,15 @@ def _(spark, sf):
     return rounded(x.withColumn("start", F.col("start").cast("timestamp_ntz")), 5)
 
 
-@query("stream_shift_alarms", "S-3")
+@query("stream_shift_alarms", "S-3", """WITH r AS (SELECT user_id, ts, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+m AS (SELECT user_id, avg(v) AS mu, stddev_pop(v) + 1e-6 AS sd FROM r WHERE n <= 20 GROUP BY 1),
+c AS (SELECT r.*, sd, sum(v - mu - 0.2 * sd) OVER w AS a, sum(mu - 0.2 * sd - v) OVER w AS b FROM r JOIN m USING (user_id) WHERE n > 20 WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+s AS (SELECT *, a - least(0, min(a) OVER w) AS up, b - least(0, min(b) OVER w) AS down FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+f AS (SELECT user_id, arg_min(struct_pack(ts := ts, n := n, direction := CASE WHEN up > down THEN 'rise' ELSE 'drop' END), n) AS f FROM s WHERE greatest(up, down) > 3 * sd GROUP BY 1)
+SELECT user_id, f.ts AS ts, f.n AS n, f.direction AS direction FROM f""")
 def _(spark, sf):
-    return J.run_to_table(J.shift_alarms(J.read_events(spark, sf)), "alarms")
+    x = J.run_to_table(J.shift_alarms(J.read_events(spark, sf)), "alarms")
+    return x.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_outages", "S-4", "WITH " + _WM + """,
