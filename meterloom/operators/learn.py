@@ -87,9 +87,11 @@ def distilled(df: DataFrame, teacher: DataFrame, folds: int, hard: float = 0.3,
 
 def by_group(df: DataFrame, group: str, groups: int, make: Factory, folds: int, id_col: str = "id") -> DataFrame:
     """One learner per group; a group without both classes in some training part is scored by its base rate."""
-    counts = {r[group]: r for r in df.groupBy(group).agg(F.min("n1").alias("m1"), F.min("n0").alias("m0"), F.avg("y").alias("rate")).collect()} if "n1" in df.columns else \
-        {r[group]: r for r in df.groupBy(group, "fold").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).groupBy(group).agg(
-            (F.sum("a") - F.max("a")).alias("m1"), (F.sum(F.col("n") - F.col("a")) - F.max(F.col("n") - F.col("a"))).alias("m0"), (F.sum("a") / F.sum("n")).alias("rate")).collect()}
+    cells = df.groupBy(group, "fold").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+    # positives and negatives left for training when the fold with most of them is held out; groups x folds rows
+    counts = {r[group]: r for r in cells.groupBy(group).agg(
+        (F.sum("a") - F.max("a")).alias("m1"), (F.sum(F.col("n") - F.col("a")) - F.max(F.col("n") - F.col("a"))).alias("m0"),
+        (F.sum("a") / F.sum("n")).alias("rate")).collect()}
     parts = None
     for g in range(groups):
         if g not in counts:

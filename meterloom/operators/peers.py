@@ -3,11 +3,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import avg_if, clip
 from .neighbours import cosine_graph
-from .panel import DAY, ID, whole
+from .panel import DAY, ID
 from .ranking import exact_quantiles, global_quantiles, mean_ranks
 
 

@@ -7,7 +7,7 @@ from ..functions.numeric import avg_if, div, entropy_term, share
 from . import clean as C
 from .panel import DAY, ID, by_day, moving_average_mirrored, whole
 from .ranking import exact_quantiles, global_quantiles, mean_ranks
-from .runs import run_flags, run_stats, runs, with_cumulative_deviation
+from .runs import run_flags, run_stats, with_cumulative_deviation
 from .series_stats import nz, pct, safe_corr
 
 

@@ -2,11 +2,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import div
 from . import metrics as M
-from .pool import gram_array, pair_sums
+from .pool import gram_array
 from .ranking import running_totals
 
 

@@ -3,10 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import avg_if, clip, col, div, share
+from ..functions.numeric import avg_if, clip, col, share
 from .clean import tier_bounds, tier_of
 from .panel import DAY, ID, by_day, whole
-from .ranking import global_quantiles, mean_ranks
 from .runs import run_stats
 
 EPS = 1e-8

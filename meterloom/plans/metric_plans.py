@@ -4,14 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import conformal as CF, metrics as M, profiles as PR, series_stats as S
+from ..operators import conformal as CF, metrics as M, series_stats as S
 from ..operators.folds import mixed, series_labels, stratified_folds
 from ..operators.ranking import exact_quantiles
 from ..sources import tables as T
 from .catalog import query
-from .series_plans import series_means
-from .shape_plans import cohorts
-from .sqlbase import LABELS, PANEL, READINGS, SCORES, rnd, sel
+from .sqlbase import LABELS, PANEL, SCORES, rnd, sel
 
 # ---------------------------------------------------------------- shared SQL
 

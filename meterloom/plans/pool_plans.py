@@ -14,7 +14,7 @@ from .metric_plans import ID_FOLDS, SERIES, auc_sql, best_sql, grid_sql, series_
 from .runs_plans import cusum_sql
 from .series_plans import runs_sql
 from .shape_plans import COMPACT, MEANRANK, cohorts
-from .sqlbase import LABELS, PANEL, SCORES, rnd, sel
+from .sqlbase import LABELS, PANEL, SCORES, sel
 
 N = len(T.MODELS)
 

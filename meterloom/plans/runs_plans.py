@@ -9,7 +9,6 @@ from ..sources import tables as T
 from .catalog import query
 from .panel_plans import WEEKS, ma_sql
 from .series_plans import runs_sql
-from .shape_plans import hist_sql
 from .sqlbase import OBSERVED, PANEL, READINGS, sel
 
 # ---------------------------------------------------------------- E

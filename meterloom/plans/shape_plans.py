@@ -9,7 +9,7 @@ from ..sources import tables as T
 from .catalog import query
 from .panel_plans import STL, ma_sql
 from .series_plans import TIERS, runs_sql, series_means
-from .sqlbase import OBSERVED, PANEL, READINGS, sel
+from .sqlbase import OBSERVED, PANEL, sel
 
 
 def hist_sql(src: str, v: str, keys: str, bins: str, cte: str) -> str:
