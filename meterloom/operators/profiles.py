@@ -231,10 +231,17 @@ def ljung_box(df: DataFrame, v: str = "f", lags: int = 10) -> DataFrame:
     return g.select(ID, "q", F.when(ok, F.least(F.exp(-h) * tot, F.lit(1.0))).otherwise(1.0).alias("p_value"))
 
 
-def behaviour_profile(panel: DataFrame) -> DataFrame:
-    """Near-zero share, rank among series, stable-low share, anomaly days and runs, bimodality, half-to-half deviation."""
+def observed_means(panel: DataFrame) -> DataFrame:
+    return panel.groupBy(ID).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"))
+
+
+def behaviour_profile(panel: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """Near-zero share, rank among series, stable-low share, anomaly days and runs, bimodality, half-to-half deviation.
+
+    means (series_id, m): observed means if already at hand, so that ranking them does not read the panel again."""
     x = C.fill_with_series_median(panel).withColumn("f", F.col("filled"))
-    means = panel.groupBy(ID).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"))
+    if means is None:
+        means = observed_means(panel)
     ranks = means.join(mean_ranks(means, "m"), F.col("m") == F.col("key")).select(ID, (F.col("rank") / F.col("n")).alias("global_rank_pct"))
     pos = F.when(F.col("f") > 0, F.col("f"))
     w = whole()
@@ -363,7 +370,7 @@ def log_scale_stats(df: DataFrame, v: str = "f") -> DataFrame:
                               share(F.col(v) == 0).alias("zero_ratio"), share(F.col(v) < 1).alias("below_1_ratio"))
 
 
-def compact_behaviour(panel: DataFrame, cohorts: DataFrame) -> DataFrame:
+def compact_behaviour(panel: DataFrame, cohorts: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """The compact behaviour block: level, rank, cumulative score, half ratio, anomalies, correlations, residual, peers, months."""
     w = whole()
     d, n = F.col(DAY), F.col("n_days")
@@ -386,8 +393,10 @@ def compact_behaviour(panel: DataFrame, cohorts: DataFrame) -> DataFrame:
                           (F.stddev_pop("_res") / (F.stddev_pop("f") + 1e-6)).alias("res_std"), nz(F.skewness("_res")).alias("res_skew"), share(F.col("f") < 0.01).alias("near_zero"))
     m = x.groupBy(ID, F.month("dt").alias("_m")).agg(F.count(F.lit(1)).alias("_n"), (F.stddev_pop("f") / (F.avg("f") + 1e-6)).alias("_cv")).where("_n > 5") \
         .groupBy(ID).agg(F.avg("_cv").alias("monthly_cv"), (F.max("_cv") - F.min("_cv")).alias("monthly_range"))
-    ranks = g.select(ID, "mean").join(mean_ranks(g.select("mean"), "mean"), F.col("mean") == F.col("key")).select(ID, (F.col("rank") / F.col("n")).alias("global_rank"))
-    co = g.select(ID, "mean").join(cohorts, ID)
-    peers = exact_quantiles(co, "mean", {"pm": .5}, by=["cohort"])
-    dev = co.join(F.broadcast(peers), "cohort").select(ID, (F.col("mean") / (F.col("pm") + 1e-6)).alias("peer_dev"))
+    if means is None:
+        means = observed_means(panel)
+    ranks = means.join(mean_ranks(means, "m"), F.col("m") == F.col("key")).select(ID, (F.col("rank") / F.col("n")).alias("global_rank"))
+    co = means.join(cohorts, ID)
+    peers = exact_quantiles(co, "m", {"pm": .5}, by=["cohort"])
+    dev = co.join(F.broadcast(peers), "cohort").select(ID, (F.col("m") / (F.col("pm") + 1e-6)).alias("peer_dev"))
     return g.join(m, ID).join(ranks, ID).join(dev, ID)

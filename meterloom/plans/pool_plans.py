@@ -12,7 +12,7 @@ from ..sources import tables as T
 from .catalog import query
 from .metric_plans import ID_FOLDS, SERIES, auc_sql, best_sql, grid_sql, series_scored
 from .runs_plans import cusum_sql
-from .series_plans import runs_sql
+from .series_plans import runs_sql, series_means
 from .shape_plans import COMPACT, MEANRANK, cohorts
 from .sqlbase import LABELS, PANEL, SCORES, sel
 
@@ -346,7 +346,7 @@ def behaviour(spark, sf, stage: bool = False):
     """One row per series; `stage` materializes it for plans that read it several times."""
     p = T.panel(spark, sf)
     filled = p.withColumn("f", F.coalesce("value", F.lit(0.0)))
-    b = PR.behaviour_profile(p)
+    b = PR.behaviour_profile(p, series_means(spark, sf))
     cp = RU.cusum_shift(p, "value", F.col("value").isNotNull()).select("series_id", "has_cp", "change_ratio", "persistence")
     lb = PR.ljung_box(filled).select("series_id", F.col("p_value").alias("ljungbox_p"))
     ac = S.autocorrelation(filled, "f", "day_idx", (1,)).select("series_id", F.col("autocorr_1").alias("acf1"))
@@ -387,7 +387,7 @@ def _(spark, sf):
 @query("compact_weak_labels", "K-26, C-41", "WITH " + COMPACT + ",\n" + LABELS + """ SELECT series_id, (y = 1 AND cusum_score > 0.3 AND change_persistence > 0.7)::INT AS e1, ((y = 1 AND near_zero > 0.9) OR global_rank < 0.05)::INT AS e2,
 (y = 1 AND anomaly_ratio > 0.1 AND anom_std > 0.15)::INT AS e3, (y = 1)::INT AS e4 FROM compact JOIN series_labels USING (series_id)""")
 def _(spark, sf):
-    return TY.compact_weak_labels(PR.compact_behaviour(T.panel(spark, sf), cohorts(spark, sf)).join(series_labels(spark, sf), "series_id"))
+    return TY.compact_weak_labels(PR.compact_behaviour(T.panel(spark, sf), cohorts(spark, sf), series_means(spark, sf)).join(series_labels(spark, sf), "series_id"))
 
 
 @query("type_distribution", "K-27", sel(TYPED, "ty GROUP BY 1", "type, count(*) AS n", [("count(*) / (SELECT count(*) FROM ty)::DOUBLE", "share")]))

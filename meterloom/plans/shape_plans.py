@@ -201,7 +201,7 @@ g AS (SELECT series_id, avg((f < 0.01)::INT) AS near_zero_ratio, avg((f < greate
                                         "g JOIN gr USING (series_id) LEFT JOIN rl USING (series_id)", "series_id",
                                         ["near_zero_ratio", "stable_low_ratio", "cv_daily", "anomaly_ratio", "bimodality", "half_deviation_ratio", ("global_rank", "global_rank_pct"), ("coalesce(mean_run_length, 0)", "mean_run_length")]))
 def _(spark, sf):
-    return rounded(R.behaviour_profile(T.panel(spark, sf)))
+    return rounded(R.behaviour_profile(T.panel(spark, sf), series_means(spark, sf)))
 
 
 @query("ljung_box", "C-34", sel(PANEL + ", lg AS (SELECT *, " + ", ".join(f"lag(f, {k}) OVER (PARTITION BY series_id ORDER BY day_idx) AS l{k}" for k in range(1, 11)) + """ FROM panel),
@@ -315,4 +315,4 @@ compact AS MATERIALIZED (SELECT g.*, monthly_cv, monthly_range, global_rank, g.m
 
 @query("compact_behaviour", "C-41", sel(COMPACT, "compact", "series_id", "mean, std, cv, low_rate, miss_rate, change_ratio, change_persistence, cusum_score, anomaly_ratio, anom_std, acf1, acf7, res_std, res_skew, near_zero, monthly_cv, monthly_range, global_rank, peer_dev", 5))
 def _(spark, sf):
-    return rounded(R.compact_behaviour(T.panel(spark, sf), cohorts(spark, sf)), 5)
+    return rounded(R.compact_behaviour(T.panel(spark, sf), cohorts(spark, sf), series_means(spark, sf)), 5)
