@@ -89,7 +89,7 @@ def day_table(obs: DataFrame, threshold: float) -> DataFrame:
     series = obs.agg(F.count_distinct(ID).alias("n")).scalar()
     have = seen.groupBy(F.col(DAY).alias("_c")).agg(F.count(F.lit(1)).alias("c"))
     days = obs.agg(F.max(DAY).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias(DAY))
-    rate = days.join(have, F.col(DAY) == F.col("_c"), "left").select(DAY, (1 - F.coalesce("c", F.lit(0)) / series).alias("miss_rate"))
+    rate = days.join(have, F.col(DAY) == F.col("_c"), "left").select(DAY, ((series - F.coalesce("c", F.lit(0))) / series).alias("miss_rate"))
     # running count over the calendar: a few thousand rows
     pos = rate.withColumn("dense", F.col("miss_rate") <= threshold).withColumn("dpos", F.sum(F.col("dense").cast("int")).over(W.orderBy(DAY)) - 1)
     return pos.join(day_quantiles(seen, "value", {"day_median": 0.5}), DAY, "left").select(DAY, "dense", "dpos", "day_median")
