@@ -33,6 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tag(k: int) -> np.uint64:
+    """A constant for the small number k."""
+    return U(k * int(_LEN) & (1 << 64) - 1)
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     got = _powers[inverse]
     if len(got) < n:
@@ -130,7 +135,7 @@ def windows(h: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
         v = (c[k:] - c[:-k]) * powers(n)
     doc = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
     at = np.flatnonzero(doc[:n] == doc[k - 1:])
-    return at, mix(v[at] ^ U(k) * _LEN)
+    return at, mix(v[at] ^ tag(k))
 
 
 def shingles(h: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +151,7 @@ def shingles(h: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         y = x[:1].copy()
         for z in x[1:]:
             y = y * _STEP + z
-        own[i] = mix(y ^ U(len(x)) * _LEN)[0]
+        own[i] = mix(y ^ tag(len(x)))[0]
     d = np.concatenate([doc[at], short])
     order = np.argsort(d, kind="stable")
     return d[order], np.concatenate([v, own])[order]

@@ -208,8 +208,8 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     root = components(links).withColumnRenamed("node", "owner")
     named = about.join(root, "owner", "left").withColumn("root", F.coalesce("root", "owner"))
     named = written(named.select("doc_id", "n", "root"), "named")
-    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = written(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    out = matched(named.where("n > 0"), least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(named.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 

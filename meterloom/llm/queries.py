@@ -3,26 +3,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, substring
+from . import bpe, contamination, disclosure, jaccard, licences, line_frequency, substring, token_frames, warc_index, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = line_frequency.judged(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *line_frequency.STATS, "base_failed", "kept", "removed_words")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disclosure.digest(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+
+
+def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_frames.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.without_repeats(_table(spark, sf_dir, "documents"), width=50)
     return out.select("doc_id", "n_words", "n_removed", F.coalesce("words_sha256", F.sha2("kept_text", 256)).alias("kept_sha256"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
+    out = bpe.decode(coded, ranks)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_ngram_jaccard_join, op9_substring_dedup)
+    f.__name__: f for f in (op1_line_frequency, op2_decontamination, op3_disclosure, op4_wordpiece_counts, op5_licence_scan, op6_ngram_jaccard_join,
+                            op7_token_frames, op8_warc_index, op9_substring_dedup, op10_byte_bpe)
 }
 SQL: dict[str, str] = {}

@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def matched(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def matched(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Join with a written side of narrow rows: broadcast if it has at most BROADCAST_ROWS, else shuffled."""
     few = small.count() <= BROADCAST_ROWS
     return big.join(F.broadcast(small) if few else small.hint("shuffle_merge"), key, how)

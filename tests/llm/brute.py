@@ -59,3 +59,69 @@ def substring_removal(docs, width):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def base_measures(text):
+    text = text or ""
+    w = words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    grams = {}
+    for i in range(len(w) - 7):
+        grams.setdefault(tuple(w[i:i + 8]), []).append(i)
+    repeated = {j for at in grams.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(repeated), n < 20 or 100 * len(repeated) > 30 * n
+
+
+PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PLAIN:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def leaks(docs, items, k=5, percent=80):
+    sets = {i: shingle_set(t, k) for i, t in items}
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, set()).add(i)
+    out = set()
+    for d, t in docs:
+        s = shingle_set(t, k)
+        for i in {i for g in s for i in holders.get(g, ())}:
+            if 100 * len(s & sets[i]) >= percent * len(sets[i]):
+                out.add((d, i))
+    return out
+
+
+def wordpieces(word, first, later):
+    """Greedy longest match; 0 if it fails."""
+    at, n = 0, 0
+    while at < len(word):
+        vocab = later if at else first
+        to = next((z for z in range(len(word), at, -1) if word[at:z] in vocab), None)
+        if to is None:
+            return 0
+        at, n = to, n + 1
+    return n
