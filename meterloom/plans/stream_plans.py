@@ -9,20 +9,16 @@ from ..streaming import jobs as J
 from .catalog import query
 from .sqlbase import sel
 
-# Rows of windows that end before the final watermark (latest event minus the delay) are emitted.
-_WM = "wm AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events)"
 
-
-@query("stream_daily_rollup", "S-1", sel(_WM + ", g AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_id) AS n, sum(value) AS total FROM events GROUP BY ALL)", "g, wm WHERE day + INTERVAL 1 DAY <= w", "user_id, day, n", "total", 4))
+@query("stream_daily_rollup", "S-1", sel("g AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_id) AS n, sum(value) AS total FROM events GROUP BY ALL)", "g", "user_id, day, n", "total", 4))
 def _(spark, sf):
-    return rounded(J.run_to_table(J.daily_rollup(J.read_events(spark, sf)), "daily"), 4)
+    return rounded(J.run_whole(J.read_events(spark, sf), J.daily_rollup, "daily"), 4)
 
 
-@query("stream_sliding_stats", "S-2", sel(_WM + """,
-s AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * k AS start, value FROM events, range(3) t(k)),
-g AS (SELECT event_type, start, count(*) AS n, avg(value) AS mean, max(value) AS hi FROM s GROUP BY ALL)""", "g, wm WHERE start + INTERVAL 3 DAY <= w", "event_type, start, n", "mean, hi", 5))
+@query("stream_sliding_stats", "S-2", sel("""s AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * k AS start, value FROM events, range(3) t(k)),
+g AS (SELECT event_type, start, count(*) AS n, avg(value) AS mean, max(value) AS hi FROM s GROUP BY ALL)""", "g", "event_type, start, n", "mean, hi", 5))
 def _(spark, sf):
-    x = J.run_to_table(J.sliding_stats(J.read_events(spark, sf)), "sliding")
+    x = J.run_whole(J.read_events(spark, sf), J.sliding_stats, "sliding")
     return rounded(x.withColumn("start", F.col("start").cast("timestamp_ntz")), 5)
 
 
@@ -33,16 +29,15 @@ s AS (SELECT *, a - least(0, min(a) OVER w) AS up, b - least(0, min(b) OVER w) A
 f AS (SELECT user_id, arg_min(struct_pack(ts := ts, n := n, direction := CASE WHEN up > down THEN 'rise' ELSE 'drop' END), n) AS f FROM s WHERE greatest(up, down) > 3 * sd GROUP BY 1)
 SELECT user_id, f.ts AS ts, f.n AS n, f.direction AS direction FROM f""")
 def _(spark, sf):
-    x = J.run_to_table(J.shift_alarms(J.read_events(spark, sf)), "alarms")
+    x = J.run_whole(J.read_events(spark, sf), J.shift_alarms, "alarms")
     return x.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_outages", "S-4", "WITH " + _WM + """,
-a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events),
+@query("stream_outages", "S-4", """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a), c AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM b GROUP BY user_id, s)
-SELECT user_id, first_ts, last_ts, n FROM c, wm WHERE last_ts + INTERVAL 1 DAY <= w""")
+SELECT user_id, first_ts, last_ts, n FROM c""")
 def _(spark, sf):
-    x = J.run_to_table(J.outages(J.read_events(spark, sf)), "outages")
+    x = J.run_whole(J.read_events(spark, sf), J.outages, "outages")
     return x.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
