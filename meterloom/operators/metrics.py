@@ -59,14 +59,16 @@ def threshold_table(scores: DataFrame, by: list[str] | None = None, grid: Grid =
 
 def table_from_histogram(h: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     """Counts above every threshold from (keys, b, pos, neg) cells."""
-    cells = h.groupBy(*keys).agg(F.collect_list(F.struct("b", "pos", "neg")).alias("h"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     k = grid_size(grid)
-    t = cells.select(*keys, "n_pos", "n_neg", "h", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))  # at most k+1 cells per group
+    cells = h.groupBy(*keys).agg(F.collect_list(F.struct("b", "pos", "neg")).alias("h"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))  # at most k + 1 cells
+    maps = {c: F.map_from_arrays(F.col("h")["b"], F.col("h")[c]).alias(f"m_{c}") for c in ("pos", "neg")}
+    t = cells.select(*keys, "n_pos", "n_neg", *maps.values()).select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
+    above = W.partitionBy(*keys).orderBy(F.col("j").desc()).rowsBetween(W.unboundedPreceding, -1)  # in the partitioning of the groups
 
-    def above(field):
-        return F.aggregate(F.filter("h", lambda c: c["b"] > F.col("j")), F.lit(0).cast("bigint"), lambda a, c: a + c[field])
+    def over(c):
+        return F.coalesce(F.sum(F.try_element_at(f"m_{c}", "j")).over(above), F.lit(0))
 
-    t = t.select(*keys, "j", grid_value(grid, F.col("j")).alias("th"), above("pos").alias("tp"), above("neg").alias("fp"), "n_pos", "n_neg")
+    t = t.select(*keys, "j", grid_value(grid, F.col("j")).alias("th"), over("pos").alias("tp"), over("neg").alias("fp"), "n_pos", "n_neg").where(F.col("j") < k)
     return t.withColumn("fn", F.col("n_pos") - F.col("tp")).withColumn("tn", F.col("n_neg") - F.col("fp"))
 
 

@@ -143,12 +143,15 @@ def candidate_histogram(m: DataFrame, weights: np.ndarray, grid: M.Grid = M.GRID
             if not len(b):
                 continue
             for key, part in (b.groupby(by) if by else [((), b)]):
-                p = np.stack(part["p"].to_numpy()) @ wt.T
-                cell = np.searchsorted(th, p, side=side) + np.arange(len(wt)) * k
+                every = np.stack(part["p"].to_numpy())
                 y = part["y"].to_numpy().astype(bool)
                 h = acc.setdefault(tuple(key), np.zeros((2, len(wt) * k), np.int64))
-                h[0] += np.bincount(cell[y].ravel(), minlength=len(wt) * k)
-                h[1] += np.bincount(cell[~y].ravel(), minlength=len(wt) * k)
+                for c in range(0, len(wt), 256):  # a bounded block of rows x candidates
+                    some = wt[c:c + 256]
+                    cell = np.searchsorted(th, every @ some.T, side=side) + np.arange(len(some)) * k
+                    at = slice(c * k, (c + len(some)) * k)
+                    h[0, at] += np.bincount(cell[y].ravel(), minlength=len(some) * k)
+                    h[1, at] += np.bincount(cell[~y].ravel(), minlength=len(some) * k)
         for key, h in acc.items():
             at = np.flatnonzero(h.sum(axis=0))
             out = {c: v for c, v in zip(by, key)}
@@ -181,8 +184,10 @@ def unit(k: int, members: list[int]) -> np.ndarray:
     return w
 
 
-def greedy_forward(m: DataFrame, width: int, max_size: int = 15, n_candidates: int = 10) -> list[tuple[int, int, float]]:
-    """Grow an equal-weight ensemble by the candidate that raises F1 most; one job per step. [(step, model, f1)]"""
+def greedy_forward(m: DataFrame, width: int, max_size: int = 15, n_candidates: int | None = None) -> list[tuple[int, int, float]]:
+    """Grow an equal-weight ensemble by the candidate that raises F1 most; one job per step. [(step, model, f1)]
+
+    n_candidates: try only so many of the best remaining models at each step; None tries all."""
     single = f1_of_weights(m, np.eye(width))
     order = sorted(range(width), key=lambda i: -single[i])
     chosen, best = [order[0]], float(single[order[0]])
@@ -248,27 +253,24 @@ def nnls_weights(m: DataFrame) -> np.ndarray:
 
 
 def coordinate_grid(m: DataFrame, width: int, levels: int = 11, passes: int = 3) -> tuple[np.ndarray, float]:
-    """Try `levels` values for one weight at a time (renormalized). All values left of a coordinate share one job;
-    after an improvement the rest of its values start from the improved weights."""
+    """Try `levels` values for one weight at a time (renormalized), weight after weight; an improvement is kept at once.
+
+    All trials of a pass that are still ahead share one job; after an improvement the rest start from the new weights."""
     best = np.full(width, 1 / width)
     top = float(f1_of_weights(m, [best])[0])
-    values = np.linspace(0, 1, levels)
+    order = [(i, v) for i in range(width) for v in np.linspace(0, 1, levels)]
     for _ in range(passes):
-        improved = False
-        for i in range(width):
-            rest = list(values)
-            while rest:
-                trial = []
-                for v in rest:
-                    w = best.copy()
-                    w[i] = v
-                    trial.append(w / w.sum() if w.sum() > 0 else w)
-                f1 = f1_of_weights(m, trial)
-                up = np.flatnonzero(f1 > top)
-                if not up.size:
-                    break
-                best, top, improved = trial[up[0]], float(f1[up[0]]), True
-                rest = rest[up[0] + 1:]
+        at, improved = 0, False
+        while at < len(order):
+            trial = np.repeat(best[None], len(order) - at, axis=0)
+            trial[np.arange(len(trial)), [i for i, _ in order[at:]]] = [v for _, v in order[at:]]
+            total = trial.sum(axis=1, keepdims=True)
+            trial = trial / np.where(total > 0, total, 1)
+            f1 = f1_of_weights(m, trial)
+            up = np.flatnonzero(f1 > top)
+            if not up.size:
+                break
+            best, top, improved, at = trial[up[0]], float(f1[up[0]]), True, at + int(up[0]) + 1
         if not improved:
             break
     return best, top
@@ -294,27 +296,17 @@ def hill_climb(m: DataFrame, width: int, step: float = 0.1, rounds: int = 20) ->
     return best, top
 
 
-def blend_rows(m: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(cand, y, p) of every blend; for exact curves."""
-    wt = np.asarray(weights, float)
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                p = np.stack(b["p"].to_numpy()) @ wt.T
-                yield pd.DataFrame({"cand": np.tile(np.arange(len(wt)), len(b)), "y": np.repeat(b["y"].to_numpy(), len(wt)), "p": p.ravel()})
-
-    return m.select("y", "p").mapInPandas(run, "cand int, y int, p double")
-
-
-def recall_f1_frontier(m: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Best point of every random blend's exact curve, then the best F1 per recall bin of 0.05."""
-    c = M.curve_points(blend_rows(m, weights), ["cand"])
-    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-12)
-    c = c.withColumn("f1", f1)
-    top = c.groupBy("cand").agg(F.max_by(F.struct("f1", "recall", "precision"), F.struct("f1", "score")).alias("b")).select("cand", "b.*")
+def recall_f1_frontier(m: DataFrame, weights: np.ndarray, grid: M.Grid = (1, 1000, 1), floor: float = 0.9) -> DataFrame:
+    """Best point of every random blend, then the best F1 per recall bin of 0.05; and, as recall_bin null, the best point
+    of all blends with recall of at least `floor`. Counts per threshold come from one histogram job; rows aren't copied."""
+    t = M.with_rates(M.table_from_histogram(candidate_histogram(m, weights, grid), ["cand"], grid)).where("tp + fp > 0").withColumnRenamed("th", "threshold")
+    point = F.struct("f1", "recall", "precision", "cand", "threshold")
+    first = F.struct(F.round("f1", 12), -F.col("cand"), -F.col("threshold"))
+    top = t.groupBy("cand").agg(F.max_by(point, first).alias("b")).select("b.*")
     bins = top.withColumn("recall_bin", F.floor(F.col("recall") * 20) / 20)
-    return bins.groupBy("recall_bin").agg(F.max_by(F.struct("f1", "recall", "precision", "cand"), F.struct("f1", -F.col("cand"))).alias("b")).select("recall_bin", "b.*")
+    pareto = bins.groupBy("recall_bin").agg(F.max_by(point, first).alias("b"))
+    wanted = t.where(F.col("recall") >= floor).agg(F.lit(None).cast("double").alias("recall_bin"), F.max_by(point, first).alias("b"))
+    return pareto.union(wanted).select("recall_bin", "b.*")
 
 
 # ---------------------------------------------------------------- votes and labels

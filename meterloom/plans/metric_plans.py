@@ -91,9 +91,9 @@ def _(spark, sf):
 @query("detection_rate_threshold", "J-5", sel(SCORES + ",\n" + grid_sql("scores", "model") + """,
 bd AS (SELECT *, n_pos / (n_pos + n_neg)::DOUBLE AS pr, coalesce(tp / greatest(n_pos, 1)::DOUBLE * (n_pos / (n_pos + n_neg)::DOUBLE) / nullif(tp / greatest(n_pos, 1)::DOUBLE * (n_pos / (n_pos + n_neg)::DOUBLE)
   + fp / greatest(n_neg, 1)::DOUBLE * (1 - n_pos / (n_pos + n_neg)::DOUBLE), 0), 0) AS bdr FROM grid),
-""" + best_sql("model", obj="bdr", cols="bdr", grid="bd"), "best", "model", "bdr"))
+""" + best_sql("model", obj="bdr", cols="bdr", grid="bd"), "best", "model", "threshold, bdr"))
 def _(spark, sf):
-    return rounded(M.best_detection_rate(T.scores(spark, sf), ["model"])).select("model", "bdr")
+    return rounded(M.best_detection_rate(T.scores(spark, sf), ["model"])).select("model", "threshold", "bdr")
 
 
 CONF = SCORES + """,
@@ -148,15 +148,14 @@ def _(spark, sf):
     return rounded(M.evaluate(T.scores(spark, sf), ["model"]))
 
 
-FEW = [f"m{i}" for i in range(6)]
-_FS = SCORES + ",\n" + ID_FOLDS + ",\nsf AS MATERIALIZED (SELECT scores.*, fold FROM scores JOIN idf USING (id) WHERE k < 6)"
+_FS = SCORES + ",\n" + ID_FOLDS + ",\nsf AS MATERIALIZED (SELECT scores.*, fold FROM scores JOIN idf USING (id))"
 
 
 @query("fold_metrics", "J-11", sel(_FS + ",\n" + auc_sql("sf", "model, fold") + ",\n" + grid_sql("sf", "model, fold") + ",\n" + best_sql("model, fold") + """,
 lm AS (SELECT model, fold, 'auc' AS metric, auc AS v FROM auc UNION ALL SELECT model, fold, 'f1', f1 FROM best UNION ALL SELECT model, fold, 'recall', recall FROM best UNION ALL SELECT model, fold, 'precision', precision FROM best)""",
                                    "lm GROUP BY ALL", "model, metric", [("avg(v)", "mean"), ("stddev_samp(v)", "std"), ("min(v)", "lo"), ("max(v)", "hi")]))
 def _(spark, sf):
-    s = scored_folds(spark, sf, FEW)
+    s = scored_folds(spark, sf)
     m = M.roc_auc(s, ["model", "fold"]).join(M.best_f1(s, ["model", "fold"]), ["model", "fold"])
     return rounded(M.fold_summary(m, ["auc", "f1", "recall", "precision"], ["model"]))
 
@@ -223,7 +222,7 @@ cr AS (SELECT model, t.fold, s, row_number() OVER (PARTITION BY model, t.fold OR
 q AS (SELECT model, fold, any_value(n) AS cal_size, max(s) FILTER (r = CAST(ceil(least(ceil((n + 1) * 0.9 - 1e-9) / n, 1) * (n - 1) - 1e-9) AS BIGINT)) AS q_hat FROM cr GROUP BY ALL)""", "s2 JOIN q ON q.model = s2.model AND q.fold = s2.fold GROUP BY ALL",
                                      "s2.model, s2.fold, any_value(cal_size) AS cal_size, count(*) AS test_size", [("avg((s <= q_hat)::INT)", "coverage")]))
 def _(spark, sf):
-    s = scored_folds(spark, sf, FEW).withColumn("s", CF.true_class_score())
+    s = scored_folds(spark, sf).withColumn("s", CF.true_class_score())
     return rounded(CF.block_coverage(s, 0.1, 5, ["model"]))
 
 
@@ -314,16 +313,16 @@ def _(spark, sf):
 
 
 @query("per_type_metrics", "J-21", sel(SCORES + """,
-ty AS (SELECT s.id, s.model, s.p, e.label FROM scores s JOIN embeddings e ON e.vec_id = s.id WHERE k < 6),
-tx AS (SELECT t.type, model, p, (label = t.type)::INT AS y FROM ty, (VALUES (0), (1), (2)) t(type) WHERE label = t.type OR label >= 3),
+ty AS (SELECT s.id, s.model, s.p, e.label FROM scores s JOIN embeddings e ON e.vec_id = s.id),
+tx AS (SELECT t.type, model, p, (label = t.type)::INT AS y FROM ty, (SELECT DISTINCT label AS type FROM embeddings WHERE label <> 0) t WHERE label = t.type OR label = 0),
 """ + auc_sql("tx", "model, type") + """,
 rc AS (SELECT model, type, count(*) FILTER (y = 1 AND p > 0.5) / count(*) FILTER (y = 1)::DOUBLE AS recall, count(*) FILTER (y = 1) AS n_type FROM tx GROUP BY ALL)""", "auc JOIN rc USING (model, type)", "model, CAST(type AS INTEGER) AS type, n_type", "auc, recall"))
 def _(spark, sf):
+    # label 0 is the normal class; a typed row belongs to its own type, a normal row to every type
     lab = T.embeddings(spark, sf).select(F.col("vec_id").alias("id"), "label")
-    s = T.scores(spark, sf).where(F.col("model").isin(FEW)).drop("y").join(lab, "id")
-    # a typed row belongs to its own type, a normal row to each of the three
-    types = F.when(F.col("label") >= 3, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array("label"))
-    x = s.withColumn("type", F.explode(types)).withColumn("y", (F.col("label") == F.col("type")).cast("int"))
+    kinds = lab.where("label <> 0").agg(F.collect_set("label").alias("kinds"))  # one row, a value for each type
+    s = T.scores(spark, sf).drop("y").join(lab, "id").join(F.broadcast(kinds))
+    x = s.withColumn("type", F.explode(F.when(F.col("label") == 0, F.col("kinds")).otherwise(F.array("label")))).withColumn("y", (F.col("label") == F.col("type")).cast("int"))
     r = x.groupBy("model", "type").agg((F.count_if((F.col("y") == 1) & (F.col("p") > 0.5)) / F.count_if(F.col("y") == 1)).alias("recall"), F.count_if(F.col("y") == 1).alias("n_type"))
     return rounded(M.roc_auc(x, ["model", "type"]).join(r, ["model", "type"]))
 
@@ -437,9 +436,10 @@ def _(spark, sf):
 
 @query("mcnemar", "J-26", sel(SCORES + """,
 w AS (SELECT id, any_value(y) AS y, (max(p) FILTER (k = 0) > 0.5)::INT AS a, (max(p) FILTER (k = 1) > 0.5)::INT AS b FROM scores GROUP BY 1),
-g AS (SELECT count(*) FILTER (a = y AND b <> y) AS only_a, count(*) FILTER (a <> y AND b = y) AS only_b FROM w)""", "g", "only_a, only_b", [("coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0)", "chi2")]))
+g AS (SELECT count(*) FILTER (a = y AND b <> y) AS only_a, count(*) FILTER (a <> y AND b = y) AS only_b FROM w),
+h AS (SELECT *, coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0) AS chi2 FROM g)""", "h", "only_a, only_b", ["chi2", ("1 - sqrt(2 / pi()) * (sqrt(chi2) / 6000) * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * sqrt(chi2) / 2000, 2) / 2)))", "p_value")]))
 def _(spark, sf):
-    return rounded(M.mcnemar(T.wide_scores(spark, sf, [0, 1]), "m0", "m1").drop("p_value"))
+    return rounded(M.mcnemar(T.wide_scores(spark, sf, [0, 1]), "m0", "m1"))
 
 
 @query("volatility_terciles", "J-27", sel(SERIES + """,
@@ -454,7 +454,7 @@ def _(spark, sf):
 @query("fold_confusion", "J-6", sel(_FS + ", cf AS (SELECT model, fold, count(*) AS n, count(*) FILTER (p > 0.5 AND y = 1) AS tp, count(*) FILTER (p > 0.5 AND y = 0) AS fp, count(*) FILTER (p <= 0.5 AND y = 1) AS fn, count(*) FILTER (p <= 0.5 AND y = 0) AS tn FROM sf GROUP BY ALL)",
                                     "cf", "model, fold, n, tp, fp, fn, tn", [("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)", "f1"), ("coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)", "recall"), ("coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)", "precision")]))
 def _(spark, sf):
-    return rounded(M.with_rates(M.confusion(scored_folds(spark, sf, FEW), ["model", "fold"])))
+    return rounded(M.with_rates(M.confusion(scored_folds(spark, sf), ["model", "fold"])))
 
 
 def with_subgroup_of(x):

@@ -95,13 +95,13 @@ def _(spark, sf):
 
 @query("greedy_selection", "K-7")
 def _(spark, sf):
-    t = K.greedy_forward(matrix(spark, sf), N)
+    t = K.greedy_forward(cut_lineage(matrix(spark, sf)), N)
     return rounded(frame(spark, [(s, T.MODELS[i], float(f)) for s, i, f in t], "step int, model string, f1 double"))
 
 
 @query("diverse_selection", "K-8")
 def _(spark, sf):
-    t = K.greedy_diverse(matrix(spark, sf, list(range(16))), 16, 6)
+    t = K.greedy_diverse(cut_lineage(matrix(spark, sf)), N, 6)
     return rounded(frame(spark, [(s, T.MODELS[i], float(f)) for s, i, f in t], "step int, model string, objective double"))
 
 
@@ -120,56 +120,70 @@ def _(spark, sf):
 
 @query("coordinate_blend", "K-10")
 def _(spark, sf):
-    w, f1 = K.coordinate_grid(matrix(spark, sf, [0, 1, 2, 3]), 4)
+    w, f1 = K.coordinate_grid(cut_lineage(matrix(spark, sf)), N)
     return rounded(frame(spark, [(T.MODELS[i], float(x), f1) for i, x in enumerate(w)], "model string, weight double, f1 double"))
 
 
 @query("hill_climb_blend", "K-10")
 def _(spark, sf):
-    w, f1 = K.hill_climb(matrix(spark, sf, [0, 1, 2, 3]), 4)
+    w, f1 = K.hill_climb(cut_lineage(matrix(spark, sf)), N)
     return rounded(frame(spark, [(T.MODELS[i], float(x), f1) for i, x in enumerate(w)], "model string, weight double, f1 double"))
 
 
-PAIR_W = [(i, j, k) for i in range(4) for j in range(i + 1, 4) for k in range(1, 10)]
+PAIR_W = [(i, j, k) for i in range(N) for j in range(i + 1, N) for k in range(1, 10)]
 
 
 @query("pair_blends", "K-11", sel(SCORES + """,
-w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores WHERE k < 4 GROUP BY 1),
-bl AS MATERIALIZED (SELECT a, b, t, y, (t / 10.0) * ps[a + 1] + (1 - t / 10.0) * ps[b + 1] AS p FROM w, range(4) x(a), range(4) z(b), range(1, 10) q(t) WHERE a < b),
-""" + grid_sql("bl", "a, b, t") + ",\n" + best_sql("a, b, t"), "best", "CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS tenths", "threshold, f1, recall, precision"))
+w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores GROUP BY 1),
+hc AS (SELECT a, b, t, y, CAST(least(greatest(ceil(((t / 10.0) * ps[a + 1] + (1 - t / 10.0) * ps[b + 1]) * 200 - 10), 0), 180) AS INTEGER) AS c FROM w, range(64) x(a), range(64) z(b), range(1, 10) q(t) WHERE a < b),
+hh AS (SELECT a, b, t, c, sum(y) AS pos, count(*) - sum(y) AS neg FROM hc GROUP BY ALL),
+cu AS (SELECT *, sum(pos) OVER u AS tp, sum(neg) OVER u AS fp, sum(pos) OVER s AS n_pos, coalesce(lag(c) OVER v, 0) AS below FROM hh WINDOW u AS (PARTITION BY a, b, t ORDER BY c DESC), s AS (PARTITION BY a, b, t), v AS (PARTITION BY a, b, t ORDER BY c)),
+grid AS (SELECT a, b, t, (10 + below) / 200.0::DOUBLE AS th, 2 * tp / (tp + fp + n_pos)::DOUBLE AS f1, tp / n_pos::DOUBLE AS recall, tp / (tp + fp)::DOUBLE AS precision, tp, fp FROM cu WHERE c > 0),
+""" + best_sql("a, b, t"), "best", "CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS tenths", "threshold, f1, recall, precision"))
 def _(spark, sf):
-    ws = []
-    for i, j, k in PAIR_W:
-        w = np.zeros(4)
-        w[i], w[j] = k / 10, 1 - k / 10
-        ws.append(w)
-    names = F.element_at(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(k).alias("tenths")) for i, j, k in PAIR_W]), F.col("cand") + 1)
-    r = K.evaluate_weights(matrix(spark, sf, [0, 1, 2, 3]), ws)
-    return rounded(r.withColumn("n", names).select("n.*", "threshold", "f1", "recall", "precision"))
+    ws = np.zeros((len(PAIR_W), N))
+    for c, (i, j, k) in enumerate(PAIR_W):
+        ws[c, i], ws[c, j] = k / 10, 1 - k / 10
+    names = frame(spark, [(c, i, j, k) for c, (i, j, k) in enumerate(PAIR_W)], "cand int, a int, b int, tenths int")
+    r = K.evaluate_weights(matrix(spark, sf), ws)
+    return rounded(r.join(names, "cand").select("a", "b", "tenths", "threshold", "f1", "recall", "precision"))
 
 
 SIMPLEX = [(a, b, 10 - a - b) for a in range(11) for b in range(11 - a)]
 SIMPLEX_GRID: M.Grid = (100, 900, 20)
+TOP = 6
+_TOP = SCORES + ",\n" + auc_sql("scores", "model") + f""",
+tm AS (SELECT model, row_number() OVER (ORDER BY round(auc, 9) DESC, CAST(substr(model, 2) AS INTEGER)) AS r FROM auc QUALIFY r <= {TOP}),
+w AS (SELECT id, any_value(y) AS y, list(p ORDER BY r) AS ps, list(model ORDER BY r) AS ms FROM scores JOIN tm USING (model) GROUP BY 1)"""
 
 
-@query("triple_blends", "K-11", sel(SCORES + """,
-w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores WHERE k < 3 GROUP BY 1),
-bl AS MATERIALIZED (SELECT wa, wb, y, (wa / 10.0) * ps[1] + (wb / 10.0) * ps[2] + ((10 - wa - wb) / 10.0) * ps[3] AS p FROM w, range(1, 10) x(wa), range(1, 10) z(wb) WHERE wa + wb < 10),
-""" + grid_sql("bl", "wa, wb") + ",\n" + best_sql("wa, wb"), "best", "CAST(wa AS INTEGER) AS wa, CAST(wb AS INTEGER) AS wb", "threshold, f1, recall, precision"))
+def top_models(spark, sf, n: int = TOP) -> list[int]:
+    """The n models of largest AUC."""
+    auc = {r.model: round(r.auc, 9) for r in M.roc_auc(T.scores(spark, sf), ["model"]).collect()}  # one row per model
+    return sorted(range(N), key=lambda i: (-auc[T.MODELS[i]], i))[:n]
+
+
+@query("triple_blends", "K-11", sel(_TOP + f""",
+bl AS MATERIALIZED (SELECT ms[a] AS ma, ms[b] AS mb, ms[c] AS mc, wa, wb, y, (wa / 10.0) * ps[a] + (wb / 10.0) * ps[b] + ((10 - wa - wb) / 10.0) * ps[c] AS p
+  FROM w, range(1, {TOP + 1}) i(a), range(1, {TOP + 1}) j(b), range(1, {TOP + 1}) k(c), range(1, 10) x(wa), range(1, 10) z(wb) WHERE a < b AND b < c AND wa + wb < 10),
+""" + grid_sql("bl", "ma, mb, mc, wa, wb", 50, 950, 20) + ",\n" + best_sql("ma, mb, mc, wa, wb"), "best", "ma, mb, mc, CAST(wa AS INTEGER) AS wa, CAST(wb AS INTEGER) AS wb", "threshold, f1, recall, precision"))
 def _(spark, sf):
-    tri = [(a, b, c) for a, b, c in SIMPLEX if min(a, b, c) > 0]
-    r = K.evaluate_weights(matrix(spark, sf, [0, 1, 2]), np.array(tri) / 10)
-    names = F.element_at(F.array(*[F.struct(F.lit(a).alias("wa"), F.lit(b).alias("wb")) for a, b, _ in tri]), F.col("cand") + 1)
-    return rounded(r.withColumn("n", names).select("n.*", "threshold", "f1", "recall", "precision"))
+    top = top_models(spark, sf)
+    tri = [(i, j, k, a, b, c) for i in range(TOP) for j in range(i + 1, TOP) for k in range(j + 1, TOP) for a, b, c in SIMPLEX if min(a, b, c) > 0]
+    ws = np.zeros((len(tri), TOP))
+    for n, (i, j, k, a, b, c) in enumerate(tri):
+        ws[n, [i, j, k]] = a / 10, b / 10, c / 10
+    names = frame(spark, [(n, *(T.MODELS[top[x]] for x in (i, j, k)), a, b) for n, (i, j, k, a, b, _) in enumerate(tri)], "cand int, ma string, mb string, mc string, wa int, wb int")
+    r = K.evaluate_weights(matrix(spark, sf, top), ws, (50, 950, 20))
+    return rounded(r.join(names, "cand").select("ma", "mb", "mc", "wa", "wb", "threshold", "f1", "recall", "precision"))
 
 
-@query("fold_simplex_weights", "K-12", sel(SCORES + ",\n" + ID_FOLDS + """,
-w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores WHERE k < 3 GROUP BY 1),
+@query("fold_simplex_weights", "K-12", sel(_TOP + ",\n" + ID_FOLDS + """,
 bl AS MATERIALIZED (SELECT fold, a, b, y, (a / 10.0) * ps[1] + (b / 10.0) * ps[2] + ((10 - a - b) / 10.0) * ps[3] AS p FROM w JOIN idf USING (id), range(11) x(a), range(11) z(b) WHERE a + b <= 10),
 """ + grid_sql("bl", "fold, a, b", 100, 900, 20) + ",\n" + best_sql("fold, a, b") + """,
 tp AS (SELECT fold, arg_max(struct_pack(a, b, f1), struct_pack(x := round(f1, 9), y := -a, z := -b)) AS t FROM best GROUP BY 1)""", "tp", "fold, CAST(t.a AS INTEGER) AS a, CAST(t.b AS INTEGER) AS b", [("t.f1", "f1")]))
 def _(spark, sf):
-    m = matrix(spark, sf, [0, 1, 2])
+    m = matrix(spark, sf, top_models(spark, sf, 3))
     f = stratified_folds(m.select("id", "y"), 5, "id").select("id", "fold")
     r = K.evaluate_weights(m.join(f, "id"), np.array(SIMPLEX) / 10, SIMPLEX_GRID, ["fold"])
     names = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in SIMPLEX]), F.col("cand") + 1)
@@ -179,8 +193,8 @@ def _(spark, sf):
 
 @query("recall_frontier", "K-13")
 def _(spark, sf):
-    w = np.random.default_rng(42).dirichlet(np.ones(8), 60)
-    return rounded(K.recall_f1_frontier(matrix(spark, sf, list(range(8))), w))
+    w = np.random.default_rng(42).dirichlet(np.ones(N), 2000)
+    return rounded(K.recall_f1_frontier(matrix(spark, sf), w))
 
 
 @query("simple_ensembles", "K-14", sel(SCORES + ",\n" + grid_sql("scores", "model", cte="g1") + ",\n" + best_sql("model", grid="g1", cte="b1") + """,
@@ -206,33 +220,39 @@ def _(spark, sf):
     return rounded(x.select("series_id", "mean", "std", "missing_rate", F.col("p").alias("p_a"), pb.alias("p_b"), F.abs(F.col("p") - pb).alias("p_diff")))
 
 
-def _gated(spark, sf):
-    from ..operators.ranking import global_quantiles
-    w = T.wide_scores(spark, sf, [0, 1, 2, 3, 4]).withColumn("cut", global_quantiles(T.wide_scores(spark, sf, [4]), "m4", {"q": .8})["q"])
-    out = []
-    for k in (1, 2, 3):
-        for t in range(1, 11):
-            b, a, r, g = t / 10, F.col("m0"), F.col(f"m{k}"), F.col("m4")
-            soft = F.least(F.greatest(g * b, F.lit(0.0)), F.lit(1.0))
-            out += [F.struct(F.lit(f"m{k}").alias("rescue"), F.lit("soft").alias("gate"), F.lit(t).alias("tenths"), ((1 - soft) * a + soft * r).alias("p")),
-                    F.struct(F.lit(f"m{k}").alias("rescue"), F.lit("top20").alias("gate"), F.lit(t).alias("tenths"), F.when(g >= F.col("cut"), (1 - b) * a + b * r).otherwise(a).alias("p"))]
-    return w.select("id", "y", F.explode(F.array(*out)).alias("s")).select("id", "y", "s.*")
+BASE, GATE = 0, 4
+RESCUES = [k for k in range(N) if k not in (BASE, GATE)]
 
 
-@query("gated_blend", "K-17", sel(SCORES + """,
-w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores WHERE k < 5 GROUP BY 1), cut AS (SELECT quantile_cont(ps[5], 0.8) AS c FROM w),
-gb AS MATERIALIZED (SELECT 'm' || k AS rescue, gate, t AS tenths, y, CASE WHEN gate = 'soft' THEN (1 - ps[5] * (t / 10.0)) * ps[1] + ps[5] * (t / 10.0) * ps[k + 1] WHEN ps[5] >= c THEN (1 - t / 10.0) * ps[1] + (t / 10.0) * ps[k + 1] ELSE ps[1] END AS p
-  FROM w, cut, range(1, 4) x(k), range(1, 11) q(t), (VALUES ('soft'), ('top20')) z(gate)),
+@query("gated_blend", "K-17", sel(SCORES + f""",
+w AS (SELECT id, any_value(y) AS y, list(p ORDER BY k) AS ps FROM scores GROUP BY 1), cut AS (SELECT quantile_cont(ps[{GATE + 1}], 0.8) AS c FROM w),
+gb AS MATERIALIZED (SELECT 'm' || k AS rescue, gate, t AS tenths, y, CASE WHEN gate = 'soft' THEN (1 - ps[{GATE + 1}] * (t / 10.0)) * ps[{BASE + 1}] + ps[{GATE + 1}] * (t / 10.0) * ps[k + 1] WHEN ps[{GATE + 1}] >= c THEN (1 - t / 10.0) * ps[{BASE + 1}] + (t / 10.0) * ps[k + 1] ELSE ps[{BASE + 1}] END AS p
+  FROM w, cut, range({N}) x(k), range(1, 11) q(t), (VALUES ('soft'), ('top20')) z(gate) WHERE k NOT IN ({BASE}, {GATE})),
 """ + grid_sql("gb", "rescue, gate, tenths", 10, 995, 5, ">=") + ",\n" + best_sql("rescue, gate, tenths"), "best", "rescue, gate, CAST(tenths AS INTEGER) AS tenths", "f1, recall, precision"))
 def _(spark, sf):
-    return rounded(M.best_f1(_gated(spark, sf), ["rescue", "gate", "tenths"], grid=(10, 995, 5), inclusive=True).drop("threshold"))
+    """Both gates are linear in gate * (rescue - base): the blends are weight vectors over such columns."""
+    from ..operators.ranking import global_quantiles
+    cut = global_quantiles(T.wide_scores(spark, sf, [GATE]), f"m{GATE}", {"q": .8})["q"]
+    base, gate = F.get("p", F.lit(BASE)), F.get("p", F.lit(GATE))
+    gates = {"soft": gate, "top20": (gate >= F.col("cut")).cast("double")}
+    moved = [g * (F.get("p", F.lit(k)) - base) for g in gates.values() for k in RESCUES]
+    m = matrix(spark, sf).withColumn("cut", cut).select("id", "y", F.array(base, *moved).alias("p"))
+    ws, names = [], []
+    for at, (g, k) in enumerate([(g, k) for g in gates for k in RESCUES], 1):
+        for t in range(1, 11):
+            w = np.zeros(1 + len(moved))
+            w[0], w[at] = 1, t / 10
+            ws.append(w)
+            names.append((len(names), f"m{k}", g, t))
+    r = K.evaluate_weights(m, ws, (10, 995, 5), inclusive=True)
+    return rounded(r.join(frame(spark, names, "cand int, rescue string, gate string, tenths int"), "cand").select("rescue", "gate", "tenths", "f1", "recall", "precision"))
 
 
 @query("oracle_bound", "K-18", sel(SCORES + """,
-ob AS (SELECT 'bound' AS cand, id, any_value(y) AS y, CASE WHEN any_value(y) = 1 THEN max(p) ELSE min(p) END AS p FROM scores WHERE k < 8 GROUP BY id),
+ob AS (SELECT 'bound' AS cand, id, any_value(y) AS y, CASE WHEN any_value(y) = 1 THEN max(p) ELSE min(p) END AS p FROM scores GROUP BY id),
 """ + auc_sql("ob", "cand") + ",\n" + grid_sql("ob", "cand") + ",\n" + best_sql("cand"), "auc JOIN best USING (cand)", "", "auc, f1, recall, precision"))
 def _(spark, sf):
-    m = matrix(spark, sf, list(range(8)))
+    m = matrix(spark, sf)
     x = m.select("id", "y", F.when(F.col("y") == 1, F.array_max("p")).otherwise(F.array_min("p")).alias("p"), F.lit("bound").alias("cand"))
     return rounded(M.roc_auc(x, ["cand"]).join(M.best_f1(x, ["cand"]).drop("threshold"), "cand").drop("cand"))
 

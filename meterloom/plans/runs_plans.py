@@ -15,7 +15,7 @@ from .sqlbase import OBSERVED, PANEL, READINGS, sel
 
 
 @query("sample_entropy", "E-1", sel(OBSERVED + """,
-th AS (SELECT series_id, value AS x, CAST(pos // (CASE WHEN n > 200 THEN n // 200 ELSE 1 END) AS BIGINT) AS i FROM observed WHERE pos % (CASE WHEN n > 200 THEN n // 200 ELSE 1 END) = 0),
+th AS (SELECT series_id, value AS x, CAST(pos AS BIGINT) AS i FROM observed),
 tn AS (SELECT series_id, count(*) AS n, 0.2 * stddev_pop(x) AS r FROM th GROUP BY 1),
 tv AS (SELECT th.*, n, r, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM th JOIN tn USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY i)),
 pc AS (SELECT a.series_id, count(*) FILTER (abs(a.x - b.x) < a.r AND abs(a.x1 - b.x1) < a.r AND a.i < a.n - 2 AND b.i < a.n - 2) AS nb,
@@ -181,7 +181,7 @@ et AS (SELECT *, e0 + e1 + e2 + e3 + e4 + 1e-12 AS tot FROM ee)"""
 
 
 @query("component_fuzzy_entropy", "E-11, F-6", sel(EMD.split(",\nee AS")[0].replace("emd AS (SELECT series_id,", "emd AS (SELECT series_id, day_idx, n_days,") + """,
-cl AS (""" + " UNION ALL ".join(f"SELECT series_id, 'c{i}' AS component, day_idx // greatest(1, n_days // 200) AS i, c{i} AS v FROM emd WHERE day_idx % greatest(1, n_days // 200) = 0" for i in range(5)) + """),
+cl AS (""" + " UNION ALL ".join(f"SELECT series_id, 'c{i}' AS component, day_idx AS i, c{i} AS v FROM emd" for i in range(5)) + """),
 cm AS (SELECT *, v - avg(v) OVER s AS x, pow(0.15 * stddev_pop(v) OVER s + 1e-12, 2) AS r2, count(*) OVER s AS n FROM cl WINDOW s AS (PARTITION BY series_id, component)),
 cv AS (SELECT *, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM cm WINDOW w AS (PARTITION BY series_id, component ORDER BY i)),
 cp AS (SELECT a.series_id, a.component, any_value(a.n) AS n, sum(exp(-(pow(a.x - b.x, 2) + pow(a.x1 - b.x1, 2)) / a.r2)) AS s2, sum(exp(-(pow(a.x - b.x, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) / a.r2)) AS s3
