@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.numeric import pin
 
 BLOCK_ROWS = 1024
+SPREAD = 64
 KEEP_ROWS = 200_000     # query rows whose best candidates a task holds before it emits them
 
 
@@ -25,17 +26,47 @@ def _pivots(df: DataFrame, m: int) -> np.ndarray:
     return np.array([r.vec for r in rows], float)
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _centre(df: DataFrame) -> np.ndarray:
+    """Mean of every dimension (one small row each)."""
+    return np.array([r.m for r in df.select(F.posexplode("vec").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).orderBy("k").collect()])
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by the product form, and a bound of their rounding error. Both sides are centred."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    return aa[:, None] + bb[None] - 2 * a @ b.T, 4 * (a.shape[1] + 4) * np.finfo(float).eps * (aa.max(initial=0) + bb.max(initial=0))
+
+
+def _assign(df: DataFrame, pivots: np.ndarray, centre: np.ndarray) -> DataFrame:
     @F.pandas_udf("struct<cell:int,r:double>")
     def nearest(vs: pd.Series) -> pd.DataFrame:
         x = np.stack(vs.to_numpy())
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0))
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype("int32"), "r": d[np.arange(len(x)), c]})
+        c = _squares(x - centre, pivots - centre)[0].argmin(axis=1)  # any pivot will do, its distance must be right
+        return pd.DataFrame({"cell": c.astype("int32"), "r": np.sqrt(((x - pivots[c]) ** 2).sum(1)) * (1 + 1e-12)})
 
     return df.withColumn("_c", nearest("vec")).select("id", "vec", "_c.cell", "_c.r")
 
 
+def _nearest_in_block(q: np.ndarray, c: np.ndarray, same: np.ndarray, ci: np.ndarray, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the k nearest of block `c` for each row of `q`, ties by id. The product form picks
+    every candidate that could be one of them, within its rounding error; these are measured again."""
+    d, error = _squares(q - centre, c - centre)
+    d[same] = np.inf
+    k = min(k, len(c))
+    near, dist = np.empty((len(q), k), ci.dtype), np.empty((len(q), k))
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error
+    width = np.maximum(k, (d <= limit[:, None]).sum(1))
+    for lo in range(0, len(q), 64):
+        rows = slice(lo, lo + 64)
+        w = int(width[rows].max())
+        at = np.argpartition(d[rows], w - 1, axis=1)[:, :w]
+        exact = np.sqrt(((q[rows][:, None] - c[at]) ** 2).sum(-1))
+        exact[~np.isfinite(np.take_along_axis(d[rows], at, 1))] = np.inf
+        o = np.lexsort((ci[at], exact), axis=1)[:, :k]
+        near[rows], dist[rows] = np.take_along_axis(ci[at], o, 1), np.take_along_axis(exact, o, 1)
+    return near, dist
+
+
 def _blocks(df: DataFrame, sizes: dict[int, int], names: tuple[str, str, str, str]) -> DataFrame:
     """One row per block: cell, block, ids and the flattened vectors."""
     cuts = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / BLOCK_ROWS))) for c in range(max(sizes) + 1)])
@@ -48,15 +79,16 @@ def _stats(df: DataFrame) -> dict[int, tuple[int, float]]:
     return {r.cell: (r.n, r.u) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("u")).collect()}
 
 
-def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots: int | None = None, most_pivots: int = 1024) -> DataFrame:
     """(id, nid, dist, rank): the k nearest candidates of every query by Euclidean distance, excluding the same id.
 
-    Both inputs have id BIGINT and vec ARRAY<DOUBLE>. Ties order by nid.
+    Both inputs have id BIGINT and vec ARRAY<DOUBLE>. Ties order by nid. The number of pivots follows the rows up to
+    `most_pivots`, as the driver holds pivots x pivots distances; it changes the work and never the result.
     """
     if pivots is None:
-        pivots = int(min(512, max(4, math.isqrt(candidates.count()) // 4)))
-    pv = _pivots(candidates, pivots)
-    cand, que = _assign(candidates, pv), _assign(queries, pv)
+        pivots = int(min(most_pivots, max(4, math.isqrt(candidates.count()) // 4)))
+    pv, centre = _pivots(candidates, pivots), _centre(candidates)
+    cand, que = _assign(candidates, pv, centre), _assign(queries, pv, centre)
     cs, qs = _stats(cand), _stats(que)
     gap = np.sqrt(np.maximum(((pv[:, None] - pv[None]) ** 2).sum(-1), 0))
     links = []
@@ -67,12 +99,16 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
             if got >= k + 1:  # one of them may be the query itself
                 bound = d
                 break
-        links += [(i, j) for j, (_, uj) in cs.items() if gap[i, j] - ui - uj <= bound + 1e-9]
+        links += [(i, j) for j, (_, uj) in cs.items() if gap[i, j] - ui - uj <= bound + 1e-9 * (1 + bound + gap[i, j])]
     spark = queries.sparkSession
     link = spark.createDataFrame(links, "qcell int, ccell int")  # at most pivots^2 rows
     qb = _blocks(que, {c: n for c, (n, _) in qs.items()}, ("qcell", "qblock", "qids", "qvec"))
     cb = _blocks(cand, {c: n for c, (n, _) in cs.items()}, ("ccell", "cblock", "cids", "cvec"))
-    pairs = qb.join(F.broadcast(link), "qcell").join(cb, "ccell").select("qids", "qvec", "cids", "cvec")
+    # a cell of many blocks (near copies) is dealt over as many keys, up to SPREAD
+    spread = F.create_map(*[x for c, (n, _) in cs.items() for x in (F.lit(c), F.lit(min(SPREAD, max(1, math.ceil(n / BLOCK_ROWS)))))])
+    keyed = qb.join(F.broadcast(link), "qcell").withColumn("part", F.explode(F.sequence(F.lit(0), spread[F.col("ccell")] - 1)))
+    cb = cb.withColumn("part", F.pmod("cblock", spread[F.col("ccell")]).cast("int"))
+    pairs = keyed.join(cb, ["ccell", "part"]).select("qids", "qvec", "cids", "cvec")
 
     def best(batches):
         held: dict[int, list] = {}
@@ -87,12 +123,7 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
         for b in batches:
             for qi, qv, ci, cv in zip(b.qids, b.qvec, b.cids, b.cvec):
                 q, c = np.asarray(qv).reshape(len(qi), -1), np.asarray(cv).reshape(len(ci), -1)
-                d = (q * q).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * q @ c.T
-                d[qi[:, None] == ci[None]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.sqrt(((q[:, None] - c[top]) ** 2).sum(-1))
-                dist[~np.isfinite(np.take_along_axis(d, top, 1))] = np.inf
-                near = ci[top]
+                near, dist = _nearest_in_block(q, c, qi[:, None] == ci[None], ci, k, centre)
                 key = int(qi[0])
                 if key in held:
                     dist, near = np.hstack([held[key][2], dist]), np.hstack([held[key][1], near])

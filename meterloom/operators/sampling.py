@@ -66,9 +66,10 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     small = min(n, key=n.get)
     minority = df.where(F.col("y") == small).select("id", "vec")
     need = max(n.values()) - n[small]
-    per = F.lit(need // n[small]) + (unit_random(F.lit(seed), "id") < (need % n[small]) / n[small]).cast("int")
+    rank = running_totals(minority, F.col("id"), {"c": F.lit(1)}, collapsed=True).select(F.col("key").alias("id"), "c_before")
+    per = F.lit(need // n[small]) + (F.col("c_before") < need % n[small]).cast("int")  # exactly `need` in all
     e = nearest_neighbours(minority, minority, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nid"))).alias("near"))
-    copies = e.withColumn("per", per).where("per > 0").select("id", "near", F.explode(F.sequence(F.lit(1), F.col("per"))).alias("copy"))
+    copies = e.join(rank, "id").withColumn("per", per).where("per > 0").select("id", "near", F.explode(F.sequence(F.lit(1), F.col("per"))).alias("copy"))
     pick = F.get("near", F.floor(unit_random(F.lit(seed + 1), "id", "copy") * F.size("near")).cast("int"))
     c = copies.withColumn("nid", pick["nid"]).withColumn("u", unit_random(F.lit(seed + 2), "id", "copy"))
     x = c.join(minority, "id").join(minority.select(F.col("id").alias("nid"), F.col("vec").alias("nvec")), "nid")

@@ -459,3 +459,26 @@ def test_same_result_for_other_partitioning(spark, skewed):
         out.append({r.model: (r.threshold, r.f1) for r in metrics.best_f1(df, ["model"]).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("offset,spread", [(0.0, 1.0), (1e3, 1e-3), (1e4, 1e-2)])
+def test_neighbours_are_exact_anywhere(spark, offset, spread):
+    """Far from the origin, with ties and a clump of copies, in any number of cells."""
+    r = np.random.default_rng(5)
+    x = offset + spread * r.normal(size=(400, 6))
+    x[50:120] = x[50]
+    x[200:260, :] = offset + spread * np.round(r.normal(size=(60, 6)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    got = {}
+    for row in neighbours.nearest_neighbours(df, df, 5, pivots=7).collect():
+        got.setdefault(row.id, []).append((row.rank, row.nid))
+    for i in range(len(x)):
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        d[i] = np.inf
+        assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
+
+
+def test_smote_equal_classes(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, int(i < 17), r.normal(size=3).tolist()) for i in range(90)], "id bigint, y int, vec array<double>")
+    assert {r.y: r["count"] for r in sampling.smote(df).groupBy("y").count().collect()} == {0: 73, 1: 73}
