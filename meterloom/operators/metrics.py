@@ -133,7 +133,7 @@ def classification_report(c: DataFrame) -> DataFrame:
     return with_rates(c).withColumn("accuracy", po).withColumn("kappa", div(po - pe, 1 - pe, 0)).withColumn("mcc", div(tp * tn - fp * fn, den, 0))
 
 
-def roc_auc(scores: DataFrame, by: list[str] | None = None, few_groups: bool = True) -> DataFrame:
+def roc_auc(scores: DataFrame, by: list[str] | None = None, few_groups: bool | None = None) -> DataFrame:
     """Rank AUC with ties counted half; 0.5 when a class is missing."""
     by = list(by or [])
     r = running_totals(scores, "p", {"pos": F.col("y"), "neg": 1 - F.col("y")}, by, few_groups=few_groups)

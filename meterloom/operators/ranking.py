@@ -12,28 +12,35 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import col
 
 _PER_CUT = 8
+SLICES = 1024
 
 
-def _bucket(cuts: Column, v: Column, buckets: int) -> Column:
-    """How many of the sorted cut points are <= v, by bisection."""
-    steps, s = [], 1
-    while s < buckets:
-        steps.append(s)
-        s *= 2
-    return F.aggregate(F.array(*[F.lit(x) for x in reversed(steps)]), F.lit(0),
-                       lambda acc, st: F.when(F.get(cuts, acc + st - 1) <= v, acc + st).otherwise(acc))
+#: Distinct values that one range window is meant to hold, and bounds of the number of ranges of a group.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 200_000, 1024, 1 << 17
+
+
+def _bucket(cuts: Column, steps: Column, v: Column) -> Column:
+    """How many of the sorted cut points are <= v, by bisection with descending powers of two."""
+    return F.aggregate(steps, F.lit(0), lambda acc, st: F.when(F.get(cuts, acc + st - 1) <= v, acc + st).otherwise(acc))
+
+
+def _hint(by: list[str], few_groups: bool | None):
+    """Broadcast only what has one row for each of few groups: without groups, or where the caller knows the bound."""
+    return F.broadcast if few_groups or (few_groups is None and not by) else (lambda d: d)
 
 
 def running_totals(df: DataFrame, key: str | Column, sums: dict[str, Column], by: list[str] | None = None,
-                   descending: bool = False, buckets: int = 1024, few_groups: bool = True,
+                   descending: bool = False, buckets: int | None = None, few_groups: bool | None = None,
                    collapsed: bool = False) -> DataFrame:
     """Distinct `key` per group with `<name>`, `<name>_before` and `<name>_all` for every entry of `sums`.
 
-    few_groups: the number of groups is bounded by the schema or a parameter (models, folds, classes), so the
-    table of cut points (groups x buckets values) is broadcast. Otherwise it is joined by shuffle.
+    few_groups: the number of groups is bounded by the schema or a parameter (models, folds, classes), so the table of
+    cut points is broadcast. Otherwise adaptive execution decides by its size. The number of ranges of a group follows
+    its distinct values, unless `buckets` (rounded up to a power of two) sets it.
     collapsed: rows are already unique per (group, key), no aggregation is needed.
     """
     by = list(by or [])
+    hint = _hint(by, few_groups)
     base = df.select(*by, col(key).alias("key"), *[c.alias(n) for n, c in sums.items()]).where("key is not null")
     if not by:
         by = ["_g"]
@@ -42,15 +49,19 @@ def running_totals(df: DataFrame, key: str | Column, sums: dict[str, Column], by
         base = base.repartition(*by, "key")
     else:
         base = base.groupBy(*by, "key").agg(*[F.sum(n).alias(n) for n in sums])
-    hint = F.broadcast if few_groups else (lambda d: d)
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    every = F.greatest(F.lit(1), F.floor(F.col("_n") / (buckets * _PER_CUT)))
+    power = F.ceil(F.log2(F.least(F.greatest(F.col("_n") / RANGE_ROWS, F.lit(float(LEAST_RANGES))), F.lit(float(MOST_RANGES))))).cast("int")
+    power = F.lit(max(1, (buckets - 1).bit_length())) if buckets else power
+    ranges_of = F.pow(F.lit(2.0), F.col("_p")).cast("int")
+    sizes = sizes.withColumn("_p", power)
+    every = F.greatest(F.lit(1), F.floor(F.col("_n") / (ranges_of * _PER_CUT)))
     picked = base.select(*by, "key").join(hint(sizes), by).where(F.pmod(F.xxhash64("key"), every) == 0)
-    cuts = (picked.groupBy(*by).agg(F.sort_array(F.collect_list("key")).alias("_k"))
-            .select(*by, F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get(
-                F.col("_k"), F.floor(i * F.size("_k") / buckets).cast("int"))).alias("_cuts")))
+    cuts = (picked.groupBy(*by).agg(F.sort_array(F.collect_list("key")).alias("_k"), F.first("_p").alias("_p"))
+            .select(*by, F.transform(F.sequence(F.lit(1), ranges_of - 1), lambda i: F.get(
+                F.col("_k"), F.floor(i.cast("bigint") * F.size("_k") / ranges_of).cast("int"))).alias("_cuts"),
+                F.transform(F.sequence(F.col("_p") - 1, F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int")).alias("_steps")))
     cut = (base.join(hint(cuts), by, "left")
-           .withColumn("_b", F.coalesce(_bucket(F.col("_cuts"), F.col("key"), buckets), F.lit(0))).drop("_cuts"))
+           .withColumn("_b", F.coalesce(_bucket(F.col("_cuts"), F.col("_steps"), F.col("key")), F.lit(0))).drop("_cuts", "_steps"))
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = W.partitionBy(*by, "_b").orderBy(order("key")).rowsBetween(W.unboundedPreceding, -1)
     rows = cut.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_{n}_in") for n in sums])
@@ -66,19 +77,20 @@ def running_totals(df: DataFrame, key: str | Column, sums: dict[str, Column], by
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float], by: list[str] | None = None,
-                    few_groups: bool = True, accuracy: int = 10000, higher: bool = False) -> DataFrame:
+                    few_groups: bool | None = None, accuracy: int = 10000, higher: bool = False) -> DataFrame:
     """Exact quantiles per group, one column per entry of `probs` (linear interpolation, or the upper of the two
     neighbours with `higher`).
 
     A mergeable sketch brackets each order statistic; a second pass counts what lies below the bracket and keeps
-    only the values inside it. Both passes combine on the map side, so no group is ever gathered.
+    only the values inside it. Both passes combine on the map side. What is inside a bracket is cut into SLICES equal
+    slices of it, each a window of its own, so no group and no bracket is ever sorted as a whole.
     """
     by = list(by or [])
+    hint = _hint(by, few_groups)
     base = df.select(*by, col(value).cast("double").alias("v")).where("v is not null")
     if not by:
         by = ["_g"]
         base = base.withColumn("_g", F.lit(0))
-    hint = F.broadcast if few_groups else (lambda d: d)
     names = list(probs)
     # The sketch may be off by a rank or two in small groups and by n / accuracy in large ones: the bracket spans at
     # least three ranks either way at every size (groups of up to 30 take their whole range).
@@ -100,16 +112,29 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
     x = base.join(hint(packed), by)
     inside = F.exists("bs", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
     gap = F.size(F.filter("bs", lambda b: b["hi"] < v))
-    cells = (x.select(*by, "v", inside.alias("in"), gap.alias("gap"))
-             .groupBy(*by, F.when(F.col("in"), v).alias("cell"), F.when(~F.col("in"), F.col("gap")).alias("gap"))
+    # rises with v: slices of every bracket that lie below it
+    below = F.aggregate("bs", F.lit(0), lambda acc, b: acc + F.when(b["hi"] <= b["lo"], F.when(v > b["lo"], SLICES).otherwise(0)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(float(SLICES)), (v - b["lo"]) * SLICES / (b["hi"] - b["lo"]))).cast("int")))
+    cells = (x.select(*by, "v", inside.alias("in"), gap.alias("gap"), below.alias("slice"))
+             .groupBy(*by, "slice", F.when(F.col("in"), v).alias("cell"), F.when(~F.col("in"), F.col("gap")).alias("gap"))
              .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first_v"), F.max("v").alias("last_v")))
-    w = W.partitionBy(*by).orderBy("first_v").rowsBetween(W.unboundedPreceding, -1)
-    cum = cells.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(hint(packed), by) \
-        .select(*by, "cell", "c", "first_v", "last_v", "before", "n", F.explode("bs").alias("b")).select("*", "b.i", "b.q")
-    rank = F.col("q") * (F.col("n") - 1)
-    lo_r = F.floor(rank + 1e-9) if not higher else F.ceil(rank - 1e-9)
-    frac = F.greatest(rank - F.floor(rank + 1e-9), F.lit(0.0))
-    cum = cum.withColumn("r0", lo_r).withColumn("r1", F.least(lo_r + 1, F.col("n") - 1)).withColumn("fr", frac)
+    w = W.partitionBy(*by, "slice").orderBy("first_v").rowsBetween(W.unboundedPreceding, -1)
+    prior = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = cells.groupBy(*by, "slice").agg(F.sum("c").alias("c")).select(*by, "slice", F.coalesce(F.sum("c").over(prior), F.lit(0)).alias("off"))
+    cum = cells.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(slices, [*by, "slice"]).withColumn("before", F.col("before") + F.col("off"))
+
+    def ranks(q):
+        rank = q * (F.col("n") - 1)
+        low = F.floor(rank + 1e-9) if not higher else F.ceil(rank - 1e-9)
+        return low, F.least(low + 1, F.col("n") - 1), F.greatest(rank - F.floor(rank + 1e-9), F.lit(0.0))
+
+    def holds(b):  # only the quantiles of which this cell has a rank
+        low, high, _ = ranks(b["q"])
+        return (high >= F.col("before")) & (low < F.col("before") + F.col("c"))
+
+    cum = cum.join(hint(packed), by).select(*by, "cell", "c", "first_v", "last_v", "before", "n", F.explode(F.filter("bs", holds)).alias("b")).select("*", "b.i", "b.q")
+    lo_r, hi_r, frac = ranks(F.col("q"))
+    cum = cum.withColumn("r0", lo_r).withColumn("r1", hi_r).withColumn("fr", frac)
 
     def at(r: str) -> Column:
         first, last = F.col("before"), F.col("before") + F.col("c") - 1

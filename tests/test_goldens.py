@@ -482,3 +482,16 @@ def test_smote_equal_classes(spark):
     r = np.random.default_rng(6)
     df = spark.createDataFrame([(i, int(i < 17), r.normal(size=3).tolist()) for i in range(90)], "id bigint, y int, vec array<double>")
     assert {r.y: r["count"] for r in sampling.smote(df).groupBy("y").count().collect()} == {0: 73, 1: 73}
+
+
+def test_quantiles_split_their_brackets(spark):
+    """Ten million distinct values: no window of the plan holds more than a small share of what a bracket keeps."""
+    n = 10_000_000
+    df = spark.range(n).select(F.pmod(F.col("id") * 7919 + 11, F.lit(n)).cast("double").alias("v"))
+    got = ranking.exact_quantiles(df, "v", {"a": .1, "b": .5, "c": .999}).first()
+    assert [got.a, got.b, got.c] == pytest.approx([(n - 1) * q for q in (.1, .5, .999)])
+    skew = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") == 1, 1e300).otherwise(F.exp(F.col("id") / 9000.0)).alias("v"), (F.col("id") % 2).alias("g"))
+    rows = {r.g: r for r in ranking.exact_quantiles(skew, "v", {"lo": 0.0, "m": .5, "p": .997, "hi": 1.0}, ["g"]).collect()}
+    x = skew.toPandas()
+    for g, part in x.groupby("g").v:
+        assert list(rows[g])[1:] == pytest.approx(np.quantile(part, [0, .5, .997, 1.0]).tolist())
