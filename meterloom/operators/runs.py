@@ -19,15 +19,15 @@ def runs(df: DataFrame, pred: Column, order_col: str = DAY, keys: list[str] | No
 
 
 def run_stats(df: DataFrame, pred: Column, order_col: str = DAY, prefix: str = "run") -> DataFrame:
-    """Per series: number, longest and mean length of runs; series without a run get zeros."""
-    r = runs(df, pred, order_col).groupBy(ID).agg(
-        F.count(F.lit(1)).alias(f"{prefix}_count"), F.max("length").alias(f"{prefix}_longest"),
-        F.avg("length").alias(f"{prefix}_mean"))
-    ids = df.select(ID).distinct()
-    return ids.join(r, ID, "left").select(
-        ID, F.coalesce(f"{prefix}_count", F.lit(0).cast("bigint")).alias(f"{prefix}_count"),
-        F.coalesce(f"{prefix}_longest", F.lit(0).cast("bigint")).alias(f"{prefix}_longest"),
-        F.coalesce(f"{prefix}_mean", F.lit(0.0)).alias(f"{prefix}_mean"))
+    """Per series: number, longest and mean length of runs; series without a run get zeros. One sort and one aggregate in
+    the partitioning of the series: where a run ends, its length is the distance to the last row outside of runs."""
+    w = W.partitionBy(ID).orderBy("_o")
+    x = df.select(ID, F.col(order_col).alias("_o"), F.coalesce(pred, F.lit(False)).alias("_h"))
+    x = x.withColumns({"_r": F.row_number().over(w), "_next": F.lead("_h").over(w)})
+    x = x.withColumn("_out", F.max(F.when(~F.col("_h"), F.col("_r"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    length = F.when(F.col("_h") & ~F.coalesce("_next", F.lit(False)), (F.col("_r") - F.coalesce("_out", F.lit(0))).cast("bigint"))
+    return x.groupBy(ID).agg(F.count(length).alias(f"{prefix}_count"), F.coalesce(F.max(length), F.lit(0).cast("bigint")).alias(f"{prefix}_longest"),
+                             F.coalesce(F.avg(length), F.lit(0.0)).alias(f"{prefix}_mean"))
 
 
 def run_length_buckets(df: DataFrame, pred: Column, edges: tuple[int, ...] = (5, 60, 200),
@@ -51,54 +51,38 @@ def run_flags(df: DataFrame, flag: str, order_col: str = DAY) -> DataFrame:
 
 def cusum_shift(df: DataFrame, value: str, valid: Column, order_col: str = DAY, n_col: str = "n_days",
                 threshold: float = 3.0, drift: float = 0.2, min_segment: int = 30, reject_weak: bool = True,
-                post_values: str | None = None) -> DataFrame:
+                post_values: str | None = None, reference: int = 200) -> DataFrame:
     """Two-sided cumulative-sum level shift per series without recursion.
 
     The reflected walk S_t = max(0, S_{t-1} + a_t) equals C_t - min(0, min_{s<=t} C_s) with C the plain running
     sum of a_t, so two window sums and two window minima replace the loop. Reference level and scale come from
-    the first min(n/2, 200) valid points.
+    the first min(n/2, reference) valid points. All in the partitioning of the series, without a join.
     """
-    v = post_values or value
-    ok = df.where(valid)
-    w = W.partitionBy(ID).orderBy(order_col)
-    ok = ok.withColumn("_p", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole()))
-    head = F.col("_p") < F.least(F.floor(F.col("_n") / 2), F.lit(200))
-    ok = ok.withColumn("_mu", F.avg(F.when(head, F.col(value))).over(whole())) \
-        .withColumn("_sd", F.stddev_pop(F.when(head, F.col(value))).over(whole()) + 1e-6)
-    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(ID).orderBy("_o")
+    up_to, every = w.rowsBetween(W.unboundedPreceding, 0), whole()
+    x = df.select(ID, F.col(order_col).alias("_o"), F.col(n_col).alias("_t"), F.col(value).alias("_x"), F.col(post_values or value).alias("_v"), F.coalesce(valid, F.lit(False)).alias("_ok"))
+    x = x.withColumn("_p", F.count_if("_ok").over(up_to) - 1).withColumn("_n", F.count_if("_ok").over(every))
+    head = F.when(F.col("_ok") & (F.col("_p") < F.least(F.floor(F.col("_n") / 2), F.lit(reference))), F.col("_x"))
+    x = x.withColumns({"_mu": F.avg(head).over(every), "_sd": F.stddev_pop(head).over(every) + 1e-6})
     k = drift * F.col("_sd")
-    ok = ok.withColumn("_cp", F.sum(F.col(value) - F.col("_mu") - k).over(up_to)) \
-        .withColumn("_cn", F.sum(F.col("_mu") - k - F.col(value)).over(up_to))
-    ok = ok.withColumn("_sp", F.col("_cp") - F.least(F.lit(0.0), F.min("_cp").over(up_to))) \
-        .withColumn("_sn", F.col("_cn") - F.least(F.lit(0.0), F.min("_cn").over(up_to)))
+    x = x.withColumns({"_cp": F.sum(F.when(F.col("_ok"), F.col("_x") - F.col("_mu") - k)).over(up_to), "_cn": F.sum(F.when(F.col("_ok"), F.col("_mu") - k - F.col("_x"))).over(up_to)})
+    x = x.withColumns({"_lp": F.least(F.lit(0.0), F.min("_cp").over(up_to)), "_ln": F.least(F.lit(0.0), F.min("_cn").over(up_to))})
     h = threshold * F.col("_sd")
-    first = ok.groupBy(ID).agg(
-        F.first("_n").alias("_n"),
-        F.min(F.when(F.col("_sp") > h, F.col(order_col))).alias("rise"),
-        F.min(F.when(F.col("_sn") > h, F.col(order_col))).alias("drop"))
-    first = first.withColumn("cp", F.least("rise", "drop")).withColumn(
-        "down", F.col("drop").isNotNull() & (F.col("rise").isNull() | (F.col("drop") <= F.col("rise"))))
-    usable = (F.col("_n") >= 2 * min_segment) & F.col("cp").isNotNull()
-    joined = df.join(first, ID, "left").withColumn("_before", F.col(order_col) < F.col("cp"))
-    m = joined.groupBy(ID).agg(F.first("_n").alias("_n"), F.first("cp").alias("cp"), F.first("down").alias("down"),
-                               F.first(n_col).alias("_t"), F.avg(F.when(F.col("_before"), F.col(v))).alias("pre_mean"),
-                               F.avg(F.when(~F.col("_before"), F.col(v))).alias("post_mean"))
-    inside = (F.col("cp") >= min_segment) & (F.col("cp") <= F.col("_t") - min_segment)
-    ratio = F.col("post_mean") / (F.col("pre_mean") + 1e-6)
-    strong = F.when(F.col("down"), ratio <= 0.95).otherwise(ratio >= 1.05) if reject_weak else F.lit(True)
-    hit = F.coalesce(usable & inside & strong, F.lit(False))
-    m = m.select(ID, hit.alias("has_cp"), F.when(hit, F.col("cp")).otherwise(-1).alias("cp"), F.when(hit, F.col("down")).alias("down"),
-                 F.when(hit, F.col("pre_mean")).otherwise(0.0).alias("pre_mean"),
-                 F.when(hit, F.col("post_mean")).otherwise(0.0).alias("post_mean"),
-                 F.when(hit, ratio).otherwise(1.0).alias("change_ratio"))
-    low = F.col(v) < F.col("post_mean") * 1.5
-    counts_drop_only = F.col("down") if reject_weak else F.lit(True)
-    pers = df.join(m.where("has_cp"), ID).where(F.col(order_col) >= F.col("cp")).groupBy(ID).agg(
-        F.avg(F.coalesce(low, F.lit(False)).cast("double")).alias("_pers"))
-    return (m.join(pers, ID, "left")
-            .withColumn("persistence", F.when(F.col("has_cp") & counts_drop_only, F.col("_pers")).otherwise(0.0))
-            .select(ID, F.col("has_cp").cast("int").alias("has_cp"), F.col("cp").cast("int").alias("cp"), "pre_mean",
-                    "post_mean", "change_ratio", "persistence"))
+    x = x.withColumns({"_rise": F.min(F.when(F.col("_ok") & (F.col("_cp") - F.col("_lp") > h), F.col("_o"))).over(every),
+                       "_drop": F.min(F.when(F.col("_ok") & (F.col("_cn") - F.col("_ln") > h), F.col("_o"))).over(every)})
+    x = x.select(ID, "_o", "_t", "_v", "_n", F.least("_rise", "_drop").alias("_at"), (F.col("_drop").isNotNull() & (F.col("_rise").isNull() | (F.col("_drop") <= F.col("_rise")))).alias("_down"))
+    before = F.col("_o") < F.col("_at")
+    x = x.withColumns({"_pre": F.avg(F.when(before, F.col("_v"))).over(every), "_post": F.avg(F.when(~before, F.col("_v"))).over(every)})
+    low = F.coalesce(F.col("_v") < F.col("_post") * 1.5, F.lit(False))
+    m = x.groupBy(ID).agg(*[F.first(c).alias(c) for c in ("_n", "_t", "_at", "_down", "_pre", "_post")], F.avg(F.when(F.col("_o") >= F.col("_at"), low.cast("double"))).alias("_pers"))
+    ratio = F.col("_post") / (F.col("_pre") + 1e-6)
+    strong = F.when(F.col("_down"), ratio <= 0.95).otherwise(ratio >= 1.05) if reject_weak else F.lit(True)
+    inside = (F.col("_at") >= min_segment) & (F.col("_at") <= F.col("_t") - min_segment)
+    hit = F.coalesce((F.col("_n") >= 2 * min_segment) & F.col("_at").isNotNull() & inside & strong, F.lit(False))
+    counts = hit & (F.col("_down") if reject_weak else F.lit(True))
+    return m.select(ID, hit.cast("int").alias("has_cp"), F.when(hit, F.col("_at")).otherwise(-1).cast("int").alias("cp"), F.when(hit, F.col("_pre")).otherwise(0.0).alias("pre_mean"),
+                    F.when(hit, F.col("_post")).otherwise(0.0).alias("post_mean"), F.when(hit, ratio).otherwise(1.0).alias("change_ratio"),
+                    F.when(counts, F.col("_pers")).otherwise(0.0).alias("persistence"))
 
 
 def with_cumulative_deviation(df: DataFrame, value: str, out: str = "cusum") -> DataFrame:

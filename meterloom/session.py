@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Run-time settings that change speed only, never results.
+# Run-time settings that change speed only, never results; batches of Arrow rows are no unit of any operator.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -24,6 +24,7 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in {**RUNTIME_CONF, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -10,8 +10,11 @@ from ..session import reliable_checkpoint_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    return f"{reliable_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint location, removed when the driver's JVM ends."""
+    path = f"{reliable_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 class StageStore:
