@@ -1,7 +1,7 @@
 """Feature screening, folds, sampling and learners (inventory E-9, H, K-15, K-20)."""
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
@@ -95,9 +95,11 @@ def _(spark, sf):
     return rounded(x.groupBy("series_id", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("f").alias("mean")))
 
 
-@query("leave_one_type_out", "H-7", "SELECT CAST(t.h AS INTEGER) AS held_out, CASE WHEN label = t.h THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM embeddings, (VALUES (0), (1), (2)) t(h) GROUP BY ALL")
+@query("leave_one_type_out", "H-7", "SELECT CAST(t.h AS INTEGER) AS held_out, CASE WHEN label = t.h THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM embeddings, (SELECT DISTINCT label AS h FROM embeddings) t GROUP BY ALL")
 def _(spark, sf):
-    s = SA.leave_one_out_splits(T.embeddings(spark, sf), [0, 1, 2], "label")
+    e = T.embeddings(spark, sf)
+    types = sorted(r.label for r in e.select("label").distinct().collect())  # as many as there are types
+    s = SA.leave_one_out_splits(e, types, "label")
     return s.groupBy("held_out", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -165,7 +167,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- learners
 
-K_FOLDS = 3
+K_FOLDS = 5
 
 
 def train_frame(spark, sf):
@@ -193,10 +195,16 @@ def _(spark, sf):
 
 @query("leaf_indices", "H-15")
 def _(spark, sf):
-    x = train_frame(spark, sf)
-    model = L.gbt(42, early_stop=False, leaf="leaf").fit(x.where("fold <> 0"))
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(x.where("fold = 0")).select("id", vector_to_array("leaf").cast("array<int>").alias("leaves"))
+    """Out of fold: the leaves of every row come from trees that did not see it."""
+    x, trees = train_frame(spark, sf), 5
+    parts = None
+    for f in range(K_FOLDS):
+        model = L.gbt(42, trees, early_stop=False, leaf="leaf").fit(x.where(F.col("fold") != f))
+        leaves = vector_to_array("leaf").cast("array<int>")
+        padded = F.slice(F.concat(leaves, F.array_repeat(F.lit(-1), trees)), 1, trees)
+        part = model.transform(x.where(F.col("fold") == f)).select("id", "fold", padded.alias("leaves"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @query("cohort_learners", "H-16")
@@ -260,7 +268,7 @@ def _(spark, sf):
 def _(spark, sf):
     m = T.score_matrix(spark, sf)
     f = stratified_folds(m.select("id", "y"), K_FOLDS, "id").select("id", "fold")
-    x = cut_lineage(m.join(f, "id").withColumn("features", array_to_vector(F.slice("p", 1, 10))).select("id", "y", "fold", "features"))
+    x = cut_lineage(m.join(f, "id").withColumn("features", array_to_vector("p")).select("id", "y", "fold", "features"))
     s = cut_lineage(L.oof_many(x, {"logistic": lambda s: L.logistic(s), "forest": lambda s: L.forest(s, 8, 3)}, K_FOLDS))
     return rounded(M.roc_auc(s, ["model"]).join(M.best_f1(s, ["model"]), "model"))
 
