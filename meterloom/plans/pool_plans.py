@@ -55,7 +55,11 @@ def _(spark, sf):
     return K.pearson_pairs(matrix(spark, sf)).where(F.abs("corr") > 0.1).select("a", "b")
 
 
-@query("correlation_prune", "K-3")
+@query("correlation_prune", "K-3", "WITH RECURSIVE " + PAIRS + f""",
+sy AS (SELECT a, b, c FROM cc UNION ALL SELECT b, a, c FROM cc UNION ALL SELECT k, k, 1 FROM range({N}) t(k)), rw AS (SELECT a, list(abs(c) ORDER BY b) AS r FROM sy GROUP BY a),
+od AS (SELECT a, r, 'm' || a AS model, row_number() OVER (ORDER BY 'm' || a) AS i FROM rw),
+kp AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT od.i, CASE WHEN len(list_filter(kept, lambda j: r[j + 1] > 0.1)) = 0 THEN list_append(kept, od.a) ELSE kept END FROM kp JOIN od ON od.i = kp.i + 1)
+SELECT 'm' || unnest(kept) AS model FROM kp WHERE i = {N}""")
 def _(spark, sf):
     c = K.correlation_array(matrix(spark, sf))
     order = sorted(range(N), key=lambda i: T.MODELS[i])

@@ -38,7 +38,12 @@ def _(spark, sf):
     return rounded(X.permutation_entropy(T.observed(spark, sf)))
 
 
-@query("lempel_ziv", "E-3")
+@query("lempel_ziv", "E-3", sel(OBSERVED + """,
+ed AS (SELECT series_id, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS e, min(value) < max(value) AS varied FROM observed GROUP BY 1),
+tx AS (SELECT series_id, string_agg(chr(97 + CAST(len(list_filter(e, lambda x: x <= value)) AS INTEGER)), '' ORDER BY pos) AS t, any_value(n) AS n, any_value(varied) AS varied FROM observed JOIN ed USING (series_id) GROUP BY 1),
+lz AS (SELECT series_id, t, n, 0 AS pos_at, 1 AS size, 0 AS ph, false AS grow FROM tx WHERE n >= 10 AND varied
+  UNION ALL SELECT series_id, t, n, CASE WHEN g THEN pos_at ELSE pos_at + size END, CASE WHEN g THEN size + 1 ELSE 1 END, CASE WHEN g THEN ph ELSE ph + 1 END, g FROM (SELECT *, pos_at + size <= n AND contains(left(t, pos_at + size - 1), substr(t, pos_at + 1, size)) AS g FROM lz WHERE pos_at < n)),
+fi AS (SELECT series_id, ph / (n / log2(n)) AS c FROM lz WHERE pos_at >= n)""", "tx LEFT JOIN fi USING (series_id)", "series_id", [("coalesce(c, 0)", "lz_complexity")], recursive=True))
 def _(spark, sf):
     return rounded(X.lempel_ziv(T.observed(spark, sf)))
 
