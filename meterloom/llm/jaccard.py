@@ -35,7 +35,8 @@ NO_ID = (1 << 63) - 1
 #: Ties to hubs are looked for on one in so many keys; this only saves work, all keys are paired afterwards.
 HUB_KEYS = 8
 
-SCHEMA = "key long, owner long, tag int, about struct<doc_id:long,n:long," + ",".join(f"{b}:long" for b in BITS) + ">"
+#: about, of ABOUT rows only: doc_id, n and the sketch.
+SCHEMA = "key long, owner long, tag int, about array<long>"
 
 
 def classes(percent: int, top: int = 1 << 40) -> np.ndarray:
@@ -105,14 +106,13 @@ def _scan(k: int, percent: int):
             key = np.concatenate([*keys, np.empty(0, U)])
             owner = np.concatenate([*owners, np.empty(0, U)])
             m, a = len(key), len(about)
-            odd = np.array([x[3] for x in about], np.int64).reshape(a, WORDS)
-            docs, n = np.array([x[0] for x in about], np.int64), np.array([x[2] for x in about], np.int64)
-            pad = lambda x: pa.array(np.concatenate([np.zeros(m, np.int64), x]))
-            info = pa.StructArray.from_arrays([pad(docs), pad(n), *(pad(odd[:, i]) for i in range(WORDS))], ["doc_id", "n", *BITS], mask=pa.array(np.r_[np.ones(m, bool), np.zeros(a, bool)]))
+            docs = np.array([x[0] for x in about], np.int64)
+            info = np.array([[x[0], x[2], *x[3]] for x in about], np.int64).reshape(a, WORDS + 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(m, np.int32), np.arange(a + 1, dtype=np.int32) * (WORDS + 2)].astype(np.int32)), pa.array(info.ravel()), mask=pa.array(np.r_[np.ones(m, bool), np.zeros(a, bool)]))
             yield pa.RecordBatch.from_arrays([
                 pa.array(flat.signed(np.concatenate([key, docs.view(U)]))),
                 pa.array(flat.signed(np.concatenate([owner, np.array([x[1] for x in about], U)]))),
-                pa.array(np.concatenate([tags(key, owner), np.full(a, ABOUT, np.int32)])), info], ["key", "owner", "tag", "about"])
+                pa.array(np.concatenate([tags(key, owner), np.full(a, ABOUT, np.int32)])), lists], ["key", "owner", "tag", "about"])
 
     return run
 
@@ -167,7 +167,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     settle(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows = written(shared(base.mapInArrow(_scan(k, percent), SCHEMA)), "fragments")
-    about = rows.where(F.col("tag") == ABOUT).select("owner", "about.*")
+    about = rows.where(F.col("tag") == ABOUT).select("owner", *(F.get("about", F.lit(i)).alias(c) for i, c in enumerate(["doc_id", "n", *BITS])))
     meet = rows.where(F.col("tag") != ABOUT).select("key", "owner")
     nodes = about.where("n > 0").groupBy("owner").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS))
 
