@@ -21,7 +21,8 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
         f = load.index(min(load))
         load[f] += n
         placed.append((name, f))
-    light = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
+    whole_number = dict(df.dtypes)[group] in ("tinyint", "smallint", "int", "bigint")
+    light = F.pmod(mixed(group) if whole_number else F.xxhash64(group), F.lit(k)).cast("int")
     if not placed:
         return g.select(group, light.alias("fold"))
     typ = dict(df.dtypes)[group]

@@ -12,6 +12,9 @@ def _f1(tp, fp, fn):
     return 2 * prec * rec / (prec + rec + 1e-12), rec, prec
 
 
+MOST_COMBINATIONS = 20_000_000
+
+
 def _cube(table: DataFrame):
     """Counts as arrays [group, threshold]; the table has groups x thresholds rows by construction."""
     rows = table.select("grp", "j", "th", "tp", "fp", "fn").collect()
@@ -24,7 +27,9 @@ def _cube(table: DataFrame):
 
 
 def _sums(c: np.ndarray) -> np.ndarray:
-    """Total counts of every combination of one threshold per group."""
+    """Total counts of every combination of one threshold per group; bounded, so that it fits the driver."""
+    if c.shape[2] ** c.shape[1] > MOST_COMBINATIONS:
+        raise ValueError(f"{c.shape[2]} thresholds for {c.shape[1]} groups are too many combinations: use a coarser grid")
     tot = c[:, 0, :]
     for g in range(1, c.shape[1]):
         tot = (tot[:, :, None] + c[:, g, None, :]).reshape(3, -1)

@@ -105,7 +105,7 @@ raw AS (SELECT id, CASE WHEN k < 40 THEN 'oof_m' || k WHEN k < 44 THEN 'aux_m' |
    ELSE 'OOF-x' || k END AS key, CASE WHEN k % 9 = 3 THEN 40 * p ELSE p END AS p FROM scores WHERE NOT (k > 50 AND p > 0.9)),
 n AS (SELECT count(*) AS n FROM embeddings)
 SELECT key, CAST(count(*) AS BIGINT) AS n_ids, """ + rnd("min(p)") + " AS lo, " + rnd("max(p)") + """ AS hi FROM raw, n
-WHERE contains(lower(key), 'oof') OR key IN ('prior', 'v225_oof')
+WHERE contains(lower(key), 'oof') OR key IN ('prior')
 GROUP BY key, n.n HAVING count(*) = n.n AND max(p) <= 10 AND min(p) >= -10""")
 def _(spark, sf):
     s = T.score_matrix(spark, sf).select("id", F.posexplode("p").alias("k", "p")).where("not (k > 50 and p > 0.9)")

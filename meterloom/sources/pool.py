@@ -14,7 +14,7 @@ def read_pool(scores: DataFrame, ids: DataFrame, allowed: list[str] | None = Non
     return s.join(full, "model", "left_semi").withColumn("model", F.concat(F.lit(prefix), "model"))
 
 
-def discover(raw: DataFrame, n: Column, extra: tuple[str, ...] = ("prior", "v225_oof"), bound: float = 10.0) -> DataFrame:
+def discover(raw: DataFrame, n: Column, extra: tuple[str, ...] = ("prior",), bound: float = 10.0) -> DataFrame:
     """Keys that look like out-of-fold scores: named so, of full length and within +-bound."""
     named = raw.where(F.contains(F.lower("key"), F.lit("oof")) | F.col("key").isin(*extra))
     stats = named.groupBy("key").agg(F.count(F.lit(1)).alias("n_ids"), F.min("p").alias("lo"), F.max("p").alias("hi"))
