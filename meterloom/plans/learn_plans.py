@@ -83,8 +83,12 @@ def _(spark, sf):
     return series_folds(spark, sf)
 
 
-@query("group_folds", "H-5", """WITH g AS (SELECT user_id, count(*) AS n, ((user_id * 7919 + 42) % 10007) % 5 AS fold, sum(count(*)) OVER () AS t FROM events GROUP BY 1)
-SELECT CAST(fold AS INTEGER) AS fold, sum(n) AS n, count(*) AS groups FROM g WHERE n * 50 <= t GROUP BY 1""")
+@query("group_folds", "H-5", """WITH RECURSIVE g AS (SELECT user_id, count(*) AS n, ((user_id * 7919 + 42) % 10007) % 5 AS fold, sum(count(*)) OVER () AS t FROM events GROUP BY 1),
+hv AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, CAST(user_id AS VARCHAR)) AS i FROM g WHERE n * 50 > t),
+pl AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS BIGINT) AS user_id, CAST(0 AS BIGINT) AS fold
+  UNION ALL SELECT i, list_transform(range(5), lambda k: load[k + 1] + CASE WHEN k = p THEN n ELSE 0 END), user_id, p FROM (SELECT hv.i, hv.n, hv.user_id, load, CAST(list_position(load, list_min(load)) - 1 AS BIGINT) AS p FROM pl JOIN hv ON hv.i = pl.i + 1)),
+al AS (SELECT g.user_id, g.n, coalesce(pl.fold, g.fold) AS fold FROM g LEFT JOIN pl ON pl.user_id = g.user_id)
+SELECT CAST(fold AS INTEGER) AS fold, sum(n) AS n, count(*) AS groups FROM al GROUP BY 1""")
 def _(spark, sf):
     f = SA.group_folds(T.events(spark, sf), "user_id", 5)
     return T.events(spark, sf).join(f, "user_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("groups"))
