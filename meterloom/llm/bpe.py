@@ -156,7 +156,7 @@ def _tokens(content: bytes) -> list[bytes]:
 def encoder(content: bytes) -> Encoder:
     """One for each worker process."""
     merger = Merger(_tokens(content))
-    return Encoder(lambda pieces: merger.encode([p.encode() for p in pieces]))
+    return Encoder(lambda pieces: merger.encode([p.encode() for p in pieces]), most=150_000)
 
 
 def rank_file(spark: SparkSession, path: str):

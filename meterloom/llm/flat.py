@@ -2,7 +2,7 @@
 
 Texts stay in the column's own UTF-8 buffer. A rolling polynomial modulo 2^64 (prefix sums times powers of an odd
 base) gives the hash of any byte range in O(1), so no text is cut into Python strings. Null texts count as empty.
-Kernels work on runs of whole documents of about a megabyte; one longer document is a run of its own.
+Kernels work on runs of whole documents of about a quarter of a megabyte; one longer document is a run of its own.
 """
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 _BASE, _STEP, _LEN = 0x9E3779B97F4A7C15 | 1, U(0xD1342543DE82EF95), U(0xA0761D6478BD642F)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {False: np.ones(1, U), True: np.ones(1, U)}
-RUN, BLOCK = 1 << 20, 1 << 21
+RUN, BLOCK = 1 << 18, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

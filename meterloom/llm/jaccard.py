@@ -53,9 +53,20 @@ def differ(bounds: np.ndarray, c: int, percent: int) -> int:
     return (100 - percent) * (most + most * 100 // percent) // (100 + percent)
 
 
-def fragment_keys(u: np.ndarray, scheme: int, d: int, percent: int) -> np.ndarray:
-    """Keys of the sorted set `u` cut into fragments for sets that differ in at most `d` elements."""
-    f = d + 2 + d // 40
+def fragments(n: int, d: int) -> int:
+    """Fewest fragments of which a set of n elements leaves more than d non-empty, but for two deviations of chance."""
+    f = d + 1
+    while d and f < 8 * d + 8:
+        rate = n / f
+        empty = np.exp(-rate)
+        if f * (1 - empty) - 2 * np.sqrt(f * empty * (1 - (1 + rate) * empty)) >= d + 1:
+            break
+        f += 1 + f // 100
+    return f
+
+
+def fragment_keys(u: np.ndarray, scheme: int, d: int, f: int, percent: int) -> np.ndarray:
+    """Keys of the sorted set `u` cut into `f` fragments for sets that differ in at most `d` elements."""
     part = ((u >> U(32)) * U(f)) >> U(32)
     heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     out = flat.mix(np.add.reduceat(flat.mix(u ^ U(0x5851F42D4C957F2D)), heads) + (part[heads] + U(scheme << 40)) * U(0x9FB21C651E98DF25))
@@ -85,7 +96,13 @@ def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarr
 
 def _scan(k: int, percent: int):
     bounds = classes(percent)
-    allowed = [differ(bounds, c, percent) for c in range(len(bounds) - 1)]
+    allowed: dict[int, tuple[int, int]] = {}
+
+    def cut(c: int) -> tuple[int, int]:
+        if c not in allowed:
+            d = differ(bounds, c, percent)
+            allowed[c] = d, fragments(int(bounds[c]), d)
+        return allowed[c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +115,7 @@ def _scan(k: int, percent: int):
                     seen.add(own)
                     c = int(np.searchsorted(bounds, n, "right")) - 1
                     for s in {c, max(0, c - 1)}:
-                        got = fragment_keys(u, s, allowed[s], percent)
+                        got = fragment_keys(u, s, *cut(s), percent)
                         keys.append(got)
                         owners.append(np.full(len(got), own, U))
                 odd = np.packbits((np.bincount((u & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8))

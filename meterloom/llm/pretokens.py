@@ -19,7 +19,7 @@ from . import flat
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: White_Space of Unicode. Fixed values.
 WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-RUN = 1 << 20
+RUN = 1 << 19
 
 
 @lru_cache(1)

@@ -14,7 +14,7 @@ BROADCAST_ROWS = 400_000
 
 def settle(spark: SparkSession) -> None:
     """Batches that bound a Python worker's memory; adaptive execution with skewed joins split."""
-    for k, v in {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    for k, v in {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
                  "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}.items():
         spark.conf.set(k, v)
 
