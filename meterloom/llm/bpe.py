@@ -180,6 +180,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", to: str = "ids") ->
         for batch in batches:
             for part in _slices(batch, column):
                 yield pa.RecordBatch.from_arrays([*part.columns, lists(*own.texts(*flat.texts(part, column)))], [*part.schema.names, to])
+        flat.release()
 
     return docs.mapInArrow(run, docs.withColumn(to, F.lit(None).cast("array<int>")).schema)
 

@@ -103,6 +103,7 @@ def _search(k: int, classes: list[int], bitmap):
                 new = np.r_[True, (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])]
                 doc, sig = doc[new], sig[new]
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(flat.signed(sig))], ["doc_id", "sig"])
+        flat.release()
 
     return run
 

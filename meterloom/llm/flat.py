@@ -60,6 +60,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), off
 
 
+def release() -> None:
+    """At the end of a task: what Arrow keeps of freed batches goes back, as workers live on."""
+    pa.default_memory_pool().release_unused()
+
+
 def runs(off: np.ndarray, size: int = RUN) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about `size` bytes."""
     i, n = 0, len(off) - 1

@@ -130,6 +130,7 @@ def _scan(k: int, percent: int):
                 pa.array(flat.signed(np.concatenate([key, docs.view(U)]))),
                 pa.array(flat.signed(np.concatenate([owner, np.array([x[1] for x in about], U)]))),
                 pa.array(np.concatenate([tags(key, owner), np.full(a, ABOUT, np.int32)])), lists], ["key", "owner", "tag", "about"])
+        flat.release()
 
     return run
 

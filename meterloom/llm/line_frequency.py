@@ -103,6 +103,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), batch.column(2), *(pa.array(cat(stats[c], np.int64)) for c in STATS), pa.array(flat.signed(cat(cores, U))),
             pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat(sizes, np.int64))].astype(np.int32)), pairs)], ["doc_id", "row", "host", *STATS, "core", "lines"])
+    flat.release()
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,7 @@ def _anchors(width: int):
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.r_[flat.signed(key), ids]), pa.array(np.r_[owner, ids]), pa.array(np.r_[tags(key, owner), np.full(n, ABOUT, np.int32)]),
                 pa.array(np.r_[pos, np.zeros(n, np.int64)].astype(np.int32)), about], ["key", "owner", "tag", "pos", "about"])
+        flat.release()
 
     return run
 
