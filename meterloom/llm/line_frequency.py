@@ -125,12 +125,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if x == "text" else batch.column(k) for k, x in enumerate(batch.schema.names)], batch.schema.names)
 
 
-def judged(docs: DataFrame, host: str = "source", min_docs: int = 100, percent_of_host: float = 0.5, left_words: int = 10, left_percent: int = 20) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, host: str = "source", min_docs: int = 5, percent_of_host: float = 0.5, left_words: int = 10, left_percent: int = 20) -> tuple[DataFrame, DataFrame]:
     """Per row of `docs` (doc_id, text, `host`; others are not looked at): the base measures, base_failed, removed_words,
     kept. And the frequent lines (host, line, documents).
 
     A line is frequent in a host if it is in more than `min_docs` distinct documents and more than `percent_of_host` % of
-    the host's. A document is depleted if fewer than `left_words` words or `left_percent` % of its words would be left.
+    the host's: the share decides, and the floor of a few documents only keeps small hosts from losing lines that two or
+    three documents happen to share. A document is depleted if fewer than `left_words` words or `left_percent` % of its words would be left.
     Null or empty texts have no words and fail; a null host is a host of its own; rows of one doc_id
     are taken to have one text; of rows without an id, those of one text are one document.
     """

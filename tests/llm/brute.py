@@ -125,3 +125,28 @@ def wordpieces(word, first, later):
             return 0
         at, n = to, n + 1
     return n
+
+
+def normalised(text):
+    return " ".join(re.sub("[0-9]+", "0", w) for w in words(lower(text)))
+
+
+def frequent_lines(docs, min_docs=5, percent=0.5):
+    """docs: (doc_id, text, host) -> {(host, normalised line): distinct documents}"""
+    holders, hosts = {}, {}
+    for _, t, h in docs:
+        hosts.setdefault(h, set()).add(normalised(t))
+        for line in {normalised(x) for x in (t or "").split("\n")} - {""}:
+            holders.setdefault((h, line), set()).add(normalised(t))
+    return {k: len(v) for k, v in holders.items() if len(v) > min_docs and len(v) * 100 > len(hosts[k[0]]) * percent}
+
+
+def line_verdicts(docs, often):
+    """doc_id -> (removed words, kept, text without the frequent lines)"""
+    out = {}
+    for d, t, h in docs:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if (h, normalised(x)) not in often]
+        n, m = len(words(t)), sum(len(words(x)) for x in left)
+        out[d] = n - m, not base_measures(t)[-1] and m >= 10 and m * 100 >= n * 20, "\n".join(left)
+    return out

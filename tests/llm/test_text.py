@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 import base64
 
 import brute
+import corpus_pipeline
 from meterloom.llm import bpe, contamination, disclosure, flat, line_frequency, pretokens, queries, token_frames, wordpiece
 
 SF = "/root/testdata/sf0.001"
@@ -184,6 +185,36 @@ def test_frequent_lines_go(spark):
     assert line_frequency.filtered(docs.limit(0)).count() == 0
 
 
+def hosted(seed=7):
+    """Hosts of 12, 60 and 300 documents: a footer in a third of each, a line in few of each, documents that are all footer."""
+    r = random.Random(seed)
+    word = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    foot = "\n".join(word(14) for _ in range(4))
+    docs = []
+    for size in (12, 60, 300):
+        for i in range(size):
+            lines = [word(20), word(15)] + (["Seldom seen line of  text"] if i < 2 else [])
+            if i % 2 == 0:
+                lines = [word(25), foot.upper() if i % 4 else foot, f"page {i} of 99"]
+            if i % 10 == 5:
+                lines = [word(9), foot, f"Page {i} of 7"]
+            docs.append((len(docs), "\n".join(lines), f"host{size}"))
+    return docs
+
+
+def test_frequent_lines_with_production_limits(spark):
+    docs = hosted()
+    often = brute.frequent_lines(docs)
+    want = brute.line_verdicts(docs, often)
+    assert {h for h, _ in often} == {"host12", "host60", "host300"} and not any("seldom" in x for _, x in often)
+    table = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, source string, n_chars int")
+    verdict, _ = line_frequency.judged(table)
+    assert {r.doc_id: (r.removed_words, r.kept) for r in verdict.collect()} == {d: x[:2] for d, x in want.items()}
+    assert {k for _, k, _ in want.values()} == {True, False}
+    stage = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, table, SF).collect()}
+    assert stage == {d: t for d, (_, kept, t) in want.items() if kept}
+
+
 def test_leaks_query(spark, real):
     items = [(int(i), t) for i, t in pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False)]
     want = brute.leaks(real, items)
