@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency.
 
 Lines are normalised (white space runs, A-Z to lower case, a run of digits to one 0) and hashed. For each host, the distinct documents
-that hold a line are counted; exact copies and, mostly, near copies count once, since what is counted is the least
-five-word shingle of the documents. Lines in more documents than the limit are taken out, and a document that loses
+that hold a line are counted, by a hash of the whole normalised text: copies that differ at most in case, white space and
+digits count once. Lines in more documents than the limit are taken out, and a document that loses
 nearly everything is rejected.
 """
 from __future__ import annotations
@@ -24,7 +24,7 @@ PLAIN[48:58] = 48
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, row long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", core long, lines array<struct<line:long,words:long>>"
+SCHEMA = "doc_id long, row long, host string, " + ", ".join(f"{c} long" for c in STATS) + ", whole long, lines array<struct<line:long,words:long>>"
 
 
 def row_key():
@@ -67,7 +67,7 @@ def _sums(flags: np.ndarray, o: np.ndarray) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = flat.texts(batch)
-        stats, cores, lines, words, sizes = {c: [] for c in STATS}, [], [], [], []
+        stats, wholes, lines, words, sizes = {c: [] for c in STATS}, [], [], [], []
         for i, j in flat.runs(off):
             b, o, n = data[off[i]:off[j]], off[i:j + 1] - off[i], j - i
             s, e, h, wo = flat.words(b, o)
@@ -87,12 +87,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge[twice] += 1
             edge[twice + 8] -= 1
             stats["n_repeat_words"].append(np.bincount(doc[np.cumsum(edge)[:len(h)] > 0], minlength=n))
-            owner, x = flat.shingles(h, wo, 5)
-            core = np.zeros(n, U)
-            if len(owner):
-                heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                core[owner[heads]] = np.minimum.reduceat(x, heads)
-            cores.append(core)
+            wholes.append(_line_ids(b, o, s, e, wo))
             ids = _line_ids(b, o, s, e, line_words)[long]
             each = pd.DataFrame({"doc": line_doc[long], "line": flat.signed(ids), "words": np.diff(line_words)[long]}).groupby(["doc", "line"], sort=True)["words"].sum().reset_index()
             lines.append(each["line"].to_numpy(np.int64))
@@ -101,8 +96,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cat = lambda x, kind: np.concatenate([*x, np.empty(0, kind)]).astype(kind)
         pairs = pa.StructArray.from_arrays([pa.array(cat(lines, np.int64)), pa.array(cat(words, np.int64))], ["line", "words"])
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), batch.column(2), *(pa.array(cat(stats[c], np.int64)) for c in STATS), pa.array(flat.signed(cat(cores, U))),
-            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat(sizes, np.int64))].astype(np.int32)), pairs)], ["doc_id", "row", "host", *STATS, "core", "lines"])
+            batch.column(0), batch.column(1), batch.column(2), *(pa.array(cat(stats[c], np.int64)) for c in STATS), pa.array(flat.signed(cat(wholes, U))),
+            pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat(sizes, np.int64))].astype(np.int32)), pairs)], ["doc_id", "row", "host", *STATS, "whole", "lines"])
     flat.release()
 
 
@@ -138,15 +133,15 @@ def judged(docs: DataFrame, host: str = "source", min_docs: int = 5, percent_of_
     settle(docs.sparkSession)
     base = docs.select("doc_id", row_key(), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("host"), "text")
     measures = written(base.mapInArrow(_measure, SCHEMA), "lines")
-    lines = measures.select("row", "host", "core", F.explode("lines").alias("at")).select("row", "host", "core", "at.line", "at.words")
-    often = lines.groupBy("host", "line").agg(F.count_distinct("core").alias("documents")).where(F.col("documents") > min_docs)
-    hosts = measures.groupBy("host").agg(F.count_distinct("core").alias("of"))
+    lines = measures.select("row", "host", "whole", F.explode("lines").alias("at")).select("row", "host", "whole", "at.line", "at.words")
+    often = lines.groupBy("host", "line").agg(F.count_distinct("whole").alias("documents")).where(F.col("documents") > min_docs)
+    hosts = measures.groupBy("host").agg(F.count_distinct("whole").alias("of"))
     often = written(often.join(hosts, "host").where(F.col("documents") * 100 > F.col("of") * percent_of_host).drop("of"), "frequent")
     lost = matched(lines.select("row", "host", "line", "words").distinct(), often.select("host", "line"), ["host", "line"])
     lost = lost.groupBy("row").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("line")).alias("gone"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    out = (measures.drop("lines", "core").join(lost, "row", "left")
+    out = (measures.drop("lines", "whole").join(lost, "row", "left")
            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
            .withColumn("base_failed", failed)
            .withColumn("kept", ~failed & ~((left < left_words) | (left * 100 < F.col("n_words") * left_percent))))

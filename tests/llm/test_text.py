@@ -208,13 +208,27 @@ def test_frequent_lines_with_production_limits(spark):
     want = brute.line_verdicts(docs, often)
     assert {h for h, _ in often} == {"host12", "host60", "host300"} and not any("seldom" in x for _, x in often)
     table = spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, source string, n_chars int")
-    verdict, _ = line_frequency.judged(table)
+    verdict, lines = line_frequency.judged(table)
+    assert sorted((r.host, r.documents) for r in lines.collect()) == sorted((h, n) for (h, _), n in often.items())
     assert {r.doc_id: (r.removed_words, r.kept) for r in verdict.collect()} == {d: x[:2] for d, x in want.items()}
     assert {k for _, k, _ in want.values()} == {True, False}
     stage = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, table, SF).collect()}
     assert stage == {d: t for d, (_, kept, t) in want.items() if kept}
 
 
+def test_documents_that_are_mostly_boilerplate_count_each(spark):
+    """300 different documents of 10 own shingles and a shared footer of 56; copies up to case, spaces and digits count once."""
+    r = random.Random(3)
+    word = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    foot = word(60)
+    texts = [f"{word(10)}\n{foot}" for _ in range(300)]
+    texts += [texts[0].upper(), texts[1].replace(" ", "  "), texts[2]]
+    docs = [(i, t, "a") for i, t in enumerate(texts)]
+    verdict, lines = line_frequency.judged(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert [(r.host, r.documents) for r in lines.collect()] == [("a", 300)] == [(h, n) for (h, _), n in brute.frequent_lines(docs).items()]
+    assert not any(r.kept for r in verdict.collect())
+
+
 def test_leaks_query(spark, real):
     items = [(int(i), t) for i, t in pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False)]
     want = brute.leaks(real, items)
