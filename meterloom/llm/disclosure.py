@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import matched, settle, written
+from .staging import BROADCAST_ROWS, matched, settle, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PATTERNS = {
@@ -58,19 +58,18 @@ def _valid() -> Column:
             .when(F.col("kind") == "card", F.when(n.between(13, 19), _luhn(digits)).otherwise(False)).otherwise(n.between(9, 15)))
 
 
-def _placed(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with arrays `pieces` (n + 1) and `found` (n): a row for each match with start, end and the texts around it."""
-    z = F.arrays_zip(F.col("pieces").alias("gap"), F.col("found").alias("match"), F.slice("pieces", 2, F.size("pieces")).alias("next"))
+def _placed(pieces: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """Rows with arrays `pieces` (n + 1), `found` and those of `more` (n): a row for each match with start and end."""
+    z = F.arrays_zip(F.col("pieces").alias("gap"), F.col("found").alias("match"), *more)
     rows = pieces.select(*by, F.posexplode(z).alias("i", "at")).where("at.match is not null")
-    rows = rows.select(*by, "i", F.col("at.match").alias("match"), F.length("at.gap").alias("gap"), F.length("at.match").alias("len"),
-                       F.substring_index("at.gap", " ", -11).alias("before"), F.substring_index("at.next", " ", 11).alias("after"))
+    rows = rows.select(*by, "i", F.col("at.match").alias("match"), F.length("at.gap").alias("gap"), F.length("at.match").alias("len"), *[f"at.{c}" for c in more])
     rows = rows.repartition(*by).dropDuplicates([*by, "i"])  # equal rows of the input, without a shuffle more
     w = Window.partitionBy(*by).orderBy("i")
     return rows.withColumn("end", (F.sum(F.col("gap") + F.col("len")).over(w)).cast("long")).withColumn("start", F.col("end") - F.col("len"))
 
 
 def mentions(keyed: DataFrame) -> DataFrame:
-    """KEY, kind, start, end, entity and the words around each valid match of the base patterns."""
+    """KEY, kind, start, end and entity of each valid match of the base patterns."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def struct(kind):
@@ -82,41 +81,69 @@ def mentions(keyed: DataFrame) -> DataFrame:
     rows = keyed.select(*KEY, "text").where(some).select(*KEY, F.explode(F.array(*map(struct, PATTERNS))).alias("x")).select(*KEY, "x.*").where("size(found) > 0")
     found = _placed(rows, [*KEY, "kind"]).where(_valid())
     entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match")))
-    return found.select(*KEY, "kind", "start", "end", entity.alias("entity"), "before", "after")
+    return found.select(*KEY, "kind", "start", "end", entity.alias("entity"))
 
 
-def revealing(keyed: DataFrame, found: DataFrame, generalise: float, least: int) -> DataFrame:
-    """entity, term, share of the entity's information that the term gives away, from counts over the whole corpus."""
-    around = F.concat_ws("\n", "before", "after")
-    near = found.select(*KEY, "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(TERM), F.lit(0)))).alias("term"))
-    both = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(*KEY).alias("n_both")).where(F.col("contexts") >= least)
-    of_entity = found.groupBy("entity").agg(F.count_distinct(*KEY).alias("n_entity"))
-    terms = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = keyed.agg(F.count("*").alias("n_all"))
-    share = F.log(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(F.col("n_all") / F.col("n_entity"))
-    counted = written(both, "near-terms").join(of_entity, "entity").join(terms, "term").join(F.broadcast(n))  # one row
-    return counted.where("n_entity < n_all").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
+def _terms(rows: DataFrame, *more: str) -> DataFrame:
+    """`more` columns and term: the distinct terms of each text."""
+    return rows.select(*more, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def spans(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least: int = 3) -> tuple[DataFrame, DataFrame]:
+def revealing(keyed: DataFrame, found: DataFrame, generalise: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """term, share (the largest over entities of the entity's information that it gives away), inside (no document without
+    a mention holds it); and KEY, term of documents with mentions. Counts are those of whole texts of the corpus.
+
+    As n_both <= n_entity, a term in more than N * (n_entity / N)^generalise documents can't reach the share: such pairs
+    are dropped before they are counted, which changes no result.
+    """
+    n = keyed.count()
+    pairs = found.select(*KEY, "entity").distinct()
+    of_entity = written(pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < n), "entities")
+    reach = F.lit(float(n)) * F.pow(F.col("n_entity") / F.lit(float(max(n, 1))), F.lit(generalise)) * (1 + 1e-9)
+    own = written(matched(pairs, of_entity, "entity").withColumn("reach", reach), "entity-rows")
+    counts = written(_terms(keyed).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
+    # At most a thousand times the mean number of terms of a text; the others have no hot key.
+    limit = n / 1000
+    common = counts.where(F.col("n_term") > limit).select("term", F.col("n_term").alias("n_common"))
+    bound = written(own.groupBy(*KEY).agg(F.max("reach").alias("row_reach")), "mention-rows")
+    held = _terms(matched(keyed.select(*KEY, "text"), bound, KEY), *KEY, "row_reach").join(F.broadcast(common), "term", "left")
+    held = written(held.where("n_common is null or n_common <= row_reach"), "held-terms")
+    rare = held.where("n_common is null").join(counts.where(F.col("n_term") <= limit), "term").where("n_term <= row_reach")
+    terms = held.where("n_common is not null").select(*KEY, "term", F.col("n_common").alias("n_term")).union(rare.select(*KEY, "term", "n_term"))
+    terms = written(terms.distinct(), "mention-terms")
+    both = terms.join(own, KEY).where("n_term <= reach").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    share = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.log(n / F.col("n_entity"))
+    strong = both.where(F.col("n_both") >= least).withColumn("share", share).where(F.col("share") >= generalise)
+    strong = strong.groupBy("term").agg(F.max("share").alias("share"), F.max("n_term").alias("n_term"))
+    seen = terms.groupBy("term").agg(F.count("*").alias("n_seen"))
+    return written(strong.join(seen, "term").select("term", "share", (F.col("n_seen") >= F.col("n_term")).alias("inside")), "revealing"), terms.select(*KEY, "term")
+
+
+def spans(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """`docs` with the columns KEY; and KEY, kind, start, end (code points, end exclusive), share of all spans found.
 
-    A term needs `least` different contexts next to an entity. Terms inside base spans have no span of their own. Null
+    A term needs `least` documents with the entity. Terms inside base spans have no span of their own. Null
     and empty texts have none; rows of one doc_id and text have the same spans.
     """
     settle(docs.sparkSession)
     keyed = _keyed(docs)
     found = written(mentions(keyed), "mentions")
-    strong = written(revealing(keyed, found, generalise, least), "revealing")
-    wanted = found.select(*KEY, "entity").distinct().join(strong, "entity").groupBy(*KEY, "term").agg(F.max("share").alias("share"))
+    strong, held = revealing(keyed, found, generalise, least)
+    # Only terms that other documents hold as well are looked for in the whole corpus.
+    wide = written(strong.where("not inside").select("term", "share"), "wide-terms")
+    wanted = matched(held, written(strong.where("inside").select("term", "share"), "inside-terms"), "term").unionByName(matched(_terms(keyed, *KEY), wide, "term").distinct())
     wanted = written(wanted, "wanted-terms")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    some = matched(keyed.select(*KEY, "text"), wanted, KEY)
-    rows = some.select(*KEY, "term", "share", F.split("text", pattern, -1).alias("pieces"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"))
-    terms = _placed(rows, [*KEY, "term", "share"]).select(*KEY, F.lit("term").alias("kind"), "start", "end", "share")
+    each = wanted.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"), F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    each = F.broadcast(each) if wanted.count() <= BROADCAST_ROWS else each.hint("shuffle_merge")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("terms"), F.lit(r")(?!\p{L})"))
+    rows = keyed.select(*KEY, "text").join(each, KEY).select(*KEY, "shares", F.split("text", pattern, -1).alias("pieces"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"))
+    # What only the pattern takes for the same letters (long s) gets the largest share.
+    rows = rows.withColumn("share", F.transform("found", lambda m: F.coalesce(F.try_element_at("shares", F.lower(m)), F.array_max(F.map_values("shares")))))
+    terms = _placed(rows, KEY, "share").select(*KEY, F.lit("term").alias("kind"), "start", "end", "share")
     base = found.select(*KEY, "kind", "start", "end", F.lit(1.0).alias("share")).distinct()
     taken = base.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    free = terms.join(taken, KEY).where(~F.exists("taken", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))).drop("taken")
+    over = F.exists("taken", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))
+    free = terms.join(taken, KEY, "left").where(~F.coalesce(over, F.lit(False))).drop("taken")
     return keyed, base.unionByName(free)
 
 
@@ -140,7 +167,7 @@ def digest(docs: DataFrame, **limits) -> DataFrame:
     return rows.select("doc_id", *counts, joined(lambda x: x["order"] < len(KINDS)).alias("base_spans"), joined(lambda x: F.lit(True)).alias("spans"))
 
 
-def sanitised(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least: int = 3) -> DataFrame:
+def sanitised(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least: int = 1) -> DataFrame:
     """`docs` with base spans masked by their kind, revealing terms generalised to [TERM] or removed; n_chars, if there, is
     recounted. Overlapping spans are masked as the one that starts first."""
     keyed, all_spans = spans(docs, generalise, remove, least)

@@ -150,3 +150,30 @@ def line_verdicts(docs, often):
         n, m = len(words(t)), sum(len(words(x)) for x in left)
         out[d] = n - m, not base_measures(t)[-1] and m >= 10 and m * 100 >= n * 20, "\n".join(left)
     return out
+
+
+def revealing_spans(docs, generalise=0.9):
+    """docs: distinct (doc_id, text) -> {doc_id: term spans}; ASCII texts"""
+    import math
+    terms = {d: set(re.findall("[a-z]{3,}", t.lower())) for d, t in docs}
+    entities = {}
+    for d, t in docs:
+        for x in base_spans(t):
+            kind, a, b = x.split(":")
+            m = t[int(a):int(b)]
+            entities.setdefault((kind, re.sub("[^0-9]", "", m) if kind in ("card", "phone") else m.lower()), set()).add(d)
+    holders = {}
+    for d, own in terms.items():
+        for x in own:
+            holders.setdefault(x, set()).add(d)
+    n, strong = len(docs), set()
+    for own in entities.values():
+        for x in {x for d in own for x in terms[d]} if len(own) < n else ():
+            if math.log(len(own & holders[x]) * n / (len(own) * len(holders[x]))) / math.log(n / len(own)) >= generalise:
+                strong.add(x)
+    out = {}
+    for d, t in docs:
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)]
+        runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z]{3,}", t) if m[0].lower() in strong]
+        out[d] = [f"term:{a}:{b}" for a, b in runs if not any(x < b and y > a for x, y in base)]
+    return out

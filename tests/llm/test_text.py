@@ -291,3 +291,20 @@ def test_terms_that_reveal(spark):
     twice = spark.createDataFrame([(None, "me@x.org", 1, 2, 3), (None, "me@x.org", 1, 2, 3), (1, "me@x.org 10.0.0.1", 4, 5, 6)], "doc_id long, text string, start int, kind int, entity int")
     assert sorted(r.text for r in disclosure.sanitised(twice).collect()) == ["[EMAIL]", "[EMAIL]", "[EMAIL] [IP]"]
     assert disclosure.sanitised(twice).columns == twice.columns
+
+
+def test_terms_count_in_whole_texts_and_go_everywhere(spark):
+    """Terms far from the mention, entities of one or two documents, holders of a term that don't mention the entity."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+    word = lambda n: " ".join(r.choices(vocabulary, k=n))
+    texts = [word(r.randrange(5, 60)) for _ in range(300)]
+    for i in range(0, 60, 3):
+        texts[i] = f"Zor{'abcdefghijklmnopqrst'[i // 3] * 4} {word(30)} p{i // 6}@corp.org {word(20)} 10.0.{i % 9}.1"
+    texts += [f"Quillon {word(30)} jo@corp.org {word(3)}" for _ in range(8)] + ["the QUILLON elsewhere", "zoraaaa again, xzoraaaa", f"{word(20)} Snarkwell {word(20)} solo@corp.org"]
+    docs = list(enumerate(texts))
+    want = brute.revealing_spans(docs)
+    got = {x.doc_id: [y for y in x.spans.split(",") if y.startswith("term")] for x in disclosure.digest(frame(spark, texts)).collect()}
+    assert got == want and want[308] == ["term:4:11"] and "term:0:7" in want[300] and want[310]
+    clean = {x.doc_id: x.text for x in disclosure.sanitised(frame(spark, texts)).collect()}
+    assert "quillon" not in clean[308].lower() and "Snarkwell" not in clean[310]
