@@ -29,7 +29,7 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return wordpiece.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), longest=None)
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

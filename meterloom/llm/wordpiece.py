@@ -20,6 +20,8 @@ from . import flat
 from .staging import settle
 
 DEAD = -1
+#: Fewer words than these are read to their ends one by one: a step of the lockstep costs as much for one as for all.
+FEW = 64
 
 
 class Automaton:
@@ -55,6 +57,7 @@ class Automaton:
         edges = sorted((at << 8 | c, to) for at, x in enumerate(child) for c, to in x.items())
         self.edge, self.to = np.array([e for e, _ in edges], np.int64), np.array([t for _, t in edges], np.int64)
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        self.alone: tuple[dict[int, int], list[int], list[int]] | None = None
 
     def step(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
         key = at << 8 | c
@@ -65,7 +68,7 @@ class Automaton:
         """Pieces of every word [s, e) of `b`; 0 for a word that pieces don't cover."""
         out, live = np.zeros(len(s), np.int64), np.arange(len(s))
         at, pos, n = np.zeros(len(s), np.int64), s.astype(np.int64), np.zeros(len(s), np.int64)
-        while len(live):
+        while len(live) >= FEW:
             more = pos < e[live]
             go = np.full(len(live), DEAD)
             go[more] = self.step(at[more], b[pos[more]].astype(np.int64))
@@ -78,8 +81,25 @@ class Automaton:
             pos = pos + moved
             keep = ~done & (at != DEAD)
             live, at, pos, n = live[keep], at[keep], pos[keep], n[keep]
+        for i, *state in zip(live.tolist(), at.tolist(), pos.tolist(), n.tolist()):
+            out[i] = self.rest(b[state[1]:e[i]].tobytes(), state[0], state[2])
         return out
 
+    def rest(self, word: bytes, at: int, n: int) -> int:
+        """Pieces of a word of which `word` is still to be read, from node `at` and with `n` pieces so far."""
+        if self.alone is None:
+            self.alone = dict(zip(self.edge.tolist(), self.to.tolist())), self.fail.tolist(), self.pops.tolist()
+        edges, fail, pops = self.alone
+        for c in word:
+            while (to := edges.get(at << 8 | c)) is None:
+                n, at = n + pops[at], fail[at]
+                if at == DEAD:
+                    return 0
+            at = to
+        while at not in (1, DEAD):
+            n, at = n + pops[at], fail[at]
+        return n if at == 1 else 0
+
 
 @lru_cache(2)
 def _automaton(first: tuple[bytes, ...], later: tuple[bytes, ...]) -> Automaton:
@@ -96,11 +116,11 @@ def vocabulary(path: str, mark: bytes = b" ") -> tuple[tuple[bytes, ...], tuple[
     return tuple(t[1:] for t in tokens if t[:1] == mark and len(t) > 1 and not flat.WS[np.frombuffer(t[1:], np.uint8)].any()), tuple(inside)
 
 
-def pieces(docs: DataFrame, path: str, longest: int = 200) -> DataFrame:
+def pieces(docs: DataFrame, path: str, longest: int | None = 200) -> DataFrame:
     """doc_id, n_words, n_pieces, n_unknown of every row of `docs` (doc_id, text; other columns are not looked at).
 
-    Words are what ASCII white space parts. A word that pieces don't cover, or of more than `longest` bytes, counts as one
-    unknown piece, as word-piece tokenizers do. Null, empty and blank texts have none. Rows are independent of each other.
+    Words are what ASCII white space parts. A word that pieces don't cover, or of more than `longest` bytes (None: no
+    limit), counts as one unknown piece, as word-piece tokenizers do. Null, empty and blank texts have none. Rows are independent of each other.
     """
     spark: SparkSession = docs.sparkSession
     settle(spark)
@@ -118,7 +138,7 @@ def pieces(docs: DataFrame, path: str, longest: int = 200) -> DataFrame:
                 one = np.empty(len(keys), np.int64)
                 one[code[::-1]] = np.arange(len(s) - 1, -1, -1)
                 count = np.zeros(len(keys), np.int64)
-                short = e[one] - s[one] <= longest
+                short = e[one] - s[one] <= (len(b) if longest is None else longest)
                 count[short] = own.counts(b, s[one][short], e[one][short])
                 each = count[code]
                 sums = np.c_[np.r_[0, np.cumsum(np.maximum(each, 1))][wo], np.r_[0, np.cumsum(each == 0)][wo]]

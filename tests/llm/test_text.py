@@ -150,6 +150,20 @@ def test_word_piece_query(spark, real):
     assert [(r.n_words, r.n_pieces, r.n_unknown) for r in out] == [(0, 0, 0)] * 3 + [(2, 2, 1)]
 
 
+def test_long_words_are_read(spark, tmp_path):
+    """Words above 200 bytes in the query: Chinese, a URL, base64, one that pieces don't cover."""
+    first, later = map(set, wordpiece.vocabulary(RANKS))
+    r = random.Random(12)
+    texts = ["the " + "x" * 500, "日本語テキスト" * 30 + " end", "http://site.org/" + "a1b2/" * 80, "".join(r.choices("ABCabc019+/", k=700)), "\x01" * 300 + " a"]
+    texts += [" ".join("".join(r.choices("abcxyz", k=r.randrange(150, 260))) for _ in range(9)) for _ in range(20)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_words, x.n_pieces, x.n_unknown) for x in queries.op4_wordpiece_counts(spark, str(tmp_path)).collect()}
+    for d, t in enumerate(texts):
+        each = [brute.wordpieces(w.encode(), first, later) for w in brute.words(t)]
+        assert got[d] == (len(each), sum(max(1, x) for x in each), sum(x == 0 for x in each))
+    assert got[0][1] > 2 and got[1][1] > 30
+
+
 def test_words_of_one_long_text(monkeypatch):
     text = ("ab  cde\nf" * 3000 + "y" * 900).encode()
     b = np.frombuffer(text, np.uint8)
