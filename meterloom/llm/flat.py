@@ -1,7 +1,9 @@
 """NumPy kernels over a whole Arrow column of texts: words, lines, windows and their 64-bit hashes.
 
-Texts stay in the column's own UTF-8 buffer. A rolling polynomial modulo 2^64 (prefix sums times powers of an odd
-base) gives the hash of any byte range in O(1), so no text is cut into Python strings. Null texts count as empty.
+Texts stay in the column's own UTF-8 buffer, so no text is cut into Python strings. A byte range is hashed in lanes of
+eight bytes: each lane is scrambled together with a constant of its place and the lanes are summed (tabulation hashing),
+so equal hashes of different ranges are chance, not structure, as they are for a polynomial modulo 2^64. Windows of words
+are hashed by doubling. Null texts count as empty.
 Kernels work on runs of whole documents of about a quarter of a megabyte; one longer document is a run of its own.
 """
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -17,9 +20,8 @@ WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE, _STEP, _LEN = 0x9E3779B97F4A7C15 | 1, U(0xD1342543DE82EF95), U(0xA0761D6478BD642F)
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {False: np.ones(1, U), True: np.ones(1, U)}
+_STEP, _LEN = U(0xD1342543DE82EF95), U(0xA0761D6478BD642F)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 RUN, BLOCK = 1 << 18, 1 << 20
 
 
@@ -38,15 +40,9 @@ def tag(k: int) -> np.uint64:
     return U(k * int(_LEN) & (1 << 64) - 1)
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    got = _powers[inverse]
-    if len(got) < n:
-        got = np.full(max(n, 2 * RUN), _INVERSE if inverse else _BASE, U)
-        got[0] = 1
-        np.multiply.accumulate(got, out=got)
-        if n <= 4 * BLOCK:
-            _powers[inverse] = got
-    return got[:n]
+def places(n: int, seed: int = 0) -> np.ndarray:
+    """A constant for each of the places 0..n-1."""
+    return mix((np.arange(n, dtype=U) + U(1)) * _STEP ^ mix(np.array([seed], U)))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +70,51 @@ def runs(off: np.ndarray, size: int = RUN) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def range_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """Hash of every byte range [s, e), bytes translated by `table` first."""
-    c = np.empty(len(b) + 1, U)
-    c[0] = 0
-    x = (b if table is None else table[b]).astype(U)
-    x += U(1)
-    x *= powers(len(b), True)
+def _summed(x: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of each row from the scrambled values of its `count` items, which follow each other in `x`."""
+    c = np.zeros(len(x) + 1, U)
     np.cumsum(x, out=c[1:])
-    h = c[e]
-    h -= c[s]
-    h *= powers(len(b) + 1)[s]
-    h ^= (e - s).astype(U) * _LEN
-    return mix(h)
+    to = np.cumsum(count)
+    return mix((c[to] - c[to - count]) ^ size.astype(U) * _LEN)
+
+
+def range_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """Hash of every byte range [s, e), bytes translated by `table` first. The ranges may not overlap much, as each is read."""
+    if not len(s):
+        return np.empty(0, U)
+    size = e - s
+    count = (size + 7) >> 3
+    wide = np.concatenate([b if table is None else table[b], np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(wide) - 7,), "<u8", wide, strides=(1,))
+    nth = ragged(np.zeros(len(s), np.int64), count)
+    at = np.repeat(s, count)
+    at += nth << 3
+    x = lanes[at].astype(U)
+    x &= _LOW[np.minimum(np.repeat(e, count) - at, 8)]
+    x ^= places(int(count.max()) if len(count) else 0, seed)[nth]
+    return _summed(mix(x), size, count)
+
+
+def distinct_ranges(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte range, equal for equal bytes, and the first range of each number. Equal hashes are compared
+    on the bytes; should ranges of one hash differ, the next seed is taken."""
+    seed = 0
+    while True:
+        code, keys = pd.factorize(range_hashes(b, s, e, seed=seed))
+        first = np.empty(len(keys), np.int64)
+        first[code[::-1]] = np.arange(len(s) - 1, -1, -1)
+        model = first[code]
+        size = e - s
+        if np.array_equal(size, size[model]) and np.array_equal(b[ragged(s, size)], b[ragged(s[model], size)]):
+            return code, first
+        seed += 1
+
+
+def sequence_hashes(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Hash of each sequence h[o[i]:o[i + 1]] of hashes."""
+    count = np.diff(o)
+    nth = ragged(np.zeros(len(count), np.int64), count)
+    return _summed(mix(h[o[0]:o[-1]] ^ places(int(count.max()) if len(count) else 0, 1)[nth]), count, count)
 
 
 def words(b: np.ndarray, o: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,20 +152,25 @@ def _long(b, table):
     return s, e, h, np.array([0, len(s)])
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two sequences, one after the other."""
+    return mix(left * _STEP + right)
+
+
 def windows(h: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Every k consecutive words of one document: position of the first word, hash of the sequence."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, U)
-    if k <= 10:
-        v = h[:n].copy()
-        for j in range(1, k):
-            v *= _STEP
-            v += h[j:n + j]
-    else:
-        c = np.zeros(len(h) + 1, U)
-        np.cumsum(h * powers(len(h), True), out=c[1:])
-        v = (c[k:] - c[:-k]) * powers(n)
+    v, done, power, size = None, 0, h, 1
+    while True:
+        if k & size:
+            v = power[:n] if v is None else joined(v, power[done:done + n])
+            done += size
+        if 2 * size > k:
+            break
+        power = joined(power[:-size], power[size:])
+        size *= 2
     doc = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
     at = np.flatnonzero(doc[:n] == doc[k - 1:])
     return at, mix(v[at] ^ tag(k))
@@ -150,13 +183,8 @@ def shingles(h: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     short = np.flatnonzero((np.diff(wo) > 0) & (np.diff(wo) < k))
     if not len(short):
         return doc[at], v
-    own = np.empty(len(short), U)
-    for i, d in enumerate(short):
-        x = h[wo[d]:wo[d + 1]]
-        y = x[:1].copy()
-        for z in x[1:]:
-            y = y * _STEP + z
-        own[i] = mix(y ^ tag(len(x)))[0]
+    size = np.diff(wo)[short]
+    own = sequence_hashes(h[ragged(wo[short], size)], np.r_[0, np.cumsum(size)])
     d = np.concatenate([doc[at], short])
     order = np.argsort(d, kind="stable")
     return d[order], np.concatenate([v, own])[order]

@@ -53,9 +53,7 @@ def _line_ids(b: np.ndarray, o: np.ndarray, s: np.ndarray, e: np.ndarray, wo: np
     keep[o] = True
     to = np.cumsum(keep) - 1
     h = flat.range_hashes(b[keep[:-1]], to[s], to[e], PLAIN)
-    c = np.zeros(len(h) + 1, U)
-    np.cumsum(h * flat.powers(len(h), True), out=c[1:])
-    return flat.mix((c[wo[1:]] - c[wo[:-1]]) * flat.powers(len(h) + 1)[wo[:-1]])
+    return flat.sequence_hashes(h, wo)
 
 
 def _sums(flags: np.ndarray, o: np.ndarray) -> np.ndarray:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from . import flat
@@ -76,7 +75,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[str, int] = {}
         self.ids, self.first, self.count = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
@@ -85,14 +84,13 @@ class Encoder:
         if len(have) < need:
             setattr(self, name, np.concatenate([have, np.zeros(max(need, 2 * len(have)) - len(have), have.dtype)]))
 
-    def slots(self, keys: np.ndarray, piece: Callable[[int], str]) -> np.ndarray:
-        if len(self.slot) + len(keys) > self.most:
+    def slots(self, known: list[str]) -> np.ndarray:
+        if len(self.slot) + len(known) > self.most:
             self.clear()
-        known = keys.tolist()
         out = [self.slot.get(k, -1) for k in known]
         new = [i for i, s in enumerate(out) if s < 0]
         if new:
-            got = self.encode([piece(i) for i in new])
+            got = self.encode([known[i] for i in new])
             size = np.fromiter(map(len, got), np.int64, len(got))
             at, m = self.used, len(self.slot)
             self._room("ids", at + int(size.sum()))
@@ -130,10 +128,9 @@ class Encoder:
         co = lead[o]
         s = starts(cp, co)
         e = np.r_[s[1:], len(cp)]
-        code, keys = pd.factorize(flat.range_hashes(cp, s, e))
-        where = np.empty(len(keys), np.int64)
-        where[code[::-1]] = np.arange(len(s) - 1, -1, -1)
-        slot = self.slots(keys, lambda i: whole[s[where[i]]:e[where[i]]])[code]
+        byte = np.r_[np.flatnonzero((b & 0xC0) != 0x80), len(b)]
+        code, first = flat.distinct_ranges(b, byte[s], byte[e])
+        slot = self.slots([whole[p:q] for p, q in zip(s[first].tolist(), e[first].tolist())])[code]
         size = self.count[slot]
         total = np.zeros(len(s) + 1, np.int64)
         np.cumsum(size, out=total[1:])

@@ -116,7 +116,7 @@ def vocabulary(path: str, mark: bytes = b" ") -> tuple[tuple[bytes, ...], tuple[
     return tuple(t[1:] for t in tokens if t[:1] == mark and len(t) > 1 and not flat.WS[np.frombuffer(t[1:], np.uint8)].any()), tuple(inside)
 
 
-def pieces(docs: DataFrame, path: str, longest: int | None = 200) -> DataFrame:
+def pieces(docs: DataFrame, path: str, longest: int | None = None) -> DataFrame:
     """doc_id, n_words, n_pieces, n_unknown of every row of `docs` (doc_id, text; other columns are not looked at).
 
     Words are what ASCII white space parts. A word that pieces don't cover, or of more than `longest` bytes (None: no

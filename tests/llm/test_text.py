@@ -146,7 +146,7 @@ def test_word_piece_query(spark, real):
     for d, t in real:
         each = [brute.wordpieces(w.encode(), first, later) if len(w.encode()) <= 200 else 0 for w in brute.words(t)]
         assert got[d] == (len(each), sum(max(1, x) for x in each), sum(x == 0 for x in each))
-    out = wordpiece.pieces(frame(spark, [None, "", " ", "the " + "x" * 500]), RANKS).orderBy("doc_id").collect()
+    out = wordpiece.pieces(frame(spark, [None, "", " ", "the " + "x" * 500]), RANKS, longest=200).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_pieces, r.n_unknown) for r in out] == [(0, 0, 0)] * 3 + [(2, 2, 1)]
 
 
