@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .staging import folder, matched, settle, written
 
 KEY = ["h1", "h2"]
+RUN = "h1 long, h2 long, holders long, top long, known boolean"
 BLANKS = " \t\n\u000b\f\r"
 
 
@@ -52,44 +53,46 @@ class Runs:
     """Levels of sorted runs in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.paths = spark, fanout, [[]], {}
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _store(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (run.repartition(self.buckets, "h1").write.option("path", folder(self.spark, name)).bucketBy(self.buckets, "h1").sortBy(*KEY)
+        self.paths[name] = folder(self.spark, name)
+        (run.write.option("path", self.paths[name]).bucketBy(self.buckets, "h1").sortBy(*KEY)
          .format("parquet").saveAsTable(name))
         return name
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("holders").alias("holders"), F.max("top").alias("top"), F.max("known").alias("known"))
+    def merged(self, names: list[str]) -> DataFrame:
+        """One row for each key of these runs. The files are read without their buckets: Spark 4.1 plans a union of bucketed
+        tables as if it kept the buckets, then drops them from the scans, and equal keys would not meet."""
+        runs = [self.spark.read.schema(RUN).parquet(self.paths[name]) for name in names]
+        return reduce(DataFrame.unionByName, runs).repartition(self.buckets, "h1").groupBy(*KEY).agg(F.sum("holders").alias("holders"), F.max("top").alias("top"), F.max("known").alias("known"))
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Those of `keys` that no run holds."""
-        return reduce(lambda left, run: left.join(run.select(*KEY).hint("merge"), KEY, "left_anti"), self.tables(), keys)
+        return reduce(lambda left, name: left.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti"), self.names(), keys)
 
     def add(self, keys: DataFrame) -> None:
         """A batch's own run: keys (h1, h2, holders, top), one row each. Keys of earlier runs only add their holders."""
-        tables = self.tables()
-        if tables:
+        if self.names():
             keys = written(keys, "batch-keys")
             fresh = self.unseen(keys).withColumn("known", F.lit(True))
             again = keys.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti")
             keys = fresh.unionByName(again.select(*KEY, "holders", F.lit(None).cast("long").alias("top"), F.lit(None).cast("boolean").alias("known")))
         else:
             keys = keys.withColumn("known", F.lit(True))
-        self.levels[0].append(self._store(keys))
+        self.levels[0].append(self._store(keys.repartition(self.buckets, "h1")))
         self._compact()
 
     def _compact(self) -> None:
         for depth, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 continue
-            name = self._store(self.merged([self.spark.table(x) for x in level]))
+            name = self._store(self.merged(level))
             for old in level:
                 self.spark.sql(f"DROP TABLE {old}")
             self.levels[depth] = []
@@ -98,9 +101,8 @@ class Runs:
             self.levels[depth + 1].append(name)
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in self.names():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _batched(base: DataFrame, batches: int) -> Column:
@@ -123,7 +125,7 @@ def verdicts(docs: DataFrame, least: int = 40, holders: int = 5, batches: int =
     for k in range(batches):
         own = lines.where(F.col("batch") == k).groupBy(*KEY).agg(F.sum("first").alias("holders"), F.max("doc_id").alias("top"))
         runs.add(own)
-    often = written(runs.merged(runs.tables()).where(F.col("holders") >= holders).select(*KEY, "top"), "often")
+    often = written(runs.merged(runs.names()).where(F.col("holders") >= holders).select(*KEY, "top"), "often")
     runs.close()
     return lines.drop("batch"), often
 

@@ -177,3 +177,20 @@ def revealing_spans(docs, generalise=0.9):
         runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z]{3,}", t) if m[0].lower() in strong]
         out[d] = [f"term:{a}:{b}" for a, b in runs if not any(x < b and y > a for x, y in base)]
     return out
+
+
+def line_removal(docs, least=40, holders=5):
+    """docs: (doc_id, text) rows -> list of (doc_id, lines, dropped, kept text)"""
+    key = lambda line: lower(line.strip(" \t\n\x0b\f\r"))
+    held = {}
+    for d, t in docs:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= least:
+                held.setdefault(k, []).append(d)
+    top = {k: max((d for d in v if d is not None), default=None) for k, v in held.items() if len(v) >= holders}
+    out = []
+    for d, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (key(x) in top and top[key(x)] != d)]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
