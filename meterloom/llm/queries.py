@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, disclosure, jaccard, licences, line_frequency, line_runs, line_sql, substring, token_frames, warc_index, wordpiece
+from . import bpe, contamination, disclosure, jaccard, licences, line_frequency, line_runs, line_sql, periods, substring, token_frames, warc_index, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,19 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.runs(periods.planted(_table(spark, sf_dir, "documents")), least=6, times=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    text = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(text, F.lit("\n"))).otherwise("")
+    out = out.withColumn("best", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"), F.col("best.period").alias("period"),
+                      F.floor(-F.col("best.n") * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"),
+                      F.when(F.size("runs") > 0, F.sha2("collapsed", 256)).otherwise(F.col("words_sha256")).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_frequency, op2_decontamination, op3_disclosure, op4_wordpiece_counts, op5_licence_scan, op6_ngram_jaccard_join,
-                            op7_token_frames, op8_warc_index, op9_substring_dedup, op10_byte_bpe, op12_line_dedup)
+                            op7_token_frames, op8_warc_index, op9_substring_dedup, op10_byte_bpe, op12_line_dedup, op13_periodic_runs)
 }
 SQL: dict[str, str] = {"op12_line_dedup": line_sql.FREQUENT_LINES}

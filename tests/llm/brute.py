@@ -194,3 +194,37 @@ def line_removal(docs, least=40, holders=5):
         kept = [x for x in lines if not (key(x) in top and top[key(x)] != d)]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
+
+
+def periodic_words(doc_id, text):
+    """The words of a document after the planted change."""
+    import zlib
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(w)
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(w, least=6, times=4):
+    """(start, length, period) of all maximal repetitions, by start and period."""
+    best = {}
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least, times * q):
+                best.setdefault((i, length), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
