@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, disclosure, jaccard, licences, line_frequency, line_runs, line_sql, periods, substring, token_frames, warc_index, wordpiece
+from . import bpe, check_sql, collocations, contamination, disclosure, jaccard, licences, line_frequency, line_runs, periods, substring, token_frames, warc_index, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(_table(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, top=2000)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.without_frequent(_table(spark, sf_dir, "documents"), least=40, holders=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -79,6 +83,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_frequency, op2_decontamination, op3_disclosure, op4_wordpiece_counts, op5_licence_scan, op6_ngram_jaccard_join,
-                            op7_token_frames, op8_warc_index, op9_substring_dedup, op10_byte_bpe, op12_line_dedup, op13_periodic_runs)
+                            op7_token_frames, op8_warc_index, op9_substring_dedup, op10_byte_bpe, op11_collocations, op12_line_dedup, op13_periodic_runs)
 }
-SQL: dict[str, str] = {"op12_line_dedup": line_sql.FREQUENT_LINES}
+SQL: dict[str, str] = {"op11_collocations": check_sql.COLLOCATIONS, "op12_line_dedup": check_sql.FREQUENT_LINES}
