@@ -258,7 +258,7 @@ def counted(base: DataFrame, longest: int, least: int, budget: int) -> tuple[Dat
         groups *= 2
     # words with too few occurrences end a suffix; a fixed number of bits, so unrelated words may only spare one
     slots = ones.where(F.col("f") >= least).select(F.shiftrightunsigned("id", 64 - SLOT_BITS).alias("slot"))
-    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits"))
+    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
     often = np.zeros(1 << SLOT_BITS, bool)
     got = bits.toArrow()  # at most 2^18 rows, whatever the vocabulary
     if got.num_rows:

@@ -228,3 +228,30 @@ def periodic_runs(w, least=6, times=4):
 def collapsed(w, runs):
     gone = {i for s, n, q in runs for i in range(s + q, s + n)}
     return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def collocations(docs, longest=3, least=10, percent=50, top=2000):
+    """docs: (lang, text) -> {(lang, rank): (phrase, a, l, r, n, score)}"""
+    counts, total = {}, {}
+    for lang, t in docs:
+        lang = lang if lang is not None else "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(t)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    g = (lang, *w[i:i + k])
+                    counts[g] = counts.get(g, 0) + 1
+    found = {g: a for g, a in counts.items() if len(g) > 2 and a >= least}
+    hidden = set()
+    for g, a in found.items():
+        for k in range(2, len(g) - 1):
+            for i in range(1, len(g) - k + 1):
+                if 100 * a >= percent * found[(g[0], *g[i:i + k])]:
+                    hidden.add((g[0], *g[i:i + k]))
+    rows = {}
+    for g, a in found.items():
+        if g not in hidden:
+            cut = min(((1000000 * a * a // (l * r), k, l, r) for k in range(2, len(g)) for l, r in [(counts[g[:k]], counts[(g[0], *g[k:])])]))
+            rows.setdefault(g[0], []).append((-cut[0], -a, " ".join(g[1:]).encode(), cut[2], cut[3]))
+    return {(lang, k): (p.decode(), -a, l, r, total[lang], -s) for lang, x in rows.items() for k, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1)}
