@@ -112,7 +112,7 @@ def _vocabulary(seed: int):
                 low = flat.LOWER[b]
                 code, first = flat.distinct_ranges(low, s, e)
                 words = pa.array([low[p:q].tobytes().decode() for p, q in zip(s[first].tolist(), e[first].tolist())])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(first)), words, pa.array(ids[first]), pa.array(np.bincount(code, minlength=len(first)))], ["lang", "word", "id", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), words, pa.array(ids[first]), pa.array(np.bincount(code, minlength=len(first)))], ["lang", "word", "id", "f"])
         flat.release()
 
     return run
@@ -131,7 +131,7 @@ def _extensions(seed: int, longest: int, heavy: list[np.ndarray]):
                 own, count = summed(cols[:depth, at], np.ones(len(at), np.int64))
                 h, _ = route(_lang_id(name), np.concatenate([own, np.full((1, own.shape[1]), NONE)]), heavy)
                 ids = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, depth).astype(np.int32)), pa.array(own.T.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(flat.signed(h)), ids, pa.array(count)], ["lang", "prefix", "ids", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(flat.signed(h)), ids, pa.array(count)], ["lang", "prefix", "ids", "f"])
         flat.release()
 
     return run
