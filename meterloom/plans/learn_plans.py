@@ -1,11 +1,13 @@
 """Feature screening, folds, sampling and learners (inventory E-9, H, K-15, K-20)."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import clean as C, learn as L, metrics as M, pool as K, runs as RU, sampling as SA, select as SE, series_stats as S
+from ..operators import boosting as B, clean as C, extra_trees as X, learn as L, metrics as M, pool as K, runs as RU, sampling as SA, select as SE, series_stats as S
 from ..operators.folds import series_folds, series_labels, stratified_folds
 from ..session import cut_lineage
 from ..sources import tables as T
@@ -192,50 +194,69 @@ def _(spark, sf):
     return rounded(L.oof(train_frame(spark, sf), lambda s: L.gbt(s), K_FOLDS), 5)
 
 
+@query("boosted_styles", "H-12, H-14")
+def _(spark, sf):
+    """Leaf-wise, level-wise and symmetric boosters, stopped early, out of fold."""
+    return rounded(binary(B.oof(train_frame(spark, sf), B.STYLES, K_FOLDS)), 5)
+
+
+def binary(scores):
+    return scores.withColumn("y", F.col("y").cast("int"))
+
+
+def pool_of_four(x, folds, vec="vec"):
+    """Long scores of a random forest, extra trees, leaf-wise boosting and logistic regression, out of fold."""
+    s = L.oof_many(x, {"forest": lambda s: L.forest(s, 50, 8), "logistic": lambda s: L.logistic(s)}, folds).select("id", "y", "fold", "model", "p")
+    edges = B.bin_edges(x, vec)
+    boosted = B.oof(x, {"boosted": B.STYLES["leaf_wise"]}, folds, edges=edges, vec=vec)
+    extra = X.oof(x, X.Forest(trees=50), folds, edges=edges, vec=vec).withColumn("model", F.lit("extra_trees"))
+    return s.unionByName(binary(boosted)).unionByName(binary(extra))
+
+
 @query("learner_pool", "H-13, H-14")
 def _(spark, sf):
-    s = L.oof_many(train_frame(spark, sf), {"forest": lambda s: L.forest(s), "logistic": lambda s: L.logistic(s)}, K_FOLDS)
-    return rounded(s, 5)
+    return rounded(pool_of_four(train_frame(spark, sf), K_FOLDS), 5)
 
 
 @query("leaf_indices", "H-15")
 def _(spark, sf):
-    """Out of fold: the leaves of every row come from trees that did not see it."""
-    x, trees = train_frame(spark, sf), 5
-    parts = None
-    for f in range(K_FOLDS):
-        model = L.gbt(42, trees, early_stop=False, leaf="leaf").fit(x.where(F.col("fold") != f))
-        leaves = vector_to_array("leaf").cast("array<int>")
-        padded = F.slice(F.concat(leaves, F.array_repeat(F.lit(-1), trees)), 1, trees)
-        part = model.transform(x.where(F.col("fold") == f)).select("id", "fold", padded.alias("leaves"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Out of fold: the leaves of every row come from trees that did not see it; two styles, padded to the same length."""
+    rows, fitted = B.fit(train_frame(spark, sf), {k: B.STYLES[k] for k in ("leaf_wise", "level_wise")}, K_FOLDS)
+    return B.out_of_fold(rows, fitted, leaves=B.STYLES["leaf_wise"].rounds).select("id", "fold", "model", "leaves")
 
 
 @query("cohort_learners", "H-16")
 def _(spark, sf):
     x = L.with_features(with_subgroup_of(series_frame(spark, sf)), ["mean", "std", "missing_rate", "low_ratio"])
-    return rounded(L.by_group(cut_lineage(x), "grp", 5, lambda s: L.forest(s, 5, 3), K_FOLDS), 5)
+    return rounded(L.by_group(cut_lineage(x), "grp", 5, lambda s: L.forest(s, 20, 5), K_FOLDS), 5)
 
 
 @query("distilled_student", "H-17")
 def _(spark, sf):
+    """A shallow booster on labels mixed with a teacher's out-of-fold scores."""
     x = train_frame(spark, sf)
-    teacher = cut_lineage(L.oof(x, lambda s: L.logistic(s), K_FOLDS))
-    return rounded(L.distilled(x, teacher, K_FOLDS, iters=3), 5)
+    teacher = L.oof(x, lambda s: L.forest(s, 50, 8), K_FOLDS).select("id", F.col("p").alias("t"))
+    soft = cut_lineage(x.join(teacher, "id").withColumn("hard", F.col("y")).withColumn("y", 0.3 * F.col("y") + 0.7 * F.col("t")))
+    s = B.oof(soft, {"student": B.Style("level", depth=3)}, K_FOLDS).select("id", "fold", "p")
+    return rounded(s.join(soft.select("id", F.col("hard").alias("y")), "id"), 5)
+
+
+FEATURE_SETS = {"level": ("mean", "max", "log_max"), "spread": ("std", "max"), "gaps": ("missing_rate", "low_ratio"), "all": tuple(FEATS)}
 
 
 @query("learner_grid", "H-18")
 def _(spark, sf):
+    """Four algorithms on four feature sets; the best set of each algorithm. All boosters are grown in the same passes."""
     x = series_frame(spark, sf)
-    sets = {"level": ["mean", "std", "max"], "gaps": ["missing_rate", "low_ratio"]}
     parts = None
-    for algo, make in {"forest": lambda s: L.forest(s, 5, 3), "logistic": lambda s: L.logistic(s)}.items():
-        for name, cols in sets.items():
-            s = L.oof(L.with_features(x, cols), make, K_FOLDS).withColumn("algorithm", F.lit(algo)).withColumn("feature_set", F.lit(name))
-            parts = s if parts is None else parts.unionByName(s)
-    a = M.roc_auc(cut_lineage(parts), ["algorithm", "feature_set"])
-    return rounded(a.groupBy("algorithm").agg(F.max_by(F.struct("feature_set", "auc"), F.struct("auc", "feature_set")).alias("b")).select("algorithm", "b.*"))
+    for name, cols in FEATURE_SETS.items():
+        s = L.oof(L.with_features(x, list(cols)), lambda s: L.forest(s, 50, 8), K_FOLDS).select("id", "y", "p", F.lit("forest").alias("algorithm"), F.lit(name).alias("feature_set"))
+        parts = s if parts is None else parts.unionByName(s)
+    vec = x.select("id", "y", "fold", F.array(*[F.col(c).cast("double") for c in FEATS]).alias("vec"))
+    grid = {f"{a} {name}": replace(style, columns=tuple(FEATS.index(c) for c in cols)) for a, style in B.STYLES.items() for name, cols in FEATURE_SETS.items()}
+    s = binary(B.oof(vec, grid, K_FOLDS)).select("id", "y", "p", F.split("model", " ")[0].alias("algorithm"), F.split("model", " ")[1].alias("feature_set"))
+    a = rounded(M.roc_auc(cut_lineage(parts.unionByName(s)), ["algorithm", "feature_set"]))
+    return a.groupBy("algorithm").agg(F.max_by(F.struct("feature_set", "auc"), F.struct("auc", "feature_set")).alias("b")).select("algorithm", "b.*")
 
 
 @query("error_predictor", "H-19")
@@ -243,23 +264,29 @@ def _(spark, sf):
     x = train_frame(spark, sf)
     base = L.oof(x, lambda s: L.logistic(s), K_FOLDS).select("id", F.col("p").alias("base"))
     e = cut_lineage(x.join(base, "id").withColumn("y", ((F.col("base") > 0.15).cast("int") != F.col("y")).cast("int")))
-    return rounded(L.oof(e, lambda s: L.forest(s, 8, 3), K_FOLDS, out="p_error"), 5)
+    return rounded(L.oof(e, lambda s: L.forest(s, 50, 8), K_FOLDS, out="p_error"), 5)
+
+
+def with_scores(x, scores, models):
+    """The vectors with the out-of-fold scores of `models` behind them."""
+    return cut_lineage(x.join(L.widen(scores, models), "id").withColumn("vec", F.concat(F.col("vec").cast("array<double>"), F.array(*models))))
 
 
 @query("layered_stack", "H-20")
 def _(spark, sf):
-    x = train_frame(spark, sf)
-    one = cut_lineage(L.oof_many(x, {"forest": lambda s: L.forest(s, 8, 3), "logistic": lambda s: L.logistic(s)}, K_FOLDS))
-    two = cut_lineage(L.stack(one, x, ["forest", "logistic"], lambda s: L.forest(s, 8, 3), K_FOLDS).withColumn("model", F.lit("second")))
-    three = L.stack(one.unionByName(two), x, ["forest", "logistic", "second"], lambda s: L.logistic(s), K_FOLDS, with_raw=False)
+    """Four base learners, a booster on features and their scores, logistic regression on all scores."""
+    x, names = train_frame(spark, sf), ["forest", "extra_trees", "boosted", "logistic"]
+    one = cut_lineage(pool_of_four(x, K_FOLDS))
+    two = binary(B.oof(with_scores(x, one, names), {"second": B.STYLES["leaf_wise"]}, K_FOLDS))
+    three = L.stack(cut_lineage(one.unionByName(two)), x, [*names, "second"], lambda s: L.logistic(s), K_FOLDS, with_raw=False)
     return rounded(three, 5)
 
 
 @query("feature_rich_meta", "H-21")
 def _(spark, sf):
-    x = train_frame(spark, sf)
-    base = cut_lineage(L.oof_many(x, {"forest": lambda s: L.forest(s, 8, 3), "logistic": lambda s: L.logistic(s)}, K_FOLDS))
-    meta = L.stack(base, x, ["forest", "logistic"], lambda s: L.forest(s, 8, 3), K_FOLDS)
+    x, names = train_frame(spark, sf), ["forest", "extra_trees", "boosted", "logistic"]
+    base = cut_lineage(pool_of_four(x, K_FOLDS))
+    meta = binary(B.oof(with_scores(x, base, names), {"meta": B.STYLES["symmetric"]}, K_FOLDS)).drop("model")
     lr = base.where("model = 'logistic'").select("id", F.col("p").alias("p_lr"))
     return rounded(meta.join(lr, "id").withColumn("hybrid", 0.6 * F.col("p") + 0.4 * F.col("p_lr")), 5)
 
@@ -273,8 +300,8 @@ def _(spark, sf):
 def _(spark, sf):
     m = T.score_matrix(spark, sf)
     f = stratified_folds(m.select("id", "y"), K_FOLDS, "id").select("id", "fold")
-    x = cut_lineage(m.join(f, "id").withColumn("features", array_to_vector("p")).select("id", "y", "fold", "features"))
-    s = cut_lineage(L.oof_many(x, {"logistic": lambda s: L.logistic(s), "forest": lambda s: L.forest(s, 8, 3)}, K_FOLDS))
+    x = cut_lineage(m.join(f, "id").withColumn("features", array_to_vector("p")).select("id", "y", "fold", "features", F.col("p").alias("vec")))
+    s = cut_lineage(pool_of_four(x, K_FOLDS))
     return rounded(M.roc_auc(s, ["model"]).join(M.best_f1(s, ["model"]), "model"))
 
 
