@@ -3,7 +3,9 @@
 Items fall into classes by size (powers of two of their shingle sets). For a class with at most U shingles every document
 is read as windows of 2U shingles that start at each multiple of U, so an item lies inside one window and its Jaccard
 similarity to that window is bounded from below however long the document is. Each of HASHES minimum hashes is a band of
-its own. Minima of longer windows come from those of shorter ones. The signatures of the items travel to the scan as a
+its own. Minima of longer windows come from those of shorter ones. Items of at most SHORT shingles, for which few minima
+would have to hit, are looked for by every one of their shingles; an item of fewer words than a shingle has is one shingle of
+its own length. The signatures of the items travel to the scan as a
 bitmap of fixed size, which only thins out what the exact join on signatures receives.
 """
 from __future__ import annotations
@@ -22,7 +24,9 @@ U = np.uint64
 HASHES = 48
 #: Bits of the bitmap, as a power of two: 4 MB.
 BITMAP = 25
-LEAST = 3
+#: Items of at most so many distinct shingles are sought by all of them; classes begin above.
+SHORT = 8
+LEAST = 4
 _SEEDS = flat.mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -35,23 +39,31 @@ def _signature(minima: np.ndarray, c: int, j: int) -> np.ndarray:
     return flat.mix(minima ^ (U(c) << U(32)) + flat.tag(j + 1))
 
 
-def _batch_shingles(batch, k):
+def _whole(shingle: np.ndarray, length: int) -> np.ndarray:
+    """Signature of a short item's shingle of `length` words."""
+    return flat.mix(shingle ^ flat.tag(1000 + length))
+
+
+def _batch_words(batch):
     data, off = flat.texts(batch)
     for i, j in flat.runs(off):
-        b, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
-        _, _, h, wo = flat.words(b, o, flat.LOWER)
-        doc, v = flat.shingles(h, wo, k)
-        yield i, np.searchsorted(doc, np.arange(j - i + 1)), v
+        _, _, h, wo = flat.words(data[off[i]:off[j]], off[i:j + 1] - off[i], flat.LOWER)
+        yield i, h, wo
 
 
 def _items(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, item, size, sig = batch.column(0).to_pylist(), [], [], []
-            for i, at, v in _batch_shingles(batch, k):
-                for d in range(len(at) - 1):
-                    u = np.unique(v[at[d]:at[d + 1]])
-                    if len(u):
+            for i, h, wo in _batch_words(batch):
+                for d, n in enumerate(np.diff(wo)):
+                    own = min(k, int(n))
+                    u = np.unique(flat.windows(h[wo[d]:wo[d + 1]], np.array([0, n]), own)[1]) if n else []
+                    if 0 < len(u) <= SHORT:
+                        item += [ids[i + d]] * len(u)
+                        size += [-own] * len(u)  # below zero: a short item, by its words in a shingle
+                        sig.append(_whole(u, own))
+                    elif len(u):
                         c = int(size_class(np.array([len(u)]))[0])
                         item += [ids[i + d]] * HASHES
                         size += [c] * HASHES
@@ -72,14 +84,26 @@ def _search(k: int, classes: list[int], bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint64)
         shift, low = U(64 - BITMAP), U(63)
+        large = [c for c in classes if c > 0]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             docs, sigs = [], []
-            for i, at, v in _batch_shingles(batch, k):
-                if not len(v):
+            for i, h, wo in _batch_words(batch):
+                word_doc = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
+                for own in (-c for c in classes if c < 0):
+                    first, v = flat.windows(h, wo, own)
+                    sig = _whole(v, own)
+                    cell = sig >> shift
+                    hit = np.flatnonzero((bits[cell >> U(6)] >> (cell & low)) & U(1))
+                    if len(hit):
+                        docs.append(ids[i + word_doc[first[hit]]])
+                        sigs.append(sig[hit])
+                first, v = flat.windows(h, wo, k)
+                if not len(v) or not large:
                     continue
+                at = np.searchsorted(word_doc[first], np.arange(len(wo)))
                 levels, block = [], at
-                for c in range(min(classes), max(classes) + 1):
+                for c in range(min(large), max(large) + 1):
                     heads, block = _heads(block, 1 << c if not levels else 2)
                     owner = np.repeat(np.arange(len(block) - 1), np.diff(block))
                     levels.append((c, heads, owner, np.r_[owner[1:] == owner[:-1], False] if len(owner) else np.empty(0, bool)))
@@ -87,7 +111,7 @@ def _search(k: int, classes: list[int], bitmap):
                     least = v * seed
                     for c, heads, owner, joined in levels:
                         least = np.minimum.reduceat(least, heads)
-                        if c in classes:
+                        if c in large:
                             wide = least.copy()
                             np.minimum(wide[:-1], least[1:], out=wide[:-1], where=joined[:-1])
                             sig = _signature(wide, c, j)
@@ -111,18 +135,24 @@ def _search(k: int, classes: list[int], bitmap):
 def _contained(k: int):
     """Exact: of the item's distinct shingles, as words, how many the document has."""
     def cut(text):
-        w = [bytes(x) for x in text.encode().translate(flat.LOWER.tobytes()).split()]
-        return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+        return [bytes(x) for x in text.encode().translate(flat.LOWER.tobytes()).split()]
+
+    def grams(w, n):
+        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
 
     def run(batches):
         for batch in batches:
             texts, items, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "items", "doc_id"))
             out = []
             for d, text, wanted in zip(ids, texts, items):
-                own = cut(text or "")
+                own, of = cut(text or ""), {}
                 for x in wanted:
-                    s = cut(x["text"] or "")
-                    out.append((d, x["item_id"], len(s), len(s & own)))
+                    w = cut(x["text"] or "")
+                    n = min(k, len(w))
+                    s = grams(w, n) if n else set()
+                    if n not in of:
+                        of[n] = grams(own, n) if n else set()
+                    out.append((d, x["item_id"], len(s), len(s & of[n])))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["doc_id", "item_id", "n_shingles", "n_shared"])
 
     return run
@@ -132,7 +162,7 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
     """doc_id, item_id, n_shingles of the item, n_shared: pairs where the document holds at least `percent` % of the
     item's distinct k-word shingles (words parted by ASCII white space, A-Z in lower case).
 
-    Null, empty or blank texts are in no pair; an item or document of fewer than k words is one shingle; rows without an id
+    Null, empty or blank texts are in no pair; an item of fewer than k words is one shingle of its own length; rows without an id
     are in no pair; repeated rows give a pair once. Other columns are not looked at.
     """
     spark = docs.sparkSession

@@ -28,14 +28,35 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files of a finished write go at once, not when the driver's collector finds them; set for the write alone.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: computed once, kept when executors are lost."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that written() has made in this process, in order.
+made: list[str] = []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of written(), for callers that have written all they need from them."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def matched(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Join with a written side of narrow rows: broadcast if it has at most BROADCAST_ROWS, else shuffled."""
     few = small.count() <= BROADCAST_ROWS

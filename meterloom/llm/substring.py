@@ -23,7 +23,9 @@ U = np.uint64
 #: Perfect difference sets by their period: every residue is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 NO_ID = (1 << 63) - 1
-FOUND = "key long, owner long, tag int, pos int, about struct<n_words:long,sha:string>"
+#: A text: its doc_id (NO_ID for null), and twice the hash of the text, plus one where the id is null.
+ROW = ["doc_id", "row"]
+FOUND = "key long, owner long, row long, tag int, pos int, about struct<n_words:long,sha:string>"
 
 
 def period(width: int) -> int:
@@ -65,8 +67,8 @@ def _anchors(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, off) = _long(batch, "doc_id"), flat.texts(batch)
-            key, owner, pos, count, sha = [], [], [], [], []
+            ids, rows, (data, off) = _long(batch, "doc_id"), _long(batch, "row"), flat.texts(batch)
+            key, owner, row, pos, count, sha = [], [], [], [], [], []
             for i, j in flat.runs(off):
                 b, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 s, e, h, wo = flat.words(b, o)
@@ -76,16 +78,17 @@ def _anchors(width: int):
                 take = on[inside % v] & (np.diff(wo)[doc[at]] >= width)
                 key.append(x[take])
                 owner.append(ids[i + doc[at[take]]])
+                row.append(rows[i + doc[at[take]]])
                 pos.append(inside[take])
                 count.append(np.diff(wo))
                 sha += [hashlib.sha256(kept_bytes(b, s[p:q], e[p:q])).hexdigest() for p, q in zip(wo[:-1], wo[1:])]
             cat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
-            key, owner, pos, count = cat(key, U), cat(owner, np.int64).astype(np.int64), cat(pos, np.int64), cat(count, np.int64)
+            key, owner, row, pos, count = cat(key, U), *(cat(x, np.int64).astype(np.int64) for x in (owner, row, pos, count))
             m, n = len(key), len(sha)
             about = pa.StructArray.from_arrays([pa.array(np.r_[np.zeros(m, np.int64), count.astype(np.int64)]), pa.array([""] * m + sha, pa.string())], ["n_words", "sha"], mask=pa.array(np.r_[np.ones(m, bool), np.zeros(n, bool)]))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.r_[flat.signed(key), ids]), pa.array(np.r_[owner, ids]), pa.array(np.r_[tags(key, owner), np.full(n, ABOUT, np.int32)]),
-                pa.array(np.r_[pos, np.zeros(n, np.int64)].astype(np.int32)), about], ["key", "owner", "tag", "pos", "about"])
+                pa.array(np.r_[flat.signed(key), ids]), pa.array(np.r_[owner, ids]), pa.array(np.r_[row, rows]), pa.array(np.r_[tags(key, owner), np.full(n, ABOUT, np.int32)]),
+                pa.array(np.r_[pos, np.zeros(n, np.int64)].astype(np.int32)), about], ["key", "owner", "row", "tag", "pos", "about"])
         flat.release()
 
     return run
@@ -98,10 +101,10 @@ def _extend(width: int):
 
     def run(batches):
         for batch in batches:
-            ids, (data, off) = _long(batch, "doc_id"), flat.texts(batch)
+            ids, rows, (data, off) = _long(batch, "doc_id"), _long(batch, "row"), flat.texts(batch)
             anchors = batch.column(batch.schema.get_field_index("at"))
             start, value = np.asarray(anchors.offsets), np.asarray(anchors.values)
-            key, owner, pos = [], [], []
+            key, owner, row, pos = [], [], [], []
             for i, j in flat.runs(off):
                 b, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 _, _, h, wo = flat.words(b, o)
@@ -116,14 +119,15 @@ def _extend(width: int):
                 doc = np.repeat(np.arange(j - i), np.diff(wo))[at]
                 key.append(x)
                 owner.append(ids[i + doc])
+                row.append(rows[i + doc])
                 pos.append(at - wo[doc])
             cat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
-            key, owner, pos = cat(key, U), cat(owner, np.int64), cat(pos, np.int64)
+            key, owner, row, pos = cat(key, U), *(cat(x, np.int64) for x in (owner, row, pos))
             order = np.lexsort((owner, key))
-            key, owner, pos = key[order], owner[order], pos[order]
+            key, owner, row, pos = key[order], owner[order], row[order], pos[order]
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             least = np.repeat(owner[heads], np.diff(np.r_[heads, len(key)]))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.signed(key)), pa.array(owner), pa.array((owner > least).astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "owner", "tag", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.signed(key)), pa.array(owner), pa.array(row), pa.array((owner > least).astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "owner", "row", "tag", "pos"])
 
     return run
 
@@ -149,7 +153,7 @@ def _cut(width: int):
                     n.append(int(q - p))
                     gone.append(int(q - p - left.sum()))
                     kept.append(kept_bytes(b, s[p:q][left], e[p:q][left]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "row")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "row", "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -157,18 +161,20 @@ def _cut(width: int):
 def _prepared(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents (doc_id, n_words, sha of their words); (doc_id, at) window starts to remove; texts of those."""
     settle(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    unknown = F.col("doc_id").isNull().cast("long")
+    row = F.shiftleft(F.xxhash64(F.coalesce("text", F.lit(""))), 1).bitwiseOR(unknown).alias("row")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row, "text")
     rows = written(shared(base.mapInArrow(_anchors(width), FOUND)), "anchors")
-    about = rows.where(F.col("tag") == ABOUT).select(F.col("owner").alias("doc_id"), "about.*")
-    anchors = rows.where(F.col("tag") != ABOUT).groupBy(F.col("owner").alias("doc_id")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    about = rows.where(F.col("tag") == ABOUT).select(F.col("owner").alias("doc_id"), "row", "about.*")
+    anchors = rows.where(F.col("tag") != ABOUT).groupBy(F.col("owner").alias("doc_id"), "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     anchors = written(anchors, "shared-anchors")
-    near = written(matched(base, anchors.select("doc_id"), "doc_id").join(anchors, "doc_id"), "near")
-    found = near.mapInArrow(_extend(width), "key long, owner long, tag int, pos int")
-    salt = F.when(F.col("tag") == 1, F.pmod(F.xxhash64("owner", "pos"), F.lit(64)) + 1).otherwise(0)
+    near = written(matched(base, anchors.select(*ROW), ROW).join(anchors, ROW), "near")
+    found = near.mapInArrow(_extend(width), "key long, owner long, row long, tag int, pos int")
+    salt = F.when(F.col("tag") == 1, F.pmod(F.xxhash64("owner", "row", "pos"), F.lit(64)) + 1).otherwise(0)
     least = F.min("owner").over(Window.partitionBy("key", "salt"))
     gone = found.withColumn("salt", salt).withColumn("least", least).where("tag = 1 or owner > least")
-    gone = gone.groupBy(F.col("owner").alias("doc_id")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    return about, written(gone, "repeats"), near.select("doc_id", "text")
+    gone = gone.groupBy(F.col("owner").alias("doc_id"), "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    return about, written(gone, "repeats"), near.select(*ROW, "text")
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -177,11 +183,11 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     Words are what ASCII white space parts, case kept. A word is removed if a window of `width` words of its document
     covers it whose sequence also starts in a document of smaller doc_id; the input is judged, not what is left. Null and
     blank texts have no words; documents shorter than `width` lose nothing; a null doc_id counts as greater than others;
-    rows of one doc_id are taken
-    to have one text and don't repeat each other. Other columns are not looked at.
+    rows of one doc_id, or without one, don't repeat each other, and each is judged by its own text. Other columns are
+    not looked at.
     """
     about, gone, near = _prepared(docs, width)
-    cut = near.join(gone, "doc_id").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_text string")
-    whole = about.join(gone.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("words_sha256"))
+    cut = near.join(gone, ROW).mapInArrow(_cut(width), "doc_id long, row long, n_words long, n_removed long, kept_text string")
+    whole = about.join(gone.select(*ROW), ROW, "left_anti").select(*ROW, "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("words_sha256"))
     out = whole.unionByName(cut.withColumn("words_sha256", F.lit(None).cast("string")))
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return out.withColumn("doc_id", F.when(F.col("row") % 2 == 0, F.col("doc_id"))).drop("row")

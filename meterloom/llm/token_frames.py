@@ -28,7 +28,7 @@ FRAME = 1 << 18
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 NO_ID = (1 << 63) - 1
-WRITTEN = "shard int, path string, n_docs long, n_tokens long, bytes long"
+WRITTEN = "shard int, path string, n_docs long, n_tokens long, bytes long, first_id long, last_id long"
 
 
 def frames(documents: Iterable[tuple[int, np.ndarray]], level: int = 3, size: int = FRAME) -> Iterator[bytes]:
@@ -139,13 +139,14 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shards: i
                 for d, a, z in zip(part.column(0).to_pylist(), np.r_[0, ends[:-1]], ends):
                     totals[0] += 1
                     totals[1] += int(z - a)
+                    totals[2:] = [min(d, totals[2]), max(d, totals[3])]
                     yield d, ids[a:z]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, totals = TaskContext.get().partitionId(), [0, 0]
+        shard, totals = TaskContext.get().partitionId(), [0, 0, NO_ID, -NO_ID - 1]
         name = f"{uri}/tokens-{shard:06d}.zst"
         size = put(name, frames(encoded(batches, totals)))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [totals[0]], "n_tokens": [totals[1]], "bytes": [size]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [totals[0]], "n_tokens": [totals[1]], "bytes": [size], "first_id": [totals[2]], "last_id": [totals[3]]})
 
     spread = base.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     files = written(spread.mapInArrow(run, WRITTEN), "token-files")
@@ -153,26 +154,44 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shards: i
     return files.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
-def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian uint32) of every document of the files that write() returned."""
+READ = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def _documents(path: str, start: int, wanted: list[int] | None) -> Iterator[pa.RecordBatch]:
+    """The documents of one file, or of those the ones with a wanted id (sorted): no frame is read that holds none of them."""
+    own = Reader(path)
+    begin = start + np.r_[0, np.cumsum(own.index[:, 1])]
+    at = np.arange(len(own.index)) if wanted is None else np.flatnonzero(np.isin(own.index[:, 0], wanted))
+    rows, size = [], 0
+    for k in at.tolist():
+        rows.append((int(own.index[k, 0]), int(begin[k]), int(own.index[k, 1]), own.document(k)))
+        size += 4 * rows[-1][2]
+        if size > 1 << 22 or k == at[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "start", "n_tokens", "ids"])
+            rows, size = [], 0
+
+
+def read(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian uint32) of every document of the files that write() returned; with
+    `wanted` (doc_id), of those documents only, from the frames that hold them. A null doc_id is asked for as null.
+
+    Files are spread over as many partitions as there are files, so no task reads more than a few of them.
+    """
+    spread = max(1, files.count())
+    if wanted is None:
+        asked = files.select("path", "start", F.lit(None).cast("array<long>").alias("wanted"))
+    else:
+        ids = wanted.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("asked")).distinct()
+        asked = ids.join(files.where("n_docs > 0"), F.col("asked").between(F.col("first_id"), F.col("last_id")))
+        asked = asked.groupBy("path", "start").agg(F.sort_array(F.collect_list("asked")).alias("wanted"))
+
     def run(batches):
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Reader(path)
-                ids, counts, data, size = [], [], [], 0
-                for k, (d, n) in enumerate(own.index.tolist()):
-                    ids.append(d)
-                    counts.append(n)
-                    data.append(own.document(k))
-                    size += 4 * n
-                    if size > 1 << 22 or k + 1 == len(own.index):
-                        begin = start + np.cumsum(counts) - counts
-                        start += sum(counts)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begin, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-                        ids, counts, data, size = [], [], [], 0
-
-    one_each = files.select("path", "start").repartition(F.col("path"))
-    return one_each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+            for path, start, own in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _documents(path, start, own)
+
+    out = asked.repartition(spread, "path").mapInArrow(run, READ)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

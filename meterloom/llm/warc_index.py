@@ -26,6 +26,8 @@ LINES = 2000
 #: Records with smaller payloads are kept whole however often they repeat.
 LEAST_BYTES = 100
 NO_ID = (1 << 63) - 1
+#: Most bytes and records that a reading task is meant to have.
+TASK_BYTES, TASK_RECORDS = 1 << 26, 20_000
 ENTRY = "url_key string, page_id long, path string, offset long, length long"
 _ID = re.compile(rb"<urn:page:(-?[0-9]+)>")
 
@@ -198,7 +200,7 @@ def look_up(keys: DataFrame, index: DataFrame, path: str) -> DataFrame:
                 out += [(x[0].decode(), int(x[1]), f"{path}/{x[2].decode()}", int(x[3]), int(x[4])) for x in own.captures(key.encode())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["url_key", "page_id", "path", "offset", "length"])
 
-    return placed.repartition("shard").sortWithinPartitions("shard", "url_key").mapInArrow(run, ENTRY)
+    return placed.repartition(max(1, len(firsts)), "shard").sortWithinPartitions("shard", "url_key").mapInArrow(run, ENTRY)
 
 
 def read(entries: DataFrame) -> DataFrame:
@@ -221,7 +223,10 @@ def read(entries: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    near = entries.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    entries = written(entries.select("path", "offset", "length"), "entries")
+    total, count = entries.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, -(-total // TASK_BYTES), -(-count // TASK_RECORDS))  # neighbours in a file stay together
+    near = entries.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     out = near.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("page_id", "refers_to")})
 

@@ -101,14 +101,18 @@ def base_spans(text):
 
 
 def leaks(docs, items, k=5, percent=80):
-    sets = {i: shingle_set(t, k) for i, t in items}
+    grams = lambda w, n: {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else set()
+    cut = {i: words(lower(t)) for i, t in items}
+    size = {i: min(k, len(w)) for i, w in cut.items()}
+    sets = {i: grams(w, size[i]) for i, w in cut.items()}
     holders = {}
     for i, s in sets.items():
         for g in s:
             holders.setdefault(g, set()).add(i)
     out = set()
     for d, t in docs:
-        s = shingle_set(t, k)
+        w = words(lower(t))
+        s = set().union(*(grams(w, n) for n in {*size.values()} if n)) if w else set()
         for i in {i for g in s for i in holders.get(g, ())}:
             if 100 * len(s & sets[i]) >= percent * len(sets[i]):
                 out.add((d, i))

@@ -88,6 +88,16 @@ def test_substring_edge_cases(spark):
     assert got == [("4", 0), ("4", 0), ("6", 60), ("None", 60)]
 
 
+def test_substrings_of_texts_without_or_of_one_id(spark):
+    """Each text is judged by itself: words go only where a text of a smaller id has the window."""
+    r = random.Random(8)
+    shared, own = " ".join(map(str, range(60))), [" ".join(str(r.random()) for _ in range(60)) for _ in range(4)]
+    rows = [(None, shared), (None, own[0] + " " + own[1]), (None, own[0] + " " + own[2]), (3, shared), (7, own[3] + " " + shared), (7, own[3]), (2**63 - 1, shared)]
+    got = substring.without_repeats(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed) for x in got) == sorted(
+        [("None", 60, 60), ("None", 120, 0), ("None", 120, 0), ("3", 60, 0), ("7", 120, 60), ("7", 60, 0), (str(2**63 - 1), 60, 60)])
+
+
 @pytest.mark.parametrize("v", [3, 7, 13, 21, 31])
 def test_covers(v):
     on = substring.covered(v)

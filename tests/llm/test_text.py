@@ -128,6 +128,23 @@ def test_frames_are_read_alone_and_checked(tmp_path):
         token_frames.Reader(path).document(1)
 
 
+def test_readers_are_spread_and_seek(spark, tmp_path, monkeypatch):
+    """As many reading tasks as files; wanted documents only, from the frames that hold them."""
+    rows = [(i if i % 10 else None, f"text number {i} " * (1 + i % 7)) for i in range(400)]
+    files = token_frames.write(frame(spark, rows), JSON, f"file://{tmp_path}/t", shards=6)
+    assert token_frames.read(files).rdd.getNumPartitions() == 6
+    every = {(r.doc_id, r.start): r for r in token_frames.read(files).collect()}
+    wanted = spark.createDataFrame([(5,), (6,), (399,), (77777,), (None,)], "doc_id long")
+    got = token_frames.read(files, wanted).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["5", "6", "399"] + ["None"] * 40) and all(every[r.doc_id, r.start] == r for r in got)
+    token_frames.put(f"file://{tmp_path}/one", token_frames.frames([(i, np.arange(300)) for i in range(50)], size=3000))
+    seen = []
+    real = token_frames.Reader.frame
+    monkeypatch.setattr(token_frames.Reader, "frame", lambda self, i: seen.append(i) or real(self, i))
+    out = list(token_frames._documents(f"file://{tmp_path}/one", 0, [4, 5, 40]))
+    assert [x for b in out for x in b.column(0).to_pylist()] == [4, 5, 40] and seen == [25, 2, 20]
+
+
 def test_word_pieces():
     r = random.Random(5)
     for _ in range(30):
@@ -271,6 +288,17 @@ def test_leaks_recall_and_edges(spark):
     assert {x.doc_id for x in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_recall_by_item_length(spark):
+    """Ten items of every length from 1 to 20 words, and longer ones, each once in a long document: all are found."""
+    r = random.Random(11)
+    word = lambda n: [f"z{r.randrange(20000)}" for _ in range(n)]
+    sizes = [n for n in [*range(1, 21), 40, 90] for _ in range(10)]
+    items = [(i, " ".join(f"item{i}x{j}" for j in range(n))) for i, n in enumerate(sizes)]
+    docs = [(i, " ".join(word(r.randrange(2000)) + t.split() + word(r.randrange(2000)))) for i, t in items]
+    got = {(x.doc_id, x.item_id) for x in contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 PRIVATE = ["a@b.c@d.e x.y+z%q-1@h-1.co.uk.", "a@b.c_d@e.f", "@x.y a@b a@b. a@.b", "1.2.3.4.5.6.7.8 256.1.1.1 000255.0.0.01 1.2.3.99999999999999999999999", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111  1111", "+1 (988) 555-2485 +44 20.7946.0958- +1 2 ++33 1 23 45 67 89", "+12345678901234567890", "é🙂é me@site.org 日本 10.0.0.1", "9" * 5000, "a" * 20000, "a." * 3000 + "@b.c", "x@" + "b." * 3000 + "c", "- 1 2 3", "", None, "1-2-3-4 5 6", "4539 1488 0343 6467\n+4915123456789"]
 
 
