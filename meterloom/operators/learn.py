@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from . import metrics as M
@@ -78,13 +77,6 @@ def stack(base: DataFrame, features: DataFrame, models: list[str], make: Factory
     return oof(x, make, folds, id_col=id_col)
 
 
-def distilled(df: DataFrame, teacher: DataFrame, folds: int, hard: float = 0.3, id_col: str = "id", iters: int = 5) -> DataFrame:
-    """Regression on hard * y + (1 - hard) * teacher score."""
-    x = df.join(teacher.select(id_col, F.col("p").alias("_t")), id_col).withColumn("soft", hard * F.col("y") + (1 - hard) * F.col("_t"))
-    make = lambda s: GBTRegressor(labelCol="soft", featuresCol="features", maxIter=iters, maxDepth=3, seed=s)
-    return oof(x, make, folds, id_col=id_col, target="value")
-
-
 def by_group(df: DataFrame, group: str, groups: int, make: Factory, folds: int, id_col: str = "id") -> DataFrame:
     """One learner per group; a group without both classes in some training part is scored by its base rate."""
     cells = df.groupBy(group, "fold").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
@@ -103,12 +95,6 @@ def by_group(df: DataFrame, group: str, groups: int, make: Factory, folds: int,
     return parts
 
 
-def calibrate_isotonic(scored: DataFrame, folds: int, id_col: str = "id") -> DataFrame:
-    """Isotonic calibration of p, fitted on the other folds."""
-    x = scored.withColumn("features", array_to_vector(F.array("p")))
-    return oof(x.withColumnRenamed("p", "raw"), lambda s: IsotonicRegression(labelCol="y", featuresCol="features"), folds, keep=["raw"], id_col=id_col, target="value")
-
-
 def ablation(df: DataFrame, groups: dict[str, list[str]], make: Factory, folds: int, id_col: str = "id") -> DataFrame:
     """AUC with all column groups, without each one and with each one alone."""
     every = [c for cs in groups.values() for c in cs]

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import div, pin
+from ..session import cut_lineage
 from . import metrics as M
 from .ranking import running_totals
 
@@ -296,17 +297,112 @@ def hill_climb(m: DataFrame, width: int, step: float = 0.1, rounds: int = 20) ->
     return best, top
 
 
-def recall_f1_frontier(m: DataFrame, weights: np.ndarray, grid: M.Grid = (1, 1000, 1), floor: float = 0.9) -> DataFrame:
-    """Best point of every random blend, then the best F1 per recall bin of 0.05; and, as recall_bin null, the best point
-    of all blends with recall of at least `floor`. Counts per threshold come from one histogram job; rows aren't copied."""
-    t = M.with_rates(M.table_from_histogram(candidate_histogram(m, weights, grid), ["cand"], grid)).where("tp + fp > 0").withColumnRenamed("th", "threshold")
+def _blend_scores(every: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """rows x blends, at 12 decimals, so that a score is the same number in every pass."""
+    return np.round(every @ weights.T, 12)
+
+
+def _blend_cells(m: DataFrame, weights: np.ndarray, cells: int) -> DataFrame:
+    """cand, b, pos, neg: rows of every blend by cell of width 1 / cells, summed inside each task first."""
+    def count(batches):
+        h = np.zeros((2, len(weights) * (cells + 1)), np.int64)
+        for batch in batches:
+            every, y = np.stack(batch["p"].to_numpy()), batch["y"].to_numpy().astype(bool)
+            for c in range(0, len(weights), 256):
+                some = _blend_scores(every, weights[c:c + 256])
+                cell = np.clip((some * cells).astype(np.int64), 0, cells) + np.arange(some.shape[1]) * (cells + 1)
+                at = slice(c * (cells + 1), (c + some.shape[1]) * (cells + 1))
+                for k, own in enumerate((y, ~y)):
+                    h[k, at] += np.bincount(cell[own].ravel(), minlength=some.shape[1] * (cells + 1))
+        full = np.flatnonzero(h.any(axis=0))
+        yield pd.DataFrame({"cand": (full // (cells + 1)).astype(np.int32), "b": (full % (cells + 1)).astype(np.int32), "pos": h[0, full], "neg": h[1, full]})
+
+    part = m.select("y", "p").mapInPandas(count, "cand int, b int, pos long, neg long")
+    return part.groupBy("cand", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _exact_points(m: DataFrame, weights: np.ndarray, cells: int, live: DataFrame) -> DataFrame:
+    """cand, threshold, tp, fp at every distinct score inside the live cells (cand, b, tp_above, fp_above)."""
+    wanted: dict[int, list[int]] = {}
+    for r in live.select("cand", "b").collect():  # at most blends x cells, those that can still win
+        wanted.setdefault(r.cand, []).append(r.b)
+    cands = np.array(sorted(wanted))
+    mask = np.zeros((len(cands), cells + 1), bool)
+    for k, c in enumerate(cands):
+        mask[k, wanted[int(c)]] = True
+
+    def scores(batches):
+        for batch in batches:
+            every, y = np.stack(batch["p"].to_numpy()), batch["y"].to_numpy()
+            for c in range(0, len(cands), 256):
+                some = _blend_scores(every, weights[cands[c:c + 256]])
+                cell = np.clip((some * cells).astype(np.int64), 0, cells)
+                row, k = np.nonzero(mask[np.arange(c, c + some.shape[1]), cell])
+                yield pd.DataFrame({"cand": cands[c + k].astype(np.int32), "b": cell[row, k].astype(np.int32), "p": some[row, k], "y": y[row]})
+
+    rows = m.select("y", "p").mapInPandas(scores, "cand int, b int, p double, y long")
+    t = running_totals(rows, "p", {"pos": F.col("y"), "neg": 1 - F.col("y")}, by=["cand", "b"], descending=True, buckets=16)
+    above = live.select("cand", "b", "tp_above", "fp_above")
+    return t.join(above, ["cand", "b"]).select("cand", F.col("key").alias("threshold"), (F.col("tp_above") + F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("fp_above") + F.col("neg_before") + F.col("neg")).alias("fp"))
+
+
+def _blend_bound(h: DataFrame):
+    """The best F1 that is certain: of any blend, at the least score of a cell."""
+    w = W.partitionBy("cand").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0)
+    x = h.select(F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(W.partitionBy("cand")).alias("all"))
+    return x.agg(F.max(div(F.col("tp") * 2, F.col("tp") + F.col("fp") + F.col("all"), 0)).alias("f")).scalar()
+
+
+def exact_blends(m: DataFrame, weights: np.ndarray, floor: float = 0.9, width: float = 0.05, cells: int = 200, best_only: bool = False) -> DataFrame:
+    """kind, recall_bin, f1, recall, precision, cand, threshold: over every distinct score of every blend, exact.
+
+    `frontier`: each blend's best F1, and of these the best for each bin of recall; `floor`: the best F1 of any blend and
+    threshold with recall of at least `floor`; `best`: the best F1 of all. Of equal ones the first blend counts, and of its
+    thresholds the greatest. Scores at or above a threshold are positive.
+
+    Branch and bound: counts by cell of the score bound the F1 and the recall of all thresholds inside a cell. A cell below its
+    blend's own bound, and a blend below what is certain in every bin it may fall in, are dropped; only the scores inside the
+    cells left are looked at one by one. With `best_only` all cells below the best bound of all blends go, and only `best` is
+    returned.
+    """
+    wt = np.asarray(weights, float)
+    h = cut_lineage(_blend_cells(m, wt, cells))
+    w = W.partitionBy("cand").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0)
+    x = h.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "all": F.sum("pos").over(W.partitionBy("cand"))})
+    x = x.withColumns({"tp_above": F.col("tp") - F.col("pos"), "fp_above": F.col("fp") - F.col("neg")})
+    x = x.withColumns({"known": F.col("tp") * 2 / (F.col("tp") + F.col("fp") + F.col("all")),  # the cell's least score as threshold
+                       "most": F.col("tp") * 2 / (F.col("tp") + F.col("fp_above") + F.col("all")),
+                       "low": F.col("tp_above") / F.col("all"), "high": F.col("tp") / F.col("all")})
+    eps = 1e-12
+    if best_only:
+        x = x.where((F.col("all") > 0) & (F.col("pos") > 0)).select("cand", "b", "tp_above", "fp_above", "all", "known", "most")
+        x = cut_lineage(x.where(F.col("most") >= _blend_bound(h) - eps))
+        p = _exact_points(m, wt, cells, x).withColumn("n", x.select(F.max("all").alias("n")).scalar())
+        p = p.select("cand", "threshold", (F.col("tp") * 2 / (F.col("tp") + F.col("fp") + F.col("n"))).alias("f1"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+        point, first = F.struct("f1", "recall", "precision", "cand", "threshold"), F.struct(F.round("f1", 12), -F.col("cand"), F.col("threshold"))
+        return p.agg(F.max_by(point, first).alias("b")).where("b is not null").select(F.lit("best").alias("kind"), F.lit(None).cast("double").alias("recall_bin"), "b.*")
+    x = cut_lineage(x.where(F.col("all") > 0).withColumn("own", F.max("known").over(W.partitionBy("cand"))))
+    bin_of = lambda c: F.floor(F.col(c) / width + 1e-9)
+    live = x.where((F.col("most") >= F.col("own") - eps) & (F.col("pos") > 0))
+    reach = live.groupBy("cand", "own").agg(F.max("most").alias("most"), F.min(bin_of("low")).alias("from"), F.max(bin_of("high")).alias("to"))
+    sure = reach.where("from = to").groupBy(F.col("to").alias("bin")).agg(F.max("own").alias("sure"))
+    spans = reach.select("cand", "most", F.explode(F.sequence("from", "to")).alias("bin")).join(F.broadcast(sure), "bin", "left")  # a row for each bin of recall
+    win = spans.where(F.col("most") >= F.coalesce("sure", F.lit(0.0)) - eps).select("cand").distinct()
+    reached = x.where(F.col("high") >= floor - eps).agg(F.max(F.when(F.col("high") >= floor, F.col("known"))).alias("least")).scalar()
+    above = x.where((F.col("high") >= floor - eps) & (F.col("pos") > 0) & (F.col("most") >= reached - eps)).select("cand", "b", "tp_above", "fp_above", "all")
+    cells_left = cut_lineage(live.join(win, "cand", "left_semi").select("cand", "b", "tp_above", "fp_above", "all").unionByName(above).distinct())
+    positives = x.select(F.max("all").alias("n")).scalar()
+    p = _exact_points(m, wt, cells, cells_left).withColumn("n", positives)
+    p = cut_lineage(p.select("cand", "threshold", (F.col("tp") * 2 / (F.col("tp") + F.col("fp") + F.col("n"))).alias("f1"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision")).where("recall > 0"))
     point = F.struct("f1", "recall", "precision", "cand", "threshold")
-    first = F.struct(F.round("f1", 12), -F.col("cand"), -F.col("threshold"))
-    top = t.groupBy("cand").agg(F.max_by(point, first).alias("b")).select("b.*")
-    bins = top.withColumn("recall_bin", F.floor(F.col("recall") * 20) / 20)
-    pareto = bins.groupBy("recall_bin").agg(F.max_by(point, first).alias("b"))
-    wanted = t.where(F.col("recall") >= floor).agg(F.lit(None).cast("double").alias("recall_bin"), F.max_by(point, first).alias("b"))
-    return pareto.union(wanted).select("recall_bin", "b.*")
+    first = F.struct(F.round("f1", 12), -F.col("cand"), F.col("threshold"))
+    top = p.groupBy("cand").agg(F.max_by(point, first).alias("b")).select("b.*").withColumn("recall_bin", bin_of("recall") * width)
+    top = top.join(win, "cand", "left_semi")
+    bins = top.groupBy("recall_bin").agg(F.max_by(point, first).alias("b")).select(F.lit("frontier").alias("kind"), "recall_bin", "b.*")
+    none = F.lit(None).cast("double").alias("recall_bin")
+    held = p.where(F.col("recall") >= floor).agg(F.max_by(point, first).alias("b")).where("b is not null").select(F.lit("floor").alias("kind"), none, "b.*")
+    best = top.agg(F.max_by(point, first).alias("b")).where("b is not null").select(F.lit("best").alias("kind"), none, "b.*")
+    return bins.unionByName(held).unionByName(best)
 
 
 # ---------------------------------------------------------------- votes and labels

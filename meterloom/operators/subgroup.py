@@ -114,11 +114,3 @@ def _above(points: DataFrame, edges: DataFrame, bound, need: int, positives: int
         chain, r = chain
         picked.append((r.grp, r.th))
     return _choice(kind, points.sparkSession.createDataFrame(picked, "grp int, th double"), tp, n, positives)
-
-
-def search_thresholds(df: DataFrame, coarse: DataFrame, fine: DataFrame, floor: float) -> DataFrame:
-    """Best thresholds on a coarse grid, on a fine one, and over every distinct score, free and with a floor on recall."""
-    positives = df.agg(F.sum("y").cast("bigint")).first()[0] or 0
-    points = cut_lineage(score_points(df))
-    return (best_thresholds(grid_points(coarse), positives, "coarse").unionByName(best_thresholds(grid_points(fine), positives, "fine"))
-            .unionByName(best_thresholds(points, positives, "exact")).unionByName(best_thresholds(points, positives, "recall_floor", floor)))

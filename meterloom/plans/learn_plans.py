@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import boosting as B, clean as C, extra_trees as X, learn as L, metrics as M, pool as K, runs as RU, sampling as SA, select as SE, series_stats as S
+from ..operators import boosting as B, clean as C, extra_trees as X, isotonic as ISO, learn as L, metrics as M, pool as K, runs as RU, sampling as SA, select as SE, series_stats as S
 from ..operators.folds import series_folds, series_labels, stratified_folds
 from ..session import cut_lineage
 from ..sources import tables as T
@@ -309,5 +309,18 @@ def _(spark, sf):
 def _(spark, sf):
     x = series_frame(spark, sf)
     lr = L.oof(L.with_features(x, ["p", "log_max", "missing_rate"]), lambda s: L.logistic(s), K_FOLDS, out="p_logistic")
-    iso = L.calibrate_isotonic(x, K_FOLDS).select("id", F.col("p").alias("p_isotonic"), "raw")
+    iso = ISO.calibrated(x, K_FOLDS).select("id", F.col("p").alias("p_isotonic"), "raw")
     return rounded(lr.join(iso, "id"), 5)
+
+
+@query("isotonic_calibration", "K-20", sel(SERIES + ",\n" + FOLDS.removeprefix(LABELS + ",\n") + """,
+x AS MATERIALIZED (SELECT ss.series_id AS id, ss.y, round(p, 12) AS p, fold FROM ss JOIN folds USING (series_id)),
+ag AS (SELECT m, p, sum(y) AS a, count(*) AS n FROM x, range(5) t(m) WHERE m <> fold GROUP BY m, p),
+cu AS MATERIALIZED (SELECT m, p, a, n, row_number() OVER w AS i, sum(a) OVER w AS ca, sum(n) OVER w AS cn FROM ag WINDOW w AS (PARTITION BY m ORDER BY p)),
+st AS (SELECT s.m, t.i, min((t.ca - s.ca + s.a) / (t.cn - s.cn + s.n)::DOUBLE) OVER (PARTITION BY s.m, s.i ORDER BY t.i DESC) AS low FROM cu s JOIN cu t ON s.m = t.m AND t.i >= s.i),
+kn AS MATERIALIZED (SELECT m, p, max(low) AS v FROM st JOIN cu USING (m, i) GROUP BY m, p),
+lo AS (SELECT x.*, k.p AS lp, k.v AS lv FROM x ASOF LEFT JOIN kn k ON x.fold = k.m AND x.p >= k.p),
+hi AS (SELECT lo.*, k.p AS hp, k.v AS hv FROM lo ASOF LEFT JOIN kn k ON lo.fold = k.m AND lo.p <= k.p)""", "hi", "id, y, CAST(fold AS INTEGER) AS fold", [("p", "raw"), ("coalesce(lv + (p - lp) / nullif(hp - lp, 0) * (hv - lv), lv, hv)", "calibrated")], 5))
+def _(spark, sf):
+    x = series_frame(spark, sf).withColumn("p", F.round("p", 12))
+    return rounded(ISO.calibrated(x, K_FOLDS).withColumnRenamed("p", "calibrated"), 5)

@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
-from ..operators import conformal as CF, metrics as M, series_stats as S
+from ..operators import conformal as CF, metrics as M, series_stats as S, subgroup as SG
 from ..operators.folds import mixed, series_labels, stratified_folds
 from ..operators.ranking import exact_quantiles
+from ..session import cut_lineage
 from ..sources import tables as T
 from .catalog import query
 from .sqlbase import LABELS, PANEL, SCORES, rnd, sel
@@ -297,11 +298,44 @@ def _(spark, sf):
     return rounded(t.select("grp", "th", "tp", "fp", "fn"))
 
 
-@query("subgroup_thresholds", "J-19")
+def best_cuts_sql(kind: str, points: str, sweeps: int = 9) -> str:
+    """Best cut of every group for the F1 of all, by repeated choice at the ratio reached so far (which ends after a few steps)."""
+    out = f"{kind}0 AS (SELECT 0::HUGEINT AS a, 1::HUGEINT AS b)"
+    for k in range(1, sweeps + 1):
+        out += f""",
+{kind}c{k} AS MATERIALIZED (SELECT grp, arg_max(struct_pack(th, n, tp), struct_pack(v := b * 2 * tp - a * n, few := -n)) AS t FROM {points}, {kind}{k - 1} GROUP BY grp),
+{kind}{k} AS MATERIALIZED (SELECT 2 * sum(t.tp)::HUGEINT AS a, sum(t.n)::HUGEINT + (SELECT sum(y) FROM sg)::HUGEINT AS b FROM {kind}c{k})"""
+    return out + f""",
+{kind} AS (SELECT '{kind}' AS kind, CAST(c.grp AS INTEGER) AS grp, c.t.th AS threshold, f.a / f.b::DOUBLE AS f1, f.a / 2 / (SELECT sum(y) FROM sg)::DOUBLE AS recall, f.a / 2 / (SELECT sum(t.n) FROM {kind}c{sweeps})::DOUBLE AS precision FROM {kind}c{sweeps} c, {kind}{sweeps} f)"""
+
+
+def grid_points_sql(cte: str, grid: str) -> str:
+    return f"{cte} AS MATERIALIZED (SELECT grp, min(th)::DOUBLE AS th, (tp + fp)::HUGEINT AS n, tp::HUGEINT AS tp FROM {grid} WHERE tp + fp > 0 GROUP BY grp, tp, fp UNION ALL SELECT DISTINCT grp, NULL::DOUBLE, 0::HUGEINT, 0::HUGEINT FROM sg)"
+
+
+def grouped(spark, sf):
+    x = cut_lineage(M.with_subgroup(series_scored(spark, sf), "log_max").select("grp", F.round("p", 12).alias("p"), "y"))
+    return x, x.agg(F.sum("y").cast("bigint")).first()[0]
+
+
+@query("subgroup_thresholds", "J-19", "WITH " + SERIES + ",\n" + grid_sql("sg", "grp", 50, 900, 50, cte="g1") + ",\n" + grid_sql("sg", "grp", 50, 950, 10, cte="g2") + ",\n" + grid_points_sql("p1", "g1") + ",\n" + grid_points_sql("p2", "g2") + """,
+p3 AS MATERIALIZED (SELECT DISTINCT grp, round(p, 12) AS th, (count(*) OVER w)::HUGEINT AS n, (sum(y) OVER w)::HUGEINT AS tp FROM sg WINDOW w AS (PARTITION BY grp ORDER BY round(p, 12) DESC) UNION ALL SELECT DISTINCT grp, NULL::DOUBLE, 0::HUGEINT, 0::HUGEINT FROM sg),
+""" + ",\n".join(best_cuts_sql(k, f"p{i}") for i, k in enumerate(("coarse", "fine", "exact"), 1)) + " SELECT kind, grp, " + ", ".join(rnd(c) + f" AS {c}" for c in ("threshold", "f1", "recall", "precision")) + " FROM (SELECT * FROM coarse UNION ALL SELECT * FROM fine UNION ALL SELECT * FROM exact)")
 def _(spark, sf):
-    from ..operators.subgroup import search_thresholds
-    x = M.with_subgroup(series_scored(spark, sf), "log_max")
-    return rounded(search_thresholds(M.threshold_table(x, ["grp"], SUB_GRID), M.threshold_table(x, ["grp"], (50, 950, 10)), 0.9))
+    """The best cut of each group for the F1 of all: on two grids, and over every distinct score."""
+    x, positives = grouped(spark, sf)
+    grids = {"coarse": SUB_GRID, "fine": (50, 950, 10)}
+    out = SG.best_thresholds(cut_lineage(SG.score_points(x)), positives, "exact")
+    for kind, grid in grids.items():
+        out = out.unionByName(SG.best_thresholds(cut_lineage(SG.grid_points(M.threshold_table(x, ["grp"], grid))), positives, kind))
+    return rounded(out)
+
+
+@query("subgroup_recall_floor", "J-19")
+def _(spark, sf):
+    """The same over every distinct score with a recall of at least 0.9; exact, see operators.subgroup."""
+    x, positives = grouped(spark, sf)
+    return rounded(SG.best_thresholds(cut_lineage(SG.score_points(x)), positives, "recall_floor", 0.9))
 
 
 @query("subgroup_report", "J-20", sel(SERIES + """,

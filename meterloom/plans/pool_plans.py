@@ -170,7 +170,7 @@ def top_models(spark, sf, n: int = TOP) -> list[int]:
 @query("triple_blends", "K-11", sel(_TOP + f""",
 bl AS MATERIALIZED (SELECT ms[a] AS ma, ms[b] AS mb, ms[c] AS mc, wa, wb, y, (wa / 10.0) * ps[a] + (wb / 10.0) * ps[b] + ((10 - wa - wb) / 10.0) * ps[c] AS p
   FROM w, range(1, {TOP + 1}) i(a), range(1, {TOP + 1}) j(b), range(1, {TOP + 1}) k(c), range(1, 10) x(wa), range(1, 10) z(wb) WHERE a < b AND b < c AND wa + wb < 10),
-""" + grid_sql("bl", "ma, mb, mc, wa, wb", 50, 950, 20) + ",\n" + best_sql("ma, mb, mc, wa, wb"), "best", "ma, mb, mc, CAST(wa AS INTEGER) AS wa, CAST(wb AS INTEGER) AS wb", "threshold, f1, recall, precision"))
+""" + grid_sql("bl", "ma, mb, mc, wa, wb", 50, 950, 5) + ",\n" + best_sql("ma, mb, mc, wa, wb"), "best", "ma, mb, mc, CAST(wa AS INTEGER) AS wa, CAST(wb AS INTEGER) AS wb", "threshold, f1, recall, precision"))
 def _(spark, sf):
     top = top_models(spark, sf)
     tri = [(i, j, k, a, b, c) for i in range(TOP) for j in range(i + 1, TOP) for k in range(j + 1, TOP) for a, b, c in SIMPLEX if min(a, b, c) > 0]
@@ -178,7 +178,7 @@ def _(spark, sf):
     for n, (i, j, k, a, b, c) in enumerate(tri):
         ws[n, [i, j, k]] = a / 10, b / 10, c / 10
     names = frame(spark, [(n, *(T.MODELS[top[x]] for x in (i, j, k)), a, b) for n, (i, j, k, a, b, _) in enumerate(tri)], "cand int, ma string, mb string, mc string, wa int, wb int")
-    r = K.evaluate_weights(matrix(spark, sf, top), ws, (50, 950, 20))
+    r = K.evaluate_weights(matrix(spark, sf, top), ws)
     return rounded(r.join(names, "cand").select("ma", "mb", "mc", "wa", "wb", "threshold", "f1", "recall", "precision"))
 
 
@@ -197,8 +197,19 @@ def _(spark, sf):
 
 @query("recall_frontier", "K-13")
 def _(spark, sf):
+    """2,000 random blends of all models over every distinct score: the best of each bin of recall, and with recall of 0.9."""
     w = np.random.default_rng(42).dirichlet(np.ones(N), 2000)
-    return rounded(K.recall_f1_frontier(matrix(spark, sf), w))
+    return rounded(K.exact_blends(cut_lineage(matrix(spark, sf)), w).where("kind <> 'best'"))
+
+
+@query("dirichlet_search", "K-13")
+def _(spark, sf):
+    """50,000 random blends of the eight best models: the best F1 of all, its threshold and weights."""
+    top = top_models(spark, sf, 8)
+    w = np.random.default_rng(42).dirichlet(np.ones(8), 50_000)
+    best = K.exact_blends(cut_lineage(matrix(spark, sf, top)), w, cells=100, best_only=True).first()
+    rows = [(T.MODELS[i], float(x), best.f1, best.recall, best.precision, best.threshold) for i, x in zip(top, w[best.cand])] if best else []
+    return rounded(frame(spark, rows, "model string, weight double, f1 double, recall double, precision double, threshold double"))
 
 
 @query("simple_ensembles", "K-14", sel(SCORES + ",\n" + grid_sql("scores", "model", cte="g1") + ",\n" + best_sql("model", grid="g1", cte="b1") + """,
