@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clip, col
+from ..session import cut_lineage
 from .panel import DAY, ID, _emit_days, _indexed, by_day, moving_average, whole
 from .ranking import exact_quantiles, global_quantiles
 
@@ -112,7 +113,7 @@ def impute_by_sparsity(readings: DataFrame, threshold: float = 0.3, date_col: st
 
 def clip_to_day_mad(df: DataFrame, value: str, width: float = 5.0, out: str = "clipped") -> DataFrame:
     """Clip to day median +- width * MAD; days with MAD 0 are left alone."""
-    med = day_quantiles(df, value, {"med": 0.5})
+    med = cut_lineage(day_quantiles(df, value, {"med": 0.5}))  # a row for each day, read by both passes that follow
     dev = df.join(F.broadcast(med), DAY)
     mad = day_quantiles(dev.withColumn("_ad", F.abs(F.col(value) - F.col("med"))), "_ad", {"mad": 0.5})
     x = dev.join(F.broadcast(mad), DAY)

@@ -85,6 +85,8 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
     Both inputs have id BIGINT and vec ARRAY<DOUBLE>. Ties order by nid. The number of pivots follows the rows up to
     `most_pivots`, as the driver holds pivots x pivots distances; it changes the work and never the result.
     """
+    if candidates.isEmpty() or queries.isEmpty():
+        return queries.sparkSession.createDataFrame([], "id bigint, nid bigint, dist double, rank int")
     if pivots is None:
         pivots = int(min(most_pivots, max(4, math.isqrt(candidates.count()) // 4)))
     pv, centre = _pivots(candidates, pivots), _centre(candidates)
@@ -142,6 +144,23 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def lists_by_fold(queries: DataFrame, candidates: DataFrame, k: int, folds: int) -> DataFrame:
+    """(id, nfold, nid, dist, rank): the k nearest candidates of each fold for every query. Candidates have a fold column.
+    All folds together compare each query with each candidate at most once."""
+    out = None
+    for f in range(folds):
+        part = nearest_neighbours(queries, candidates.where(F.col("fold") == f).select("id", "vec"), k).withColumn("nfold", F.lit(f))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def without_fold(lists: DataFrame, k: int, folds: int) -> DataFrame:
+    """(id, without, nid, dist, rank): the k nearest of all candidates but those of fold `without`, for every fold."""
+    x = lists.select("id", "nid", "dist", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("nfold"))).alias("without"))
+    w = W.partitionBy("id", "without").orderBy("dist", "nid")
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def unit_vectors(df: DataFrame) -> DataFrame:
     """L2-normalized vectors: Euclidean order equals cosine order, cosine distance = dist^2 / 2."""
     x = pin(df, "_n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))

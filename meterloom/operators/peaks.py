@@ -1,37 +1,38 @@
-"""Local peaks with a minimum distance (the suppression depends on order, so each series is one small array)."""
+"""Local peaks with a minimum distance, as windows over each series.
+
+A plateau higher than both sides is one peak at its middle. Of peaks closer than the distance the higher one stays, the later
+one of equal ones: in rounds, a peak above all undecided ones within the distance stays and those near it go.
+"""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .panel import ID, series_arrays
+from ..session import cut_lineage
+from .panel import ID
 
+KEYS = [ID, "side"]
 
-def local_peaks(x: np.ndarray, distance: int = 7) -> np.ndarray:
-    """Middles of plateaus higher than both sides; of two closer than `distance` the higher one stays."""
-    x = np.asarray(x, float)
-    if x.size < 3:
-        return np.empty(0, int)
-    edge = np.flatnonzero(np.r_[True, np.diff(x) != 0])          # starts of constant stretches
-    stop = np.r_[edge[1:], x.size] - 1
-    inner = np.arange(1, edge.size - 1)
-    top = inner[(x[edge[inner]] > x[edge[inner - 1]]) & (x[edge[inner]] > x[edge[inner + 1]])]
-    at = (edge[top] + stop[top]) // 2
-    alive = np.ones(at.size, bool)
-    for j in np.argsort(x[at], kind="stable")[::-1]:
-        if alive[j]:
-            near = np.abs(at - at[j]) < distance
-            near[j] = False
-            alive[near] = False
-    return at[alive]
 
+def local_peaks(obs: DataFrame, value: str = "value", order: str = "pos", distance: int = 7) -> DataFrame:
+    """ID, side (1 peaks, -1 valleys), at: the peaks that stay."""
+    both = obs.select(ID, F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"), F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("v"))
+    x = both.withColumn("v", F.col("v") * F.col("side"))
+    w = W.partitionBy(*KEYS).orderBy("at")
+    x = x.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(w)).cast("int"), F.lit(1)))
+    runs = x.withColumn("run", F.sum("new").over(w)).groupBy(*KEYS, "run").agg(F.first("v").alias("v"), F.min("at").alias("a"), F.max("at").alias("z"))
+    near = W.partitionBy(*KEYS).orderBy("run")
+    top = runs.withColumns({"before": F.lag("v").over(near), "after": F.lead("v").over(near)}).where("v > before and v > after")
+    left = cut_lineage(top.select(*KEYS, F.floor((F.col("a") + F.col("z")) / 2).alias("at"), "v", F.lit(False).alias("stays")))
+    around = W.partitionBy(*KEYS).orderBy("at").rangeBetween(-(distance - 1), distance - 1)
+    while not left.where("not stays").isEmpty():
+        undecided = F.when(~F.col("stays"), F.struct("v", "at"))
+        kept = left.withColumn("stays", F.col("stays") | (F.max(undecided).over(around) == F.struct("v", "at")))
+        left = cut_lineage(kept.withColumn("near", F.max("stays").over(around)).where("stays or not near").drop("near"))
+    return left.select(*KEYS, "at")
 
-def peak_features(obs: DataFrame, value: str = "value", order: str = "pos", distance: int = 7) -> DataFrame:
-    @F.pandas_udf("struct<n_peaks:int,n_valleys:int,peak_ratio:double>")
-    def count(xs: pd.Series) -> pd.DataFrame:
-        up = [len(local_peaks(x, distance)) for x in xs]
-        down = [len(local_peaks(-np.asarray(x, float), distance)) for x in xs]
-        return pd.DataFrame({"n_peaks": up, "n_valleys": down, "peak_ratio": [u / (len(x) + 1e-8) for u, x in zip(up, xs)]})
 
-    return series_arrays(obs, value, order).withColumn("_p", count("x")).select(ID, "_p.*")
+def peak_features(obs: DataFrame, value: str = "value", order: str = "pos", distance: int = 7) -> DataFrame:
+    found = local_peaks(obs, value, order, distance).groupBy(ID).agg(F.count_if(F.col("side") == 1).alias("up"), F.count_if(F.col("side") == -1).alias("down"))
+    n = obs.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).join(found, ID, "left")
+    up = F.coalesce("up", F.lit(0))
+    return n.select(ID, up.cast("int").alias("n_peaks"), F.coalesce("down", F.lit(0)).cast("int").alias("n_valleys"), (up / (F.col("n") + 1e-8)).alias("peak_ratio"))

@@ -7,12 +7,15 @@ recomputed task sees the same ranges; they steer the partitioning only and never
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import col
 
 _PER_CUT = 8
-SLICES = 1024
+#: Slices of a bracket, and the rows of a group from which on a bracket may hold too many values for one window.
+SLICES, SLICE_FROM = 1024, 50_000_000
 
 
 #: Distinct values that one range window is meant to hold, and bounds of the number of ranges of a group.
@@ -102,19 +105,18 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
     for limit, _ in tiers[:-1]:
         tier = tier + (F.col("n") > limit).cast("int")
     at0 = tier * 2
-    br = sketch.select(*by, "n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(probs[q])).alias("q"), F.get("a", at0 + 2 * len(tiers) * i).alias("lo"),
-                 F.get("a", at0 + 2 * len(tiers) * i + 1).alias("hi")) for i, q in enumerate(names)])).alias("b")) \
-        .select(*by, "n", "b.*")
-    packed = br.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "q", "lo", "hi")).alias("bs"))
-    # every row goes to one cell: its own value inside a bracket, else the gap between brackets it lies in
+    edges = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(names))]
+    packed = sketch.select(*by, "n", *[F.get("a", at0 + 2 * len(tiers) * i + s).alias(f"_{e}{i}") for i in range(len(names)) for s, e in ((0, "lo"), (1, "hi"))],
+                           F.when(F.col("n") > SLICE_FROM, float(SLICES)).otherwise(1.0).alias("_s"))
+    # every row goes to one cell: its own value inside a bracket, else the gap between brackets it lies in; plain expressions
+    # over columns, as the number of brackets is known here
     v = F.col("v")
     x = base.join(hint(packed), by)
-    inside = F.exists("bs", lambda b: (v >= b["lo"]) & (v <= b["hi"]))
-    gap = F.size(F.filter("bs", lambda b: b["hi"] < v))
-    # rises with v: slices of every bracket that lie below it
-    below = F.aggregate("bs", F.lit(0), lambda acc, b: acc + F.when(b["hi"] <= b["lo"], F.when(v > b["lo"], SLICES).otherwise(0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(float(SLICES)), (v - b["lo"]) * SLICES / (b["hi"] - b["lo"]))).cast("int")))
+    inside = reduce(lambda p, q: p | q, [(v >= lo) & (v <= hi) for lo, hi in edges])
+    gap = reduce(lambda p, q: p + q, [(hi < v).cast("int") for _, hi in edges])
+    # rises with v: slices of every bracket that lie below it; one slice where a bracket can't hold many values
+    part = lambda lo, hi: F.when(v <= lo, 0).when(v >= hi, F.col("_s").cast("int")).otherwise(((v - lo) * F.col("_s") / (hi - lo)).cast("int"))
+    below = reduce(lambda p, q: p + q, [part(lo, hi) for lo, hi in edges])
     cells = (x.select(*by, "v", inside.alias("in"), gap.alias("gap"), below.alias("slice"))
              .groupBy(*by, "slice", F.when(F.col("in"), v).alias("cell"), F.when(~F.col("in"), F.col("gap")).alias("gap"))
              .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first_v"), F.max("v").alias("last_v")))
@@ -132,7 +134,8 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: dict[str, float],
         low, high, _ = ranks(b["q"])
         return (high >= F.col("before")) & (low < F.col("before") + F.col("c"))
 
-    cum = cum.join(hint(packed), by).select(*by, "cell", "c", "first_v", "last_v", "before", "n", F.explode(F.filter("bs", holds)).alias("b")).select("*", "b.i", "b.q")
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(probs[q])).alias("q")) for i, q in enumerate(names)])
+    cum = cum.join(hint(packed.select(*by, "n")), by).select(*by, "cell", "c", "first_v", "last_v", "before", "n", F.explode(F.filter(asked, holds)).alias("b")).select("*", "b.i", "b.q")
     lo_r, hi_r, frac = ranks(F.col("q"))
     cum = cum.withColumn("r0", lo_r).withColumn("r1", hi_r).withColumn("fr", frac)
 

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .folds import mixed
-from .neighbours import nearest_neighbours
+from .neighbours import lists_by_fold, nearest_neighbours, without_fold
 from .panel import DAY, ID, whole
 from .ranking import running_totals
 
@@ -79,6 +80,59 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return df.select("id", "y", "vec").unionByName(new)
 
 
+def _training_parts(df: DataFrame, folds: int) -> DataFrame:
+    """Every row once for each fold it is trained without."""
+    return df.withColumn("without", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
+
+
+def smote_by_fold(df: DataFrame, folds: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """without, id, copy, partner, y, vec: for every fold the training rows of the others (copy 0) and synthetic rows of
+    their smaller class, on the line from row `id` to `partner`, until both classes are equally many.
+
+    df: id, y, fold, vec. Neighbours come from rows of the same training part only: one search keeps the k nearest of each
+    fold, and lists without a fold follow from it. A part whose smaller class has a single row or none stays as it is.
+    """
+    parts = _training_parts(df, folds)
+    n = parts.groupBy("without", "y").agg(F.count(F.lit(1)).alias("n"))
+    sizes = n.groupBy("without").agg(F.min_by("y", F.struct("n", "y")).alias("small"), F.min("n").alias("few"), F.max("n").alias("many"), F.count(F.lit(1)).alias("classes"))
+    sizes = cut_lineage(sizes.where("classes = 2"))  # a row for each fold
+    lists = None
+    for y in sorted(r.small for r in sizes.select("small").distinct().collect()):
+        own = df.where(F.col("y") == y)
+        found = without_fold(lists_by_fold(own.select("id", "vec"), own, k, folds), k, folds).withColumn("y", F.lit(y))
+        lists = found if lists is None else lists.unionByName(found)
+    real = parts.select("without", "id", F.lit(0).cast("long").alias("copy"), F.lit(None).cast("long").alias("partner"), "y", "vec")
+    if lists is None:
+        return real
+    near = lists.groupBy("id", "without", "y").agg(F.array_sort(F.collect_list(F.struct("rank", "nid"))).alias("near"))
+    small = parts.join(F.broadcast(sizes), "without").where("y = small")
+    place = running_totals(small, "id", {"c": F.lit(1)}, by=["without"], collapsed=True, few_groups=True).select("without", F.col("key").alias("id"), "c_before")
+    rows = small.join(place, ["without", "id"]).join(near, ["id", "without", "y"])
+    need = F.col("many") - F.col("few")
+    per = F.floor(need / F.col("few")) + (F.col("c_before") < need % F.col("few")).cast("long")
+    copies = rows.withColumn("per", per).where("per > 0").select("without", "id", "y", "vec", "near", F.explode(F.sequence(F.lit(1).cast("long"), F.col("per"))).alias("copy"))
+    pick = F.get("near", F.floor(unit_random(F.lit(seed + 1), "without", "id", "copy") * F.size("near")).cast("int"))["nid"]
+    drawn = copies.select("without", "id", "copy", pick.alias("partner"), "y", "vec", unit_random(F.lit(seed + 2), "without", "id", "copy").alias("u"))
+    other = df.select(F.col("id").alias("partner"), F.col("vec").alias("pvec"))
+    made = drawn.join(other, "partner").select("without", "id", "copy", "partner", "y", F.zip_with("vec", "pvec", lambda a, b: a + F.col("u") * (b - a)).alias("vec"))
+    return real.unionByName(made)
+
+
+def balanced_folds(df: DataFrame, folds: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """smote_by_fold() without Tomek links: in each training part, pairs of mutual nearest rows of opposite class go."""
+    x = cut_lineage(smote_by_fold(df, folds, k, seed))
+    key = F.struct("id", "copy")
+    number = running_totals(x, key, {"c": F.lit(1)}, by=["without"], collapsed=True, few_groups=True).select("without", F.col("key.id").alias("id"), F.col("key.copy").alias("copy"), F.col("c_before").cast("long").alias("row"))
+    x = cut_lineage(x.join(number, ["without", "id", "copy"]))
+    out = None
+    for f in range(folds):
+        own = x.where(F.col("without") == f)
+        left = remove_tomek_links(own.select(F.col("row").alias("id"), "y", "vec")).select(F.col("id").alias("row"))
+        part = own.join(left, "row", "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out.drop("row")
+
+
 def remove_tomek_links(df: DataFrame) -> DataFrame:
     """Drop pairs of mutual nearest neighbours of opposite class."""
     e = nearest_neighbours(df.select("id", "vec"), df.select("id", "vec"), 1).select("id", "nid")

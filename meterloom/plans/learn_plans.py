@@ -62,7 +62,12 @@ def _(spark, sf):
     return rounded(K.pearson_pairs(cut_lineage(m)), 5)
 
 
-@query("drop_correlated", "H-2")
+@query("drop_correlated", "H-2", "WITH RECURSIVE " + _LONG + f""", nm AS (SELECT unnest({FEATS}) AS feature, generate_subscripts({FEATS}, 1) AS k),
+ix AS (SELECT series_id, k, value FROM lo JOIN nm USING (feature)), vr AS (SELECT k, var_pop(value) AS v FROM ix GROUP BY k),
+pr AS (SELECT *, row_number() OVER (ORDER BY a, b) AS i FROM (SELECT a.k AS a, b.k AS b, corr(a.value, b.value) AS c FROM ix a JOIN ix b ON a.series_id = b.series_id AND a.k < b.k GROUP BY ALL)),
+st AS (SELECT 0::BIGINT AS i, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT pr.i, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) OR abs(c) <= 0.9 THEN gone WHEN x.v < y.v THEN list_append(gone, a) ELSE list_append(gone, b) END
+  FROM st JOIN pr ON pr.i = st.i + 1 JOIN vr x ON x.k = a JOIN vr y ON y.k = b)
+SELECT feature FROM nm, (SELECT arg_max(gone, i) AS gone FROM st) WHERE NOT list_contains(gone, k)""")
 def _(spark, sf):
     keep = SE.drop_correlated(series_scored(spark, sf).select(F.array(*FEATS).alias("p")), FEATS, 0.9)
     return spark.createDataFrame([(c,) for c in keep], "feature string")
@@ -146,6 +151,13 @@ def _(spark, sf):
     return k.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") < 0).alias("synthetic"))
 
 
+@query("balanced_folds", "H-9")
+def _(spark, sf):
+    """Balancing inside every training part: rows of the held-out fold are neither neighbours nor partners."""
+    k = cut_lineage(SA.balanced_folds(train_frame(spark, sf), K_FOLDS))
+    return k.groupBy("without", "y").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("copy") > 0).alias("synthetic"))
+
+
 @query("mixup", "H-10", sel("""e AS (SELECT vec_id AS id, (label = 0)::INT AS y, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings),
 a AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM e), b AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 42) % 10007, id) AS r FROM e),
 m AS (SELECT a.id, b.id AS pid, ((a.id * 7919 + 42) % 10007) / 10007.0 AS lam, a.y, b.y AS py, a.v, b.v AS pv FROM a JOIN b USING (r))""", "m", "id, pid", ["lam", ("lam * y + (1 - lam) * py", "y"), ("lam * v + (1 - lam) * pv", "v0")]))

@@ -204,11 +204,11 @@ def _(spark, sf):
     return rounded(CF.coverage_curve(test, CF.conformal_quantiles(cal, by=["model"]), ["model"]))
 
 
-@query("prediction_sets", "J-15", "WITH " + SPLIT + """ SELECT id, model, list_filter([CASE WHEN p <= q_hat THEN 0 END, CASE WHEN 1 - p <= q_hat THEN 1 END], lambda x: x IS NOT NULL) AS classes FROM sc JOIN qh USING (model) WHERE NOT cal AND alpha = 0.1""")
+@query("prediction_sets", "J-15", "WITH " + SPLIT + """ SELECT id, model, concat_ws(',', CASE WHEN p <= q_hat THEN '0' END, CASE WHEN 1 - p <= q_hat THEN '1' END) AS classes FROM sc JOIN qh USING (model) WHERE NOT cal AND alpha = 0.1""")
 def _(spark, sf):
     cal, test = split(spark, sf)
     q = CF.conformal_quantiles(cal, (0.1,), ["model"])
-    return test.join(F.broadcast(q), "model").select("id", "model", CF.prediction_set(F.col("p"), F.col("q_hat")).alias("classes"))
+    return test.join(F.broadcast(q), "model").select("id", "model", F.array_join(CF.prediction_set(F.col("p"), F.col("q_hat")).cast("array<string>"), ",").alias("classes"))
 
 
 @query("recommended_alpha", "J-15", sel(_CURVE + ", ra AS (SELECT model, arg_min(struct_pack(alpha, coverage, q_hat), struct_pack(a := round(abs(coverage - 0.9), 9), b := alpha)) AS b FROM cv GROUP BY 1)", "ra", "model", [("b.alpha", "alpha"), ("b.coverage", "coverage"), ("b.q_hat", "q_hat")]))

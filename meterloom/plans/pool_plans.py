@@ -17,6 +17,7 @@ from .shape_plans import COMPACT, MEANRANK, cohorts
 from .sqlbase import LABELS, PANEL, SCORES, sel
 
 N = len(T.MODELS)
+EIGEN_LIMIT = 0.95
 
 
 def matrix(spark, sf, models: list[int] | None = None):
@@ -76,6 +77,19 @@ def _(spark, sf):
     return frame(spark, [("greedy", T.MODELS[i]) for i in sorted(greedy)] + [("cluster", T.MODELS[i]) for i in clusters], "method string, model string")
 
 
+@query("quality_order_prune", "K-4", "WITH RECURSIVE " + PAIRS + ",\n" + auc_sql("scores", "model") + f""",
+sy AS (SELECT a, b, c FROM cc UNION ALL SELECT b, a, c FROM cc UNION ALL SELECT k, k, 1 FROM range({N}) t(k)), rw AS (SELECT a, list(abs(c) ORDER BY b) AS r FROM sy GROUP BY a),
+od AS (SELECT a, r, row_number() OVER (ORDER BY round(auc, 12) DESC, a) AS i FROM rw JOIN auc ON auc.model = 'm' || a),
+kp AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT od.i, CASE WHEN len(list_filter(kept, lambda j: r[j + 1] >= 0.1)) = 0 THEN list_append(kept, od.a) ELSE kept END FROM kp JOIN od ON od.i = kp.i + 1)
+SELECT 'm' || unnest(kept) AS model FROM kp WHERE i = {N}""")
+def _(spark, sf):
+    """The better of two correlated models stays, the best first."""
+    c = K.correlation_array(matrix(spark, sf))
+    auc = {r.model: r.auc for r in M.roc_auc(T.scores(spark, sf), ["model"]).collect()}  # one row per model
+    order = np.argsort([-round(auc[m], 12) for m in T.MODELS], kind="stable")
+    return frame(spark, [(T.MODELS[i],) for i in K.prune_in_order(c, list(order), 0.1, strict=False)], "model string")
+
+
 @query("vote_diversity", "K-5", sel(SCORES + """,
 v AS (SELECT id, k, (p > 0.5)::INT AS v, ((p > 0.5)::INT <> y)::INT AS e FROM scores),
 pr AS (SELECT a.k AS a, b.k AS b, sum(a.v * b.v) AS n11, sum(a.v * (1 - b.v)) AS n10, sum((1 - a.v) * b.v) AS n01, sum((1 - a.v) * (1 - b.v)) AS n00, avg(a.e * b.e) AS df, avg((a.v <> b.v)::INT) AS dis FROM v a JOIN v b ON a.id = b.id AND a.k < b.k GROUP BY ALL)""",
@@ -89,7 +103,11 @@ def _(spark, sf):
     return rounded(K.diversity_summary(matrix(spark, sf), N).drop("n_eigen"))
 
 
-@query("eigen_count", "K-6")
+@query("eigen_count", "K-6", "WITH RECURSIVE " + PAIRS + f""",
+sy AS (SELECT a, b, c FROM cc UNION ALL SELECT b, a, c FROM cc UNION ALL SELECT k, k, 1 FROM range({N}) t(k)),
+el AS (SELECT 0::BIGINT AS step, a::BIGINT AS a, b::BIGINT AS b, c - CASE WHEN a = b THEN {EIGEN_LIMIT}::DOUBLE ELSE 0 END AS v FROM sy
+  UNION ALL SELECT step + 1, a, b, v - ra * rb / pv FROM (SELECT *, max(v) FILTER (b = step) OVER (PARTITION BY a) AS ra, max(v) FILTER (a = step) OVER (PARTITION BY b) AS rb, max(v) FILTER (a = step AND b = step) OVER () AS pv FROM el) WHERE a > step AND b > step)
+SELECT CAST(count(*) FILTER (v > 0) AS INTEGER) AS n_eigen FROM el WHERE a = step AND b = step""")
 def _(spark, sf):
     return K.diversity_summary(matrix(spark, sf), N).select("n_eigen")
 

@@ -62,7 +62,18 @@ def _(spark, sf):
     return rounded(S.differences(T.observed(spark, sf)))
 
 
-@query("peak_counts", "C-7")
+@query("peak_counts", "C-7", sel(OBSERVED + """,
+pv AS (SELECT series_id, side, pos AS x0, value * side AS v FROM observed, (VALUES (1), (-1)) t(side)),
+pr AS (SELECT series_id, side, run, any_value(v) AS v, min(x0) AS a, max(x0) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY series_id, side ORDER BY x0) AS run FROM (
+  SELECT *, coalesce(v <> lag(v) OVER (PARTITION BY series_id, side ORDER BY x0), true)::INT AS new FROM pv)) GROUP BY series_id, side, run),
+pk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id, side ORDER BY v DESC, x0 DESC) AS rk FROM (
+  SELECT series_id, side, v, (a + z) // 2 AS x0 FROM (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS c FROM pr WINDOW w AS (PARTITION BY series_id, side ORDER BY run)) WHERE v > b AND v > c)),
+ps AS (SELECT DISTINCT series_id, side, 0::BIGINT AS rk, []::HUGEINT[] AS kept FROM pk
+  UNION ALL SELECT pk.series_id, pk.side, pk.rk, CASE WHEN len(list_filter(kept, lambda o: abs(o - pk.x0) < 7)) = 0 THEN list_append(kept, pk.x0::HUGEINT) ELSE kept END
+  FROM ps JOIN pk ON pk.series_id = ps.series_id AND pk.side = ps.side AND pk.rk = ps.rk + 1),
+pc AS (SELECT series_id, side, len(arg_max(kept, rk)) AS c FROM ps GROUP BY 1, 2),
+pn AS (SELECT series_id, count(*) AS n FROM observed GROUP BY 1)""", "pn LEFT JOIN pc u ON u.series_id = pn.series_id AND u.side = 1 LEFT JOIN pc d ON d.series_id = pn.series_id AND d.side = -1",
+                                "pn.series_id, CAST(coalesce(u.c, 0) AS INTEGER) AS n_peaks, CAST(coalesce(d.c, 0) AS INTEGER) AS n_valleys", [("coalesce(u.c, 0) / (pn.n + 1e-8)", "peak_ratio")], recursive=True))
 def _(spark, sf):
     return rounded(peaks.peak_features(T.observed(spark, sf)))
 

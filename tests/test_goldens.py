@@ -268,11 +268,13 @@ def test_fuzzy_entropy_brute_force():
     assert complexity.fuzzy_entropy_of(x) == pytest.approx(math.log(phi(2)) - math.log(phi(3)))
 
 
-def test_peaks():
-    x = np.array([0, 3, 0, 0, 5, 5, 5, 0, 1, 0, 0, 0, 0, 0, 4, 0.0])
-    assert list(peaks.local_peaks(x, 1)) == [1, 5, 8, 14]
-    assert list(peaks.local_peaks(x, 7)) == [5, 14]
-    assert len(peaks.local_peaks(np.ones(9))) == 0
+def test_peaks(spark):
+    x = [0, 3, 0, 0, 5, 5, 5, 0, 1, 0, 0, 0, 0, 0, 4, 0.0]
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, i, 1.0) for i in range(9)], "series_id long, pos int, value double")
+    at = lambda d: sorted(r.at for r in peaks.local_peaks(df, distance=d).where("series_id = 1 and side = 1").collect())
+    assert at(1) == [1, 5, 8, 14] and at(7) == [5, 14]
+    got = {r.series_id: (r.n_peaks, r.n_valleys) for r in peaks.peak_features(df).collect()}
+    assert got[2] == (0, 0) and got[1][0] == 2
 
 
 def test_sine_period(spark):
