@@ -13,13 +13,16 @@ _scratch: list[str] = []
 
 
 def stage(fn):
-    """A stage begins by deleting the scratch tables of the one before it, whose output is written by then."""
+    """A stage begins by deleting scratch tables of those before it that its input doesn't read: all of them, where the
+    input was written and read again."""
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        staging.delete(spark, _scratch)
+        read = docs.inputFiles() if _scratch else []
+        held = [x for x in _scratch if any(x.rsplit("/", 1)[-1] in f for f in read)]
+        staging.delete(spark, [x for x in _scratch if x not in held])
         known = len(staging.made)
         out = fn(spark, docs, sf_dir)
-        _scratch[:] = staging.made[known:]
+        _scratch[:] = held + staging.made[known:]
         return out
 
     return run
