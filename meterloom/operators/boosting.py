@@ -42,7 +42,7 @@ class Style:
     least_rows: int = 5
     least_gain: float = 1e-6
     segments: int = 1
-    patience: int = 10
+    patience: int = 6
     columns: tuple[int, ...] | None = None  # features it may split on; None: all
 
 

@@ -1,8 +1,11 @@
 """Features that compare a series with its peers, and low-rank residuals."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import avg_if, clip
@@ -79,16 +82,45 @@ def normalize_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     return x.withColumn("combined", sum((F.col(f"{c}_n") for c in cols[1:]), F.col(f"{cols[0]}_n")) / len(cols)).drop("_b")
 
 
-def right_vectors(arrays: DataFrame, k: int) -> np.ndarray:
-    """Top-k right singular vectors (days x k). One pass sums the days x days Gram matrix in a tree; its size is bounded
-    by the calendar, and its eigenvectors are the singular vectors."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
+def _triangle(blocks: Iterator[np.ndarray]) -> np.ndarray | None:
+    """R of the QR factors of all rows of `blocks`, a few times its own height at a time."""
+    r, held, size = None, [], 0
+
+    def folded():
+        return np.linalg.qr(np.vstack([*([r] if r is not None else []), *held]), mode="r")
+
+    for x in blocks:
+        held.append(x)
+        size += len(x)
+        if size >= 4 * x.shape[1]:
+            r, held, size = folded(), [], 0
+    return folded() if held else r
+
 
-    rows = MLUtils.convertVectorColumnsFromML(arrays.select(array_to_vector("x").alias("x")), "x")
-    values, vectors = np.linalg.eigh(RowMatrix(rows).computeGramianMatrix().toArray())
-    return np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][:k]])
+def triangular_factor(arrays: DataFrame, column: str = "x") -> np.ndarray:
+    """R of the QR factorisation of all rows (QR of tall matrices in a tree): the singular values and right vectors of R are
+    those of the rows, without the squared condition number of a Gram matrix. Its size is days x days, bounded by the
+    calendar; each task holds two of them."""
+    def emit(r):
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()), pa.array([r.shape[1]], pa.int32())], ["r", "width"])
+
+    def rows(batches):
+        yield from emit(_triangle(np.array(b.column(0).to_pylist(), float) for b in batches if b.num_rows))
+
+    def factors(batches):
+        yield from emit(_triangle(np.frombuffer(x, float).reshape(-1, w) for b in batches for x, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+
+    r = arrays.select(F.col(column).cast("array<double>").alias("x")).mapInArrow(rows, "r binary, width int")
+    for tasks in (32, 1):
+        r = r.repartition(tasks).mapInArrow(factors, "r binary, width int")
+    got = r.first()
+    return np.frombuffer(got.r, float).reshape(-1, got.width) if got else np.empty((0, 0))
+
+
+def right_vectors(arrays: DataFrame, k: int) -> np.ndarray:
+    """Top-k right singular vectors (days x k)."""
+    return np.ascontiguousarray(np.linalg.svd(triangular_factor(arrays))[2][:k].T)
 
 
 def low_rank_residual(arrays: DataFrame, v: np.ndarray) -> DataFrame:

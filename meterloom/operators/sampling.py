@@ -63,20 +63,23 @@ def unit_random(*cols) -> Column:
 def smote(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic minority rows on the line to one of the k nearest minority rows, until the classes have equal size.
 
-    df: id, y, vec. Returns the input rows and the synthetic ones (negative ids)."""
+    df: id, y, vec. Returns the input rows and the synthetic ones, numbered downwards from below the least id and 0."""
     n = {r.y: r.n for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = min(n, key=n.get)
     minority = df.where(F.col("y") == small).select("id", "vec")
     need = max(n.values()) - n[small]
     rank = running_totals(minority, F.col("id"), {"c": F.lit(1)}, collapsed=True).select(F.col("key").alias("id"), "c_before")
-    per = F.lit(need // n[small]) + (F.col("c_before") < need % n[small]).cast("int")  # exactly `need` in all
+    each, more = divmod(need, n[small])
+    least = min(0, df.agg(F.min("id")).first()[0])
+    per = F.lit(each) + (F.col("c_before") < more).cast("int")  # exactly `need` in all
+    made_before = F.col("c_before") * each + F.least(F.col("c_before"), F.lit(more))
     e = nearest_neighbours(minority, minority, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nid"))).alias("near"))
-    copies = e.join(rank, "id").withColumn("per", per).where("per > 0").select("id", "near", F.explode(F.sequence(F.lit(1), F.col("per"))).alias("copy"))
+    copies = e.join(rank, "id").withColumn("per", per).where("per > 0").select("id", "near", made_before.cast("long").alias("made"), F.explode(F.sequence(F.lit(1), F.col("per"))).alias("copy"))
     pick = F.get("near", F.floor(unit_random(F.lit(seed + 1), "id", "copy") * F.size("near")).cast("int"))
     c = copies.withColumn("nid", pick["nid"]).withColumn("u", unit_random(F.lit(seed + 2), "id", "copy"))
     x = c.join(minority, "id").join(minority.select(F.col("id").alias("nid"), F.col("vec").alias("nvec")), "nid")
     vec = F.zip_with("vec", "nvec", lambda a, b: a + F.col("u") * (b - a))
-    new = x.select((-(F.col("id") + 1) * 1000000 - F.col("copy")).alias("id"), F.lit(small).alias("y"), vec.alias("vec"))
+    new = x.select((F.lit(least) - F.col("made") - F.col("copy")).alias("id"), F.lit(small).alias("y"), vec.alias("vec"))
     return df.select("id", "y", "vec").unionByName(new)
 
 
