@@ -1,5 +1,5 @@
 import base64
-import hashlib
+import random
 
 import pandas as pd
 import public_tokenizers
@@ -38,6 +38,20 @@ def test_run(spark, real):
         assert not brute.base_spans(text) and any(f"[{k}]" in text for k in ("EMAIL", "IP", "CARD", "PHONE"))
 
 
+def test_frequent_lines_go(spark, tmp_path):
+    """A line in every document of a host is taken out, whatever its digits; documents of nothing else are rejected."""
+    r = random.Random(2)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(12))
+    rows = [(i, f"Subscribe to letter {i} of this site\n" + "\n".join(line() for _ in range(4)), "en", "site", 0) for i in range(40)]
+    rows += [(100 + i, "\n".join(["Subscribe to letter 7 of this site"] * 3 + [f"tail {i} of words"]), "en", "site", 0) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, line())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {x.doc_id: coder.decode(list(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {d: t.split("\n", 1)[1] for d, t, *_ in rows[:40]}
+
+
 def test_stages_keep_columns(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "x " * 30, None, None, 60), (3, " ".join(map(str, range(40))), "en", "a", 5), (3, " ".join(map(str, range(40))), "en", "a", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
