@@ -3,7 +3,10 @@
 Rows are assigned to the nearest of m pivots and every cell is cut into blocks of bounded size, so a dense cell (many
 near copies) becomes many blocks. For a query cell only the cells that can hold a neighbour are joined: from the radii
 and counts an upper bound on the k-th distance follows, and cells farther away than that are left out (triangle
-inequality). Each task multiplies one block pair and keeps k candidates per query row; pairs are never emitted.
+inequality). Candidates and queries are dealt into groups and shards of bounded size; a task takes one tile of the two,
+multiplies the block pairs that are linked in it and keeps k candidates per query row; pairs are never emitted. So a row
+is shuffled once for each tile in its row or column of tiles, a number that small inputs share and that grows by one for
+each TILE_BYTES of vectors.
 """
 from __future__ import annotations
 
@@ -16,8 +19,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.numeric import pin
 
 BLOCK_ROWS = 1024
-SPREAD = 64
-KEEP_ROWS = 200_000     # query rows whose best candidates a task holds before it emits them
+SLAB_ROWS = 2048        # candidates that a query block is compared with at once
+TILE_BYTES = 32 << 20   # vectors of a side of a tile
+TILE_PAIRS = 1 << 24    # small inputs are cut into tiles of so many pairs, up to TILES of them
+TILES = 64
 
 
 def _pivots(df: DataFrame, m: int) -> np.ndarray:
@@ -47,34 +52,95 @@ def _assign(df: DataFrame, pivots: np.ndarray, centre: np.ndarray) -> DataFrame:
     return df.withColumn("_c", nearest("vec")).select("id", "vec", "_c.cell", "_c.r")
 
 
-def _nearest_in_block(q: np.ndarray, c: np.ndarray, same: np.ndarray, ci: np.ndarray, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of the k nearest of block `c` for each row of `q`, ties by id. The product form picks
-    every candidate that could be one of them, within its rounding error; these are measured again."""
-    d, error = _squares(q - centre, c - centre)
-    d[same] = np.inf
-    k = min(k, len(c))
-    near, dist = np.empty((len(q), k), ci.dtype), np.empty((len(q), k))
-    limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error
-    width = np.maximum(k, (d <= limit[:, None]).sum(1))
-    for lo in range(0, len(q), 64):
-        rows = slice(lo, lo + 64)
-        w = int(width[rows].max())
-        at = np.argpartition(d[rows], w - 1, axis=1)[:, :w]
-        exact = np.sqrt(((q[rows][:, None] - c[at]) ** 2).sum(-1))
-        exact[~np.isfinite(np.take_along_axis(d[rows], at, 1))] = np.inf
-        o = np.lexsort((ci[at], exact), axis=1)[:, :k]
-        near[rows], dist[rows] = np.take_along_axis(ci[at], o, 1), np.take_along_axis(exact, o, 1)
-    return near, dist
-
-
-def _blocks(df: DataFrame, sizes: dict[int, int], names: tuple[str, str, str, str]) -> DataFrame:
+def _measured(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (row, col), by differences."""
+    out = np.empty(len(row))
+    for lo in range(0, len(row), 1 << 14):
+        at = slice(lo, lo + (1 << 14))
+        out[at] = np.sqrt(((q[row[at]] - c[col[at]]) ** 2).sum(-1))
+    return out
+
+
+def _nearest_of(q: np.ndarray, qi: np.ndarray, c: np.ndarray, ci: np.ndarray, slabs, k: int, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of `q`, ids and exact distances of their k nearest among the rows of `c` in `slabs` (places, least distance to any
+    query), ties by id. The product form picks every candidate that could be one of them, within its rounding error; these
+    are measured again."""
+    row, near, dist = np.empty(0, np.int64), np.empty(0, ci.dtype), np.empty(0)
+    kth = np.full(len(q), np.inf)
+    for at, least in slabs:
+        if least > kth.max() * (1 + 1e-9) + 1e-9:
+            break  # slabs come by their least distance
+        d, error = _squares(q - centre, c[at] - centre)
+        own = np.flatnonzero(np.isin(ci[at], qi))
+        if len(own):
+            d[:, own] = np.where(qi[:, None] == ci[at][own][None], np.inf, d[:, own])
+        limit = kth * kth * (1 + 1e-12) + 2 * error
+        if len(at) >= k and np.isinf(kth).any():
+            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error)
+        r, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        if not len(r):
+            continue
+        row, near, dist = np.r_[row, r], np.r_[near, ci[at][j]], np.r_[dist, _measured(q, c, r, at[j])]
+        o = np.lexsort((near, dist, row))
+        row, near, dist = row[o], near[o], dist[o]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, near, dist, place = (x[place < k] for x in (row, near, dist, place))
+        kth[row[place == k - 1]] = dist[place == k - 1]
+    return row, near, dist
+
+
+def _cuts(n: int) -> int:
+    return max(1, math.ceil(n / BLOCK_ROWS))
+
+
+def _by_cell(values: dict, cell: str):
+    none = type(next(iter(values.values())))(0)
+    return F.get(F.array(*[F.lit(values.get(c, none)) for c in range(max(values) + 1)]), F.col(cell))
+
+
+def _blocks(df: DataFrame, stats: dict[int, tuple[int, float]], names: tuple[str, str, str, str]) -> DataFrame:
     """One row per block: cell, block, ids and the flattened vectors."""
-    cuts = F.array(*[F.lit(max(1, math.ceil(sizes.get(c, 0) / BLOCK_ROWS))) for c in range(max(sizes) + 1)])
-    b = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.get(cuts, F.col("cell"))))
+    b = df.withColumn("_b", F.pmod(F.xxhash64("id"), _by_cell({c: _cuts(n) for c, (n, _) in stats.items()}, "cell")))
     g = b.groupBy("cell", "_b").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("_l"))
     return g.select(F.col("cell").alias(names[0]), F.col("_b").alias(names[1]), F.transform("_l", lambda e: e["id"]).alias(names[2]), F.flatten(F.transform("_l", lambda e: e["vec"])).alias(names[3]))
 
 
+def _tiles(candidates: int, queries: int, width: int) -> tuple[int, int]:
+    """Number of candidate groups and of query shards: a query row is sent to at most all groups, a candidate to all shards."""
+    most = max(BLOCK_ROWS, TILE_BYTES // (8 * width))
+    tiles = min(TILES, math.ceil(candidates * queries / TILE_PAIRS))
+    groups = max(math.ceil(candidates / most), math.isqrt(tiles - 1) + 1)
+    return groups, max(math.ceil(queries / most), math.ceil(tiles / groups))
+
+
+def _chain(gap: np.ndarray) -> list[int]:
+    """Cells in an order that goes from each to the nearest one left."""
+    left, at, out = np.ones(len(gap), bool), 0, []
+    while left.any():
+        left[at] = False
+        out.append(at)
+        at = int(np.where(left, gap[at], np.inf).argmin())
+    return out
+
+
+def _places(stats: dict[int, tuple[int, float]], order: list[int], parts: int) -> dict[int, tuple[float, float, int, int]]:
+    """cell -> place of its first block and step from block to block, in parts of equal size along `order`; first and last part."""
+    total, before, out = sum(n for n, _ in stats.values()), 0, {}
+    for c in order:
+        if c in stats:
+            n = stats[c][0]
+            first, step = before * parts / total, n * parts / total / _cuts(n)
+            out[c] = (first, step, min(parts - 1, int(first)), min(parts - 1, int(first + step * (_cuts(n) - 1))))
+            before += n
+    return out
+
+
+def _part(places: dict[int, tuple[float, float, int, int]], cell: str, block: str):
+    first, step = ({c: float(p[i]) for c, p in places.items()} for i in (0, 1))
+    last = {c: p[3] for c, p in places.items()}
+    return F.least(F.floor(_by_cell(first, cell) + _by_cell(step, cell) * F.col(block)).cast("int"), _by_cell(last, cell))
+
+
 def _stats(df: DataFrame) -> dict[int, tuple[int, float]]:
     return {r.cell: (r.n, r.u) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("u")).collect()}
 
@@ -103,43 +169,40 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int, pivots
                 break
         links += [(i, j) for j, (_, uj) in cs.items() if gap[i, j] - ui - uj <= bound + 1e-9 * (1 + bound + gap[i, j])]
     spark = queries.sparkSession
-    link = spark.createDataFrame(links, "qcell int, ccell int")  # at most pivots^2 rows
-    qb = _blocks(que, {c: n for c, (n, _) in qs.items()}, ("qcell", "qblock", "qids", "qvec"))
-    cb = _blocks(cand, {c: n for c, (n, _) in cs.items()}, ("ccell", "cblock", "cids", "cvec"))
-    # a cell of many blocks (near copies) is dealt over as many keys, up to SPREAD
-    spread = F.create_map(*[x for c, (n, _) in cs.items() for x in (F.lit(c), F.lit(min(SPREAD, max(1, math.ceil(n / BLOCK_ROWS)))))])
-    keyed = qb.join(F.broadcast(link), "qcell").withColumn("part", F.explode(F.sequence(F.lit(0), spread[F.col("ccell")] - 1)))
-    cb = cb.withColumn("part", F.pmod("cblock", spread[F.col("ccell")]).cast("int"))
-    pairs = keyed.join(cb, ["ccell", "part"]).select("qids", "qvec", "cids", "cvec")
-
-    def best(batches):
-        held: dict[int, list] = {}
-
-        def flush():
-            for ids, near, dist in held.values():
-                ok = np.isfinite(dist)
-                yield pd.DataFrame({"id": np.repeat(ids, ok.sum(1)), "nid": near[ok], "dist": dist[ok]})
-            held.clear()
-
-        rows = 0
-        for b in batches:
-            for qi, qv, ci, cv in zip(b.qids, b.qvec, b.cids, b.cvec):
-                q, c = np.asarray(qv).reshape(len(qi), -1), np.asarray(cv).reshape(len(ci), -1)
-                near, dist = _nearest_in_block(q, c, qi[:, None] == ci[None], ci, k, centre)
-                key = int(qi[0])
-                if key in held:
-                    dist, near = np.hstack([held[key][2], dist]), np.hstack([held[key][1], near])
-                    o = np.lexsort((near, dist), axis=1)[:, :k]
-                    dist, near = np.take_along_axis(dist, o, 1), np.take_along_axis(near, o, 1)
-                else:
-                    rows += len(qi)
-                held[key] = [qi, near, dist]
-                if rows > KEEP_ROWS:
-                    yield from flush()
-                    rows = 0
-        yield from flush()
-
-    found = pairs.mapInPandas(best, "id bigint, nid bigint, dist double")
+    # Tiles: candidate groups x query shards, both of bounded size and of neighbouring cells. A row is sent once for each tile
+    # of its group or shard, not once for each cell it may meet.
+    nc, nq = sum(n for n, _ in cs.values()), sum(n for n, _ in qs.values())
+    groups, shards = _tiles(nc, nq, len(centre))
+    order = _chain(gap)
+    cplace, qplace = _places(cs, order, groups), _places(qs, order, shards)
+    meet = sorted({(g, s) for i, j in links for g in range(cplace[j][2], cplace[j][3] + 1) for s in range(qplace[i][2], qplace[i][3] + 1)})
+    tile = F.broadcast(spark.createDataFrame(meet, "grp int, shard int"))  # at most groups x shards rows
+    linked = np.zeros(gap.shape, bool)
+    linked[tuple(np.array(links).T)] = True
+    apart = gap - np.array([qs.get(i, (0, 0.0))[1] for i in range(len(pv))])[:, None] - np.array([cs.get(j, (0, 0.0))[1] for j in range(len(pv))])[None]
+    qb = _blocks(que, qs, ("qcell", "qblock", "qids", "qvec")).withColumn("shard", _part(qplace, "qcell", "qblock")).join(tile, "shard")
+    cb = _blocks(cand, cs, ("ccell", "cblock", "cids", "cvec")).withColumn("grp", _part(cplace, "ccell", "cblock")).join(tile, "grp")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(left) and len(right):
+            cells = np.repeat(right["ccell"].to_numpy(), right["cids"].map(len).to_numpy())
+            ci, c = np.concatenate(right["cids"].to_numpy()), np.concatenate(right["cvec"].to_numpy()).reshape(len(cells), -1)
+            at = {int(j): np.flatnonzero(cells == j) for j in np.unique(cells)}
+            for cell, qi, qv in zip(left["qcell"], left["qids"], left["qvec"]):
+                near = sorted((max(0.0, apart[cell, j]), j) for j in at if linked[cell, j])
+                if not near:
+                    continue
+                least = np.repeat([d for d, _ in near], [len(at[j]) for _, j in near])
+                places = np.concatenate([at[j] for _, j in near])
+                slabs = ((places[lo:lo + SLAB_ROWS], least[lo]) for lo in range(0, len(places), SLAB_ROWS))
+                q = np.asarray(qv).reshape(len(qi), -1)
+                row, nid, dist = _nearest_of(q, qi, c, ci, slabs, k, centre)
+                parts.append(pd.DataFrame({"id": qi[row], "nid": nid, "dist": dist}))
+        return pd.concat(parts) if parts else pd.DataFrame({"id": np.empty(0, np.int64), "nid": np.empty(0, np.int64), "dist": np.empty(0)})
+
+    found = qb.select("grp", "shard", "qcell", "qids", "qvec").groupBy("grp", "shard").cogroup(
+        cb.select("grp", "shard", "ccell", "cids", "cvec").groupBy("grp", "shard")).applyInPandas(best, "id bigint, nid bigint, dist double")
     w = W.partitionBy("id").orderBy("dist", "nid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

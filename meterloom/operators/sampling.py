@@ -138,7 +138,7 @@ def balanced_folds(df: DataFrame, folds: int, k: int = 5, seed: int = 42) -> Dat
 
 def remove_tomek_links(df: DataFrame) -> DataFrame:
     """Drop pairs of mutual nearest neighbours of opposite class."""
-    e = nearest_neighbours(df.select("id", "vec"), df.select("id", "vec"), 1).select("id", "nid")
+    e = cut_lineage(nearest_neighbours(df.select("id", "vec"), df.select("id", "vec"), 1).select("id", "nid"))  # read twice
     y = df.select("id", "y")
     back = e.select(F.col("id").alias("nid"), F.col("nid").alias("id"))
     links = e.join(back, ["id", "nid"]).join(y, "id").join(y.select(F.col("id").alias("nid"), F.col("y").alias("ny")), "nid").where("y <> ny").select("id")
