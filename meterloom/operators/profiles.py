@@ -192,18 +192,23 @@ def risk_features(df: DataFrame, p: DataFrame, v: str = "f", eps: float = 1e-12,
 
 
 def channel_features(df: DataFrame, channels: list[str]) -> DataFrame:
-    """Twelve statistics per channel (long form) from one pass over the unpivoted channels."""
-    x = df.select(ID, DAY, "n_days", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in channels])).alias("s")) \
-        .select(ID, DAY, "n_days", "s.*")
-    w = W.partitionBy(ID, "channel")
-    x = x.withColumn("_m", F.col("v") - F.avg("v").over(w))
-    x = x.select("*", *[F.lag("_m", k).over(w.orderBy(DAY)).alias(f"_l{k}") for k in (1, 7, 30)])
+    """Twelve statistics per channel (long form). Channels stay columns until each series is one row, so a day is
+    one row in every sort, not one for each channel."""
+    x = df.select(ID, DAY, "n_days", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(channels)])
+    each = range(len(channels))
+    x = x.select("*", *[(F.col(f"_v{i}") - F.avg(f"_v{i}").over(whole())).alias(f"_m{i}") for i in each])
+    x = x.select("*", *[F.lag(f"_m{i}", k).over(by_day()).alias(f"_l{i}_{k}") for i in each for k in (1, 7, 30)])
     h = F.floor(F.col("n_days") / 2)
-    return x.groupBy(ID, "channel").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"),
-        pct("v", .25)[0].alias("q25"), pct("v", .75)[0].alias("q75"), (avg_if("v", F.col(DAY) >= h) - avg_if("v", F.col(DAY) < h)).alias("half_change"),
-        share(F.col("v") == 0).alias("zero_ratio"),
-        *[(F.avg(F.col("_m") * F.col(f"_l{k}")) / (F.avg(F.col("_m") * F.col("_m")) + 1e-12)).alias(f"acov_{k}") for k in (1, 7, 30)])
+    aggs = []
+    for i in each:
+        v, m = f"_v{i}", F.col(f"_m{i}")
+        q = pct(v, .25, .5, .75)  # one pass for the three
+        stats = {"mean": F.avg(v), "std": F.stddev_pop(v), "median": q[1], "min": F.min(v), "max": F.max(v), "q25": q[0], "q75": q[2],
+                 "half_change": avg_if(v, F.col(DAY) >= h) - avg_if(v, F.col(DAY) < h), "zero_ratio": share(F.col(v) == 0)}
+        stats |= {f"acov_{k}": F.avg(m * F.col(f"_l{i}_{k}")) / (F.avg(m * m) + 1e-12) for k in (1, 7, 30)}
+        aggs.append(F.struct(F.lit(channels[i]).alias("channel"), *[e.alias(n) for n, e in stats.items()]).alias(f"_s{i}"))
+    g = x.groupBy(ID).agg(*aggs)
+    return g.select(ID, F.explode(F.array(*[f"_s{i}" for i in each])).alias("s")).select(ID, "s.*")
 
 
 def channel_pairs(df: DataFrame, channels: list[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from meterloom import session
@@ -38,3 +40,22 @@ def test_fuzzy_entropy_takes_one_exponential_for_each_pair(monkeypatch):
     monkeypatch.setattr(complexity.np, "exp", lambda a, *o, **k: taken.append(a.size) or exp(a, *o, **k))
     complexity.fuzzy_entropy_of(r.normal(size=1000))
     assert sum(taken) < 1.1 * 1000 * 999 / 2
+
+
+def test_channels_are_not_sorted_one_by_one(spark):
+    from meterloom.operators import panel, profiles
+
+    r = spark.range(300).selectExpr("id % 3 as series_id", "date_add(date'2024-01-01', cast(id as int)) as dt", "cast(id as double) as value")
+    x = panel.densify(r).selectExpr("*", "coalesce(value, 0d) as f", "cast(is_missing as double) as mask")
+    out = profiles.channel_features(x, ["f", "mask"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    base = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == base.count("Exchange")
+    assert not re.search(r"windowspecdefinition\(series_id#\d+L?, channel", plan)
+    rows = {(r.series_id, r.channel): r for r in out.collect()}
+    assert len(rows) == 6
+    v = np.array([i if i % 3 == 1 else 0 for i in range(300)], float)
+    m = v - v.mean()
+    got = rows[1, "f"]
+    assert np.allclose([got.mean, got.std, got.median, got.max, got.half_change, got.zero_ratio, got.acov_7],
+                       [v.mean(), v.std(), np.median(v), 298, v[150:].mean() - v[:150].mean(), 2 / 3, (m[7:] * m[:-7]).mean() / ((m * m).mean() + 1e-12)])
