@@ -39,3 +39,26 @@ def test_exact_blends_match_brute_force(spark, seed, crowd, cells):
     assert {round(x.recall_bin / 0.05): row(x) for x in got if x.kind == "frontier"} == {k: short(x) for k, x in bins.items()}
     assert [row(x) for x in got if x.kind == "floor"] == [short(held)] and [row(x) for x in got if x.kind == "best"] == [short(best)]
     assert [row(x) for x in pool.exact_blends(m, w, cells=cells, best_only=True).collect()] == [short(best)]
+
+
+@pytest.mark.parametrize("best_only", [True, False])
+def test_few_rows_are_looked_at_one_by_one(spark, monkeypatch, best_only):
+    """Scores that say little leave wide cells open, copies press many rows into one score; cells are split until few rows are left."""
+    r = np.random.default_rng(4)
+    y = (r.random(300) < 0.1).astype(int)
+    p = np.round(1 / (1 + np.exp(-r.normal(size=(300, 4)))), 9)
+    p[100:], y[100:250] = p[100], 1
+    w = r.dirichlet(np.ones(4), 400)
+    m = spark.createDataFrame([(i, int(b), [float(x) for x in a]) for i, (a, b) in enumerate(zip(p, y))], "id long, y int, p array<double>").repartition(3)
+    seen, totals = [], pool.running_totals
+    monkeypatch.setattr(pool, "LEFT", 500, raising=False)
+    monkeypatch.setattr(pool, "running_totals", lambda rows, *a, **k: seen.append(rows.count()) or totals(rows, *a, **k))
+    got = pool.exact_blends(m, w, cells=5, best_only=best_only).collect()
+    assert sum(seen) <= 500
+    bins, held, best = brute(p, y, w, 0.9)
+    row = lambda x: (round(x.f1, 9), -x.cand, round(x.threshold, 9))
+    short = lambda x: tuple(v if k == 1 else round(float(v), 9) for k, v in enumerate(x[:3]))
+    assert [row(x) for x in got if x.kind == "best"] == [short(best)]
+    if not best_only:
+        assert [row(x) for x in got if x.kind == "floor"] == [short(held)]
+        assert {round(x.recall_bin / 0.05): row(x) for x in got if x.kind == "frontier"} == {k: short(x) for k, x in bins.items()}
