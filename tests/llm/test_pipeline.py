@@ -88,3 +88,15 @@ def test_licences_held_out(spark):
     got = {r.doc_id: r.families for r in licences.scan(docs).collect()}
     assert sum(got[i] == f for i, f in enumerate(held)) >= 4
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_learn_from_every_line(spark, monkeypatch):
+    """All lines without a cue word are examples of unknown or held out, at any number of lines."""
+    words = ["source", "code", "work", "version", "use", "terms", "form", "public", "general", "law", "software", "file"]
+    lines = [" ".join(w for i, w in enumerate(words) if n >> i & 1) for n in range(4, 4096)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id long, text string")
+    kept, fit, fitted = licences.written, licences.LogisticRegression.fit, []
+    monkeypatch.setattr(licences, "written", lambda df, name: (lambda t: fitted.append(t.count()) or t)(kept(df, name)))
+    monkeypatch.setattr(licences.LogisticRegression, "fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    licences.Classifier(docs)
+    assert fitted[0] > 4000 and fitted[1] > 2600
