@@ -9,7 +9,8 @@ The global order of n-grams is the order of their hashes. It is cut into fragmen
 * Equal sets are one node. A group of near copies is first tied to its best connected member; pairs inside one class are
   then never formed. What is still apart and shares a fragment is paired under an exact bound: the bits in which two
   512-bit parity sketches differ are at most the elements in which the sets differ.
-* Verification. For a pair, the overlap is counted in each of a few wider fragments separately and summed.
+* Verification. Texts of paired sets are read again for sketches as wide as the set is large, under the same bound; for the
+  pairs it leaves, the overlap is counted in each of a few wider fragments separately and summed.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import flat
 from .graph import components
 from .shared_keys import ABOUT, shared, tags
-from .staging import matched, settle, written
+from .staging import delete, made, matched, settle, written
 
 U = np.uint64
 WORDS = 8
@@ -135,43 +136,69 @@ def _scan(k: int, percent: int):
     return run
 
 
+def wide_sketch(u: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set of any size: a power of two of bits, no fewer than elements; its halves add up to the next smaller one."""
+    bits = max(64, 1 << (len(u) - 1).bit_length())
+    return np.packbits((np.bincount((u & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _parts(k: int):
-    """owner, and the set's elements in each of PARTS fragments of the order."""
+    """owner, number of elements, and the set's elements in each of PARTS fragments of the order; its wide sketch as part -1."""
     def run(batches):
         for batch in batches:
-            own, part, each = [], [], []
+            own, n, part, each = [], [], [], []
             ids = batch.column(batch.schema.get_field_index("owner")).to_numpy(zero_copy_only=False)
             for row, u in document_sets(batch, k):
                 if not len(u) or set_id(u) != int(ids[row]) % (1 << 64):  # another row of the same doc_id
                     continue
                 cut = np.searchsorted(u >> U(32), (np.arange(PARTS + 1) * (1 << 32) // PARTS).astype(U))
-                for p in range(PARTS):
+                for p in range(-1, PARTS):
                     own.append(ids[row])
+                    n.append(len(u))
                     part.append(p)
-                    each.append(flat.signed(u[cut[p]:cut[p + 1]]))
+                    each.append(wide_sketch(u) if p < 0 else flat.signed(u[cut[p]:cut[p + 1]]))
             sizes = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
             flat_values = pa.array(np.concatenate([*each, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), flat_values)], ["owner", "part", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), flat_values)], ["owner", "n", "part", "items"])
 
     return run
 
 
-def _may_link(percent: int):
-    """Size and parity bounds of a pair (x, y); false only if the sets aren't similar."""
-    n, apart = F.col("nx") + F.col("ny"), sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in BITS), F.lit(0))
+def _within(percent: int, apart):
+    """Size and parity bounds of a pair (x, y) whose sketches differ in `apart` bits; false only if the sets aren't similar."""
     least, most = F.least("nx", "ny"), F.greatest("nx", "ny")
-    return (least * 100 >= most * percent) & (apart * (100 + percent) <= n * (100 - percent))
+    return (least * 100 >= most * percent) & (apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+
+
+def _may_link(percent: int):
+    return _within(percent, sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in BITS), F.lit(0)))
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _sides(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (x, y) for each part, with sizes nx, ny and the parts' elements xs, ys."""
+    left = parts.select(F.col("owner").alias("x"), F.col("n").alias("nx"), "part", F.col("items").alias("xs"))
+    right = parts.select(F.col("owner").alias("y"), F.col("n").alias("ny"), "part", F.col("items").alias("ys"))
+    return pairs.join(left, "x").join(right, ["y", "part"])
+
+
+def _near(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (x, y), those that the bound leaves on wide sketches: all similar ones, and of long sets few others."""
+    both = _sides(pairs, parts.where("part < 0"))
+    short, long = F.when(F.size("xs") <= F.size("ys"), F.col("xs")).otherwise(F.col("ys")), F.when(F.size("xs") <= F.size("ys"), F.col("ys")).otherwise(F.col("xs"))
+    both = both.select("x", "y", "nx", "ny", short.alias("short"), long.alias("long"))
+    width = F.size("short")
+    folds = F.sequence(F.lit(0), F.floor(F.size("long") / width).cast("int") - 1)
+    word = lambda i: F.aggregate(folds, F.get("short", i), lambda acc, j: acc.bitwiseXOR(F.get("long", i + j * width)))
+    apart = F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0), lambda acc, i: acc + F.bit_count(word(i)))
+    return both.where(_within(percent, apart)).select("x", "y").distinct()  # a set may be there twice
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (x, y), those whose partial overlaps sum up to a similar pair."""
-    left = parts.select(F.col("owner").alias("x"), "part", F.col("items").alias("xs"))
-    right = parts.select(F.col("owner").alias("y"), "part", F.col("items").alias("ys"))
-    partial = pairs.join(left, "x").join(right, ["y", "part"]).select("x", "y", "part", F.size(F.array_intersect("xs", "ys")).alias("part_overlap"))
-    partial = partial.groupBy("x", "y", "part").agg(F.max("part_overlap").alias("part_overlap"))  # a set may be there twice
-    overlap = partial.groupBy("x", "y").agg(F.sum("part_overlap").alias("overlap"))
-    both = overlap.join(sizes.select(F.col("owner").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("owner").alias("y"), F.col("n").alias("ny")), "y")
-    return both.where(F.col("overlap") * 100 >= (F.col("nx") + F.col("ny") - F.col("overlap")) * percent).select("x", "y")
+    partial = _sides(pairs, parts).select("x", "y", "nx", "ny", "part", F.size(F.array_intersect("xs", "ys")).alias("part_overlap"))
+    partial = partial.groupBy("x", "y", "nx", "ny", "part").agg(F.max("part_overlap").alias("part_overlap"))  # a set may be there twice
+    overlap = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("part_overlap").alias("overlap"))
+    return overlap.where(F.col("overlap") * 100 >= (F.col("nx") + F.col("ny") - F.col("overlap")) * percent).select("x", "y")
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -189,12 +216,23 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     meet = rows.where(F.col("tag") != ABOUT).select("key", "owner")
     nodes = about.where("n > 0").groupBy("owner").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS))
 
-    # One text for each set that meets another one.
     met = meet.groupBy("owner").agg(F.count("*").alias("keys"))
     live = written(nodes.join(met, "owner"), "nodes")
-    chosen = matched(base, live.select("doc_id", "owner"), "doc_id")
-    parts = written(chosen.mapInArrow(_parts(k), "owner long, part int, items array<long>"), "parts")
-    sizes = live.select("owner", "n")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Similar pairs of `pairs`. One text for each set of a pair is read; elements of pairs that the wide sketches leave are compared."""
+        def members(of: DataFrame) -> DataFrame:
+            return of.select(F.explode(F.array("x", "y")).alias("owner")).distinct()
+
+        pairs = written(pairs, name)
+        chosen = matched(base, written(live.select("doc_id", "owner").join(members(pairs), "owner"), "chosen"), "doc_id")
+        parts = written(chosen.mapInArrow(_parts(k), "owner long, n long, part int, items array<long>"), "parts")
+        mine = made[-1]
+        near = written(_near(pairs, parts, percent), f"{name}-near")
+        whole = matched(parts.where("part >= 0"), written(members(near), "members"), "owner", "left_semi")
+        out = written(_verified(near, whole, percent), f"{name}-verified")
+        delete(spark, [mine])
+        return out
 
     # Ties to the best connected set of each key.
     hub = F.struct((-F.col("keys")).alias("keys"), "owner")
@@ -206,7 +244,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return live.select(F.col("owner").alias(side), F.col("n").alias(f"n{side}"), *(F.col(b).alias(f"{side}{b}") for b in BITS))
 
     ties = ties.join(sketch("x"), "x").join(sketch("y"), "y").where(_may_link(percent)).select("x", "y")
-    tied = written(_verified(ties, parts, sizes, percent), "ties")
+    tied = verified(ties, "ties")
 
     # Sets that share a key and are not in one class yet.
     first = components(tied.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -220,7 +258,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return wide.select("key", F.col("owner").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), *(F.col(b).alias(f"{s}{b}") for b in BITS))
 
     pairs = side("x").join(side("y"), "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _may_link(percent)).select("x", "y").distinct()
-    found = _verified(written(pairs, "pairs"), parts, sizes, percent)
+    found = verified(pairs, "pairs")
     links = tied.union(found).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     root = components(links).withColumnRenamed("node", "owner")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,38 @@ def test_substrings_of_texts_without_or_of_one_id(spark):
 def test_covers(v):
     on = substring.covered(v)
     assert all(any(on[(i + s) % v] and on[(j + s) % v] for s in range(v)) for i in range(v) for j in range(v))
+
+
+def test_only_texts_of_candidate_pairs_are_compared(spark, monkeypatch):
+    """Long sets that share a fragment but not most elements are told apart by sketches, not by their elements."""
+    r = random.Random(4)
+    half = [f"h{r.random()}" for _ in range(3000)]
+    docs = [(i, " ".join(half + [f"w{i}-{r.random()}" for _ in range(3000)])) for i in range(6)]
+    docs += [(10, " ".join(f"c{i}" for i in range(200))), (11, " ".join(f"c{i}" for i in range(190)))]
+    docs += [(20 + i, " ".join([f"s{j}" for j in range(12)] + [f"t{i}-{j}" for j in range(12)])) for i in range(8)]
+    tables = {}
+
+    def noted(df, name):
+        out = written(df, name)
+        tables.setdefault(name, []).append(out.collect())
+        return out
+
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = {x.doc_id: x.component_id for x in jaccard.linked(frame(spark, docs)).collect()}
+    assert got == {d: 10 if d == 11 else d for d, _ in docs}
+    pairs = tables["ties"][0] + tables["pairs"][0]
+    assert len(pairs) > 1 and len({o for x in pairs for o in x}) < len(tables["nodes"][0])  # long sets pass the narrow sketch; not all that meet are paired
+    near = tables["ties-near"][0] + tables["pairs-near"][0]
+    assert {frozenset(x) for x in near} == {frozenset(x) for x in tables["ties-verified"][0] + tables["pairs-verified"][0]}
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 513, 5000])
+def test_wide_sketches_never_overstate(n):
+    r = np.random.default_rng(n)
+    u = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+    v = np.unique(np.r_[u[n // 9:], r.integers(0, 1 << 63, n // 5).astype(np.uint64)])
+    x, y = sorted((jaccard.wide_sketch(u), jaccard.wide_sketch(v)), key=len)
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    assert np.array_equal(jaccard.wide_sketch(u), jaccard.wide_sketch(u[::-1])) and len(x) * 64 >= min(len(u), len(v))
+    assert int(np.bitwise_count(x ^ folded).sum()) <= len(np.setxor1d(u, v))
