@@ -137,4 +137,4 @@ def test_wide_sketches_never_overstate(n):
     x, y = sorted((jaccard.wide_sketch(u), jaccard.wide_sketch(v)), key=len)
     folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
     assert np.array_equal(jaccard.wide_sketch(u), jaccard.wide_sketch(u[::-1])) and len(x) * 64 >= min(len(u), len(v))
-    assert int(np.bitwise_count(x ^ folded).sum()) <= len(np.setxor1d(u, v))
+    assert int(np.bitwise_count((x ^ folded).view(np.uint64)).sum()) <= len(np.setxor1d(u, v))
