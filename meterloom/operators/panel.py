@@ -23,14 +23,20 @@ def span(readings: DataFrame, date_col: str = "dt"):
     return readings.agg(F.struct(F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).alias("s")).scalar()
 
 
-def densify(readings: DataFrame, date_col: str = "dt", value_col: str = "value", neighbours: bool = False) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Whole series dealt into a number of tasks that adaptive execution keeps: it would join them by their sparse bytes,
+    but memory follows the dense rows. None: left to the session."""
+    return df.repartition(tasks, ID) if tasks else df
+
+
+def densify(readings: DataFrame, date_col: str = "dt", value_col: str = "value", neighbours: bool = False, tasks: int | None = None) -> DataFrame:
     """ids x days without a join: each observed day also emits the empty days up to the next observed one.
 
     One shuffle by series; the rows stay partitioned by series, so later per-series windows add no shuffle.
     neighbours: also carry _b and _n, the last observed (p, v) up to the day and the first one from the day on; they
     come from the sparse rows in the same sort, so interpolation needs no window over the dense rows.
     """
-    return _emit_days(_indexed(readings, date_col).withColumnRenamed(value_col, "_v"), neighbours)
+    return _emit_days(dealt(_indexed(readings, date_col).withColumnRenamed(value_col, "_v"), tasks), neighbours)
 
 
 def _indexed(readings: DataFrame, date_col: str) -> DataFrame:
@@ -67,9 +73,9 @@ def with_day_index(readings: DataFrame, date_col: str = "dt") -> DataFrame:
     return r.withColumn(DAY, F.datediff(date_col, F.col("_s.lo"))).drop("_s")
 
 
-def observed_positions(readings: DataFrame, date_col: str = "dt") -> DataFrame:
+def observed_positions(readings: DataFrame, date_col: str = "dt", tasks: int | None = None) -> DataFrame:
     """Observed readings with pos = 0..n-1 in time order and n = number observed."""
-    return (readings.where("value is not null")
+    return (dealt(readings.where("value is not null"), tasks)
             .withColumn("pos", F.row_number().over(W.partitionBy(ID).orderBy(date_col)) - 1)
             .withColumn("n", F.count(F.lit(1)).over(whole())))
 

@@ -7,7 +7,7 @@ from ..functions.numeric import avg_if, div, entropy_term, share
 from . import clean as C
 from .panel import DAY, ID, by_day, moving_average_mirrored, whole
 from .ranking import exact_quantiles, global_quantiles, mean_ranks
-from .runs import run_flags, run_stats, with_cumulative_deviation
+from .runs import run_stats, with_cumulative_deviation
 from .series_stats import nz, pct, safe_corr
 
 
@@ -23,24 +23,38 @@ def histogram_entropy(df: DataFrame, v: str, bins: Column, keys: list[str]) -> D
 
 
 def multiscale_regularity(df: DataFrame, v: str = "f") -> DataFrame:
-    """Difference/level deviation, direction changes, histogram entropies, lag-1 correlation, run entropy, longest high run."""
-    w = by_day()
-    x = df.withColumn("_d", F.col(v) - F.lag(v).over(w)).withColumn("_s", F.signum("_d")).withColumn("_l", F.lag(v).over(w)) \
-        .withColumn("_hi", F.col(v) > F.median(v).over(whole()))
-    x = x.withColumn("_ch", (F.col("_s") != F.lag("_s").over(w)).cast("int"))
+    """Difference/level deviation, direction changes, histogram entropies, lag-1 correlation, run entropy, longest high run.
+
+    One sort and one aggregate: cells of the histograms are counted as columns, and a run is known at its last day."""
+    w, every = by_day(), whole()
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    x = df.select(ID, DAY, v).withColumns({"_l": F.lag(v).over(w), "_hi": F.col(v) > F.median(v).over(every), "_row": F.row_number().over(w),
+                                           "_a": F.min(F.when(F.col(v) > 0, F.col(v))).over(every), "_z": F.max(F.when(F.col(v) > 0, F.col(v))).over(every)})
+    x = x.withColumn("_d", F.col(v) - F.col("_l")).withColumn("_s", F.signum("_d"))
+    x = x.withColumns({"_ch": (F.col("_s") != F.lag("_s").over(w)).cast("int"), "_new": F.coalesce(F.col("_hi") != F.lag("_hi").over(w), F.col("_row") == 1)})
+    x = x.withColumns({"_first": F.last(F.when(F.col("_new"), F.struct("_row", "_hi")), True).over(up_to), "_end": F.coalesce(F.lead("_new").over(w), F.lit(True))})
+    x = x.withColumn("_len", F.when(F.col("_end"), F.col("_row") - F.col("_first._row") + 1)).withColumns({
+        "_nb": F.least(F.lit(10), F.size(F.collect_set("_len").over(every))), "_la": F.min("_len").over(every), "_lz": F.max("_len").over(every)})
+
+    def cell(value: str, bins: Column, lo: str, hi: str) -> Column:
+        return F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(value) - F.col(lo)) * bins / (F.col(hi) - F.col(lo))), bins - 1)).otherwise(0)
+
+    scales = (5, 10, 20)
+    x = x.withColumns({f"_c{k}": F.when(F.col(v) > 0, cell(v, F.lit(k), "_a", "_z")) for k in scales} | {"_cr": F.when(F.col("_end"), cell("_len", F.col("_nb"), "_la", "_lz"))})
+    held = {f"_c{k}": k for k in scales} | {"_cr": 10}
     g = x.groupBy(ID).agg((F.stddev_pop("_d") / (F.stddev_pop(v) + 1e-6)).alias("diff_level_ratio"), (F.sum("_ch") / F.count(v)).alias("direction_changes"),
-                          F.when(F.stddev_pop(v) > 1e-6, safe_corr(v, "_l")).otherwise(0.0).alias("acf1"))
-    pos = df.where(F.col(v) > 0).select(ID, v, F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))).alias("_k"))
-    he = histogram_entropy(pos, v, F.col("_k"), [ID, "_k"]).groupBy(ID).agg(*[
-        F.max(F.when((F.col("bins") == k) & (F.col("n") >= 10), F.col("entropy") / F.log(F.lit(float(k))))).alias(f"entropy_{k}") for k in (5, 10, 20)])
-    r = run_flags(x.select(ID, DAY, "_hi"), "_hi")
-    ru = r.groupBy(ID, "run").agg(F.count(F.lit(1)).alias("len"), F.first("_hi").alias("_hi"))
-    longest = ru.groupBy(ID).agg(F.max(F.when(F.col("_hi"), F.col("len"))).alias("_lo"), F.sum("len").alias("_t"))
-    ru = ru.withColumn("_nb", F.least(F.lit(10), F.size(F.collect_set("len").over(whole()))))
-    re = histogram_entropy(ru, "len", F.col("_nb"), [ID]).select(ID, F.col("entropy").alias("run_entropy"))
-    out = g.join(he, ID, "left").join(longest, ID, "left").join(re, ID, "left")
-    return out.select(ID, "diff_level_ratio", "direction_changes", *[F.coalesce(f"entropy_{k}", F.lit(0.0)).alias(f"entropy_{k}") for k in (5, 10, 20)],
-                      "acf1", F.coalesce("run_entropy", F.lit(0.0)).alias("run_entropy"), F.coalesce(F.col("_lo") / F.col("_t"), F.lit(0.0)).alias("longest_high_run"))
+                          F.when(F.stddev_pop(v) > 1e-6, safe_corr(v, "_l")).otherwise(0.0).alias("acf1"), F.count("_c5").alias("_n"), F.count("_len").alias("_runs"),
+                          F.max(F.when(F.col("_first._hi"), F.col("_len"))).alias("_longest"), F.sum("_len").alias("_t"),
+                          *[F.array(*[F.count_if(F.col(c) == j) for j in range(bins)]).alias(c) for c, bins in held.items()])
+
+    def entropy(c: str, n: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda s, k: s + F.when(k > 0, entropy_term(k / F.col(n))).otherwise(0.0))
+
+    def known(e: Column) -> Column:  # rows without a series have no profile
+        return F.coalesce(F.when(F.col(ID).isNotNull(), e), F.lit(0.0))
+
+    return g.select(ID, "diff_level_ratio", "direction_changes", *[known(F.when(F.col("_n") >= 10, entropy(f"_c{k}", "_n") / F.log(F.lit(float(k))))).alias(f"entropy_{k}") for k in scales],
+                    "acf1", known(entropy("_cr", "_runs")).alias("run_entropy"), known(F.col("_longest") / F.col("_t")).alias("longest_high_run"))
 
 
 def patch_features(df: DataFrame, v: str = "f", length: int = 30, stride: int = 15) -> DataFrame:

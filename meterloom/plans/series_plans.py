@@ -166,7 +166,7 @@ def _(spark, sf):
                                              [(f"CASE WHEN count(*) >= {k} + 5 THEN coalesce(corr(value, l{k}), 0) ELSE 0 END", f"autocorr_{k}") for k in (7, 14, 30)]))
 def _(spark, sf):
     from ..operators.panel import observed_positions
-    obs = observed_positions(T.readings(spark, sf).where("value >= 30"))
+    obs = observed_positions(T.readings(spark, sf).where("value >= 30"), tasks=T.tasks(spark, sf))
     return rounded(S.autocorrelation(obs, lags=(7, 14, 30), min_extra=5))
 
 

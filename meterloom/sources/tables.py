@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import panel as P
-from ..session import spread
+from ..session import series_tasks, spread
 
 # The pool has one column of scores per embedding dimension (schema-bound, not data-bound).
 MODELS = [f"m{i}" for i in range(64)]
@@ -21,8 +21,13 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
             .groupBy("series_id", "dt").agg(F.sum("l_quantity").alias("value")))
 
 
+def tasks(spark: SparkSession, sf: str) -> int:
+    """Number of tasks for work on the days of each series."""
+    return series_tasks(table(spark, sf, "lineitem"))
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return P.densify(readings(spark, sf))
+    return P.densify(readings(spark, sf), tasks=tasks(spark, sf))
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +37,7 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     """Readings that exist, with the position among the observed days of the series."""
-    return P.observed_positions(readings(spark, sf))
+    return P.observed_positions(readings(spark, sf), tasks=tasks(spark, sf))
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:

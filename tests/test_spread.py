@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from meterloom import session
 from meterloom.operators import complexity
@@ -18,6 +19,43 @@ def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
     assert [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY)] == before
 
 
+def test_series_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Tasks that make series dense hold a bounded number of the table's rows, however few bytes these take; nothing joins them again."""
+    spark.range(4_000).selectExpr("id % 200 as l_suppkey", "date_add(date'2024-01-01', cast(id % 900 as int)) as l_shipdate", "1d as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    before = [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY)]
+    for made in (tables.panel, tables.observed):
+        x = made(spark, str(tmp_path))
+        n = x.groupBy("series_id", F.spark_partition_id().alias("task")).count().groupBy("task").agg(F.sum("count").alias("rows"))
+        assert n.count() > 30 and n.agg(F.max("rows")).first()[0] < x.count() / 10
+    assert int(spark.conf.get(session.INITIAL)) >= 40
+    session.tune(spark)
+    assert [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY)] == before
+
+
+def test_regularity_sorts_the_dense_rows_once(spark):
+    """A task of multiscale_regularity holds one sort of the sparse and one of the dense rows, and no joins of its own branches."""
+    from meterloom.operators import panel, profiles
+
+    r = spark.range(300).selectExpr("id % 3 as series_id", "date_add(date'2024-01-01', cast(id as int)) as dt", "cast(id % 7 as double) as value")
+    x = panel.densify(r).selectExpr("*", "coalesce(value, 0d) as f")
+    out = profiles.multiscale_regularity(x)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 2 and "Join" not in plan
+    v = np.array([i % 7 if i % 3 == 1 else 0 for i in range(300)], float)
+    got = {r.series_id: r for r in out.collect()}[1]
+    high = (v > np.median(v)).astype(int)
+    edges = np.flatnonzero(np.r_[True, high[1:] != high[:-1], True])
+    lengths, on = np.diff(edges), high[edges[:-1]] == 1
+
+    def entropy(a, bins):
+        p = np.histogram(a, bins)[0] / len(a)
+        return -(p[p > 0] * np.log(p[p > 0])).sum()
+
+    assert np.allclose([got.entropy_5, got.entropy_10, got.entropy_20, got.run_entropy, got.longest_high_run],
+                       [*[entropy(v[v > 0], k) / np.log(k) for k in (5, 10, 20)], entropy(lengths, min(10, len(set(lengths)))), lengths[on].max() / 300])
+
+
 def _plain(x, m, factor):
     x = np.asarray(x, float)
     x = x - x.mean()
