@@ -23,14 +23,30 @@ def test_series_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     """Tasks that make series dense hold a bounded number of the table's rows, however few bytes these take; nothing joins them again."""
     spark.range(4_000).selectExpr("id % 200 as l_suppkey", "date_add(date'2024-01-01', cast(id % 900 as int)) as l_shipdate", "1d as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
     monkeypatch.setattr(session, "TASK_ROWS", 100)
-    before = [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY)]
+    session.tune(spark)
+    before = [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY, session.READ)]
     for made in (tables.panel, tables.observed):
         x = made(spark, str(tmp_path))
         n = x.groupBy("series_id", F.spark_partition_id().alias("task")).count().groupBy("task").agg(F.sum("count").alias("rows"))
         assert n.count() > 30 and n.agg(F.max("rows")).first()[0] < x.count() / 10
     assert int(spark.conf.get(session.INITIAL)) >= 40
     session.tune(spark)
-    assert [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY)] == before
+    assert [spark.conf.get(k, None) for k in (session.INITIAL, session.ADVISORY, session.READ)] == before
+
+
+def test_reading_tasks_take_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    """Sums by series and day are begun by tasks of READ_ROWS, not by as many as there are cores or 128 MB."""
+    session.tune(spark)
+    spark.range(1_500_000).coalesce(1).selectExpr("id as l_suppkey", "date'2024-01-01' as l_shipdate", "rand(3) as l_quantity").write.option("parquet.block.size", 1 << 18) \
+        .parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "READ_ROWS", 100_000)
+    least = 1_500_000 // 100_000
+    t = tables.table(spark, str(tmp_path), "lineitem")
+    before = t.rdd.getNumPartitions()
+    tables.readings(spark, str(tmp_path))
+    assert before < least <= spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions()
+    session.tune(spark)
+    assert spark.read.parquet(str(tmp_path / "lineitem.parquet")).rdd.getNumPartitions() == before
 
 
 def test_regularity_sorts_the_dense_rows_once(spark):
