@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numeric import avg_if, clip
 from .neighbours import cosine_graph
 from .panel import DAY, ID
-from .ranking import exact_quantiles, global_quantiles, mean_ranks
+from .ranking import exact_quantiles, global_quantiles, grouped_quantiles, mean_ranks
 
 
 def level_bins(means: DataFrame, m: str = "m", bins: int = 5) -> DataFrame:
@@ -58,13 +58,13 @@ def cluster_ratio(means: DataFrame, clusters: DataFrame, m: str = "m") -> DataFr
 def cluster_day_deviation(df: DataFrame, clusters: DataFrame, v: str = "f") -> DataFrame:
     """Daily medians per cluster and the mean absolute / low-share deviation of each series from them."""
     x = df.join(clusters, ID)
-    q = exact_quantiles(x, v, {"med": .5}, by=["cluster", DAY])
+    q = grouped_quantiles(x, v, {"med": .5}, by=["cluster", DAY])  # clusters x days rows
     x = x.join(F.broadcast(q), ["cluster", DAY])
     return x.groupBy(ID, "cluster").agg(F.avg(F.abs(F.col(v) - F.col("med"))).alias("abs_dev"), F.avg((F.col(v) < F.col("med")).cast("double")).alias("below_share"))
 
 
 def day_medians(df: DataFrame, v: str = "value") -> DataFrame:
-    return exact_quantiles(df, v, {"median": .5}, by=[DAY])
+    return grouped_quantiles(df, v, {"median": .5}, by=[DAY])
 
 
 def global_rank(means: DataFrame, m: str = "m") -> DataFrame:

@@ -42,3 +42,13 @@ def test_components_are_smoothed_where_entropies_are_taken(spark):
     for s in (0, 2):
         a = np.array(sorted(want[s]))
         assert np.allclose([got[s, c] for c in names], [complexity.fuzzy_entropy_of(a[:, i + 1]) for i in range(len(names))], atol=1e-9)
+
+
+def test_cluster_day_deviation_keeps_no_sketch_for_each_day(spark):
+    rows, df = _rows(spark)
+    out = peers.cluster_day_deviation(df, spark.range(12).selectExpr("id as series_id", "cast(id % 3 as int) as cluster"))
+    assert "approx" not in _plan(out)
+    v = np.array([r[3] for r in rows]).reshape(12, 80)
+    for r in out.collect():
+        med = np.median(v[r.series_id % 3::3], axis=0)
+        assert np.allclose([r.abs_dev, r.below_share], [np.abs(v[r.series_id] - med).mean(), (v[r.series_id] < med).mean()])
