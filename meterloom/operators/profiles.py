@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import avg_if, div, entropy_term, share
 from . import clean as C
 from .panel import DAY, ID, by_day, moving_average_mirrored, whole
-from .ranking import exact_quantiles, global_quantiles, mean_ranks
+from .ranking import counted_quantiles, exact_quantiles, global_quantiles, grouped_quantiles, mean_ranks
 from .runs import run_stats, with_cumulative_deviation
 from .series_stats import nz, pct, safe_corr
 
@@ -284,17 +284,26 @@ def behaviour_profile(panel: DataFrame, means: DataFrame | None = None) -> DataF
 def cohort_features(df: DataFrame, cohorts: DataFrame, cutoff: int, v: str = "f") -> DataFrame:
     """Level against the cohort (low share, daily-median ratio), recent level, rank drop, within-month change."""
     x = df.join(cohorts, ID)
-    p15 = exact_quantiles(x, v, {"p15": .15}, by=["cohort"])
-    med = exact_quantiles(x, v, {"cmed": .5}, by=["cohort", DAY])  # cohorts x days rows
+    counts = x.groupBy("cohort", DAY, v).agg(F.count(F.lit(1)).alias("_c"))
+    p15 = counted_quantiles(counts, v, {"p15": .15}, ["cohort"], "_c")
+    med = grouped_quantiles(counts, v, {"cmed": .5}, ["cohort", DAY], "_c")  # cohorts x days rows
     x = x.join(F.broadcast(p15), "cohort").join(F.broadcast(med), ["cohort", DAY])
     d, n = F.col(DAY), F.col("n_days")
-    wv = W.partitionBy(ID).orderBy(v)
-    tie = F.count(F.lit(1)).over(W.partitionBy(ID, v))
-    x = x.withColumn("_rank", (F.rank().over(wv) + (tie - 1) / 2.0) / n).withColumn("_ratio", F.col(v) / (F.col("cmed") + 1e-6))
-    hist = avg_if(v, d < cutoff)
-    g = x.groupBy(ID).agg(share(F.col(v) < F.greatest(F.col("p15"), F.lit(0.01))).alias("low_ratio"), (avg_if(v, d >= n - 30) / (hist + 1e-6)).alias("recent30"),
-                          (avg_if(v, d >= n - 90) / (hist + 1e-6)).alias("recent90"), F.avg("_ratio").alias("peer_dev"), share(F.col("_ratio") < 0.5).alias("peer_low"),
-                          (avg_if("_rank", d >= n - 90) - avg_if("_rank", d < cutoff)).alias("rank_drop"))
+    x = x.withColumn("_ratio", F.col(v) / (F.col("cmed") + 1e-6))
+    # days of equal value are one row from here on: all that follows is a sum over them, and they share a rank
+    parts = {"30": d >= n - 30, "90": d >= n - 90, "hist": d < cutoff}
+    x = x.groupBy(ID, v).agg(F.count(F.lit(1)).alias("_c"), F.first("n_days").alias("n_days"), F.first("p15").alias("p15"), F.sum("_ratio").alias("_ratio"),
+                             F.count("_ratio").alias("_ratios"), F.count_if(F.col("_ratio") < 0.5).alias("_low"), *[F.count_if(c).alias(f"_c{k}") for k, c in parts.items()])
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(ID).orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_rank", (before + (F.col("_c") + 1) / 2.0) / n)
+
+    def mean(of: str, k: str) -> Column:
+        return div(F.sum(F.col(of) * F.when(F.col(f"_c{k}") > 0, F.col(f"_c{k}"))), F.sum(F.when(F.col(of).isNotNull(), F.col(f"_c{k}"))))
+
+    every, hist = F.sum("_c"), mean(v, "hist")
+    g = x.groupBy(ID).agg((F.sum(F.when(F.col(v) < F.greatest(F.col("p15"), F.lit(0.01)), F.col("_c")).otherwise(0)) / every).alias("low_ratio"),
+                          (mean(v, "30") / (hist + 1e-6)).alias("recent30"), (mean(v, "90") / (hist + 1e-6)).alias("recent90"), div(F.sum("_ratio"), F.sum("_ratios")).alias("peer_dev"),
+                          (F.sum("_low") / every).alias("peer_low"), (mean("_rank", "90") - mean("_rank", "hist")).alias("rank_drop"))
     wm = W.partitionBy(ID, F.month("dt"))
     m = df.withColumn("_k", F.row_number().over(wm.orderBy(DAY)) - 1).withColumn("_c", F.count(F.lit(1)).over(wm))
     m = m.withColumn("_h", F.floor(F.col("_c") / 2))

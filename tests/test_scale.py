@@ -52,3 +52,17 @@ def test_cluster_day_deviation_keeps_no_sketch_for_each_day(spark):
     for r in out.collect():
         med = np.median(v[r.series_id % 3::3], axis=0)
         assert np.allclose([r.abs_dev, r.below_share], [np.abs(v[r.series_id] - med).mean(), (v[r.series_id] < med).mean()])
+
+
+def test_cohort_features_rank_values_not_days(spark):
+    rows, df = _rows(spark, 10, 200)
+    out = profiles.cohort_features(df, spark.range(10).selectExpr("id as series_id", "cast(id % 2 as int) as cohort"), 60)
+    assert "approx" not in _plan(out) and not re.search(r"\brank\(", _plan(out))
+    v = np.array([r[3] for r in rows]).reshape(10, 200)
+    for r in out.collect():
+        x, peer = v[r.series_id], v[r.series_id % 2::2]
+        rank = np.array([(x < a).sum() + ((x == a).sum() + 1) / 2 for a in x]) / 200
+        ratio = x / (np.median(peer, axis=0) + 1e-6)
+        assert np.allclose([r.low_ratio, r.recent30, r.recent90, r.peer_dev, r.peer_low, r.rank_drop],
+                           [(x < max(np.quantile(peer, .15), 0.01)).mean(), x[-30:].mean() / (x[:60].mean() + 1e-6), x[-90:].mean() / (x[:60].mean() + 1e-6), ratio.mean(), (ratio < 0.5).mean(),
+                            rank[-90:].mean() - rank[:60].mean()])
