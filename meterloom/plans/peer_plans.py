@@ -115,7 +115,7 @@ def _(spark, sf):
 
 @query("day_medians", "I-11", "WITH " + PANEL + " SELECT day_idx, quantile_cont(value, 0.5) AS median FROM panel WHERE value IS NOT NULL GROUP BY 1")
 def _(spark, sf):
-    return PE.day_medians(T.panel(spark, sf))
+    return PE.day_medians(P.with_day_index(T.readings(spark, sf)).where("day_idx is not null"))  # missing days have no value
 
 
 @query("global_rank", "I-11", sel(READINGS + """,

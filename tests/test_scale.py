@@ -44,6 +44,16 @@ def test_components_are_smoothed_where_entropies_are_taken(spark):
         assert np.allclose([got[s, c] for c in names], [complexity.fuzzy_entropy_of(a[:, i + 1]) for i in range(len(names))], atol=1e-9)
 
 
+def test_day_medians_keep_no_sketch_for_each_day(spark):
+    rows, df = _rows(spark)
+    df = df.withColumn("value", F.when(F.col("f") > 0, F.col("f")))
+    out = peers.day_medians(df)
+    assert "approx" not in _plan(out)
+    got = {r.day_idx: r["median"] for r in out.collect()}
+    want = {d: np.median([f for _, e, _, f in rows if e == d and f > 0]) for d in range(80) if any(e == d and f > 0 for _, e, _, f in rows)}
+    assert got == want
+
+
 def test_cluster_day_deviation_keeps_no_sketch_for_each_day(spark):
     rows, df = _rows(spark)
     out = peers.cluster_day_deviation(df, spark.range(12).selectExpr("id as series_id", "cast(id % 3 as int) as cluster"))
