@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import clip, col
 from ..session import cut_lineage
 from .panel import DAY, ID, _emit_days, _indexed, by_day, moving_average, whole
-from .ranking import exact_quantiles, global_quantiles
+from .ranking import exact_quantiles, global_quantiles, weighted_quantiles
 
 
 def sanitize(x: str | Column) -> Column:
@@ -134,9 +134,8 @@ def winsorize_log(df: DataFrame, value: str = "f", lo: float = 0.01, hi: float =
 def winsorize_by_fold(df: DataFrame, folds: DataFrame, n_folds: int, value: str = "f") -> DataFrame:
     """Every fold is transformed with bounds fitted on the other folds only (no leakage)."""
     rows = df.join(folds, ID)
-    others = rows.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)),
-                                            lambda k: k != F.col("fold"))).alias("fold"), value)
-    stats = exact_quantiles(others, value, {"lo": .01, "hi": .99, "p95": .95, "p99": .99, "p999": .999}, by=["fold"])
+    others = {k: (F.col("fold") != k).cast("long") for k in range(n_folds)}
+    stats = weighted_quantiles(rows, value, {"lo": .01, "hi": .99, "p95": .95, "p99": .99, "p999": .999}, others, "fold")
     x = F.least(F.greatest(F.col(value), F.col("lo")), F.col("hi"))
     return rows.join(F.broadcast(stats), "fold").withColumn("transformed", F.log1p(F.greatest(x, F.lit(0.0))))
 

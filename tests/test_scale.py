@@ -76,3 +76,15 @@ def test_cohort_features_rank_values_not_days(spark):
         assert np.allclose([r.low_ratio, r.recent30, r.recent90, r.peer_dev, r.peer_low, r.rank_drop],
                            [(x < max(np.quantile(peer, .15), 0.01)).mean(), x[-30:].mean() / (x[:60].mean() + 1e-6), x[-90:].mean() / (x[:60].mean() + 1e-6), ratio.mean(), (ratio < 0.5).mean(),
                             rank[-90:].mean() - rank[:60].mean()])
+
+
+def test_fold_bounds_count_each_row_once(spark):
+    rows, df = _rows(spark)
+    folds = spark.range(12).selectExpr("id as series_id", "cast(id % 3 as int) as fold")
+    out = clean.winsorize_by_fold(df, folds, 3)
+    assert "approx" not in _plan(out)
+    v = np.array([r[3] for r in rows]).reshape(12, 80)
+    got = {r.fold: r for r in out.select("fold", "lo", "hi", "p95", "p99", "p999").distinct().collect()}
+    assert len(got) == 3 and out.count() == 960
+    for k, r in got.items():
+        assert np.allclose(r[1:], np.quantile(v[[s for s in range(12) if s % 3 != k]], [.01, .99, .95, .99, .999]))
