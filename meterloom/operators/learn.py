@@ -6,7 +6,9 @@ scored by a model that saw it. The training frame should be materialized before
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +18,8 @@ from . import metrics as M
 from .folds import mixed
 
 Factory = Callable[[int], Estimator]
+#: Folds fitted at once.
+FITS = 5
 
 
 def gbt(seed: int, iters: int = 5, depth: int = 3, early_stop: bool = True, weight: str | None = None, leaf: str | None = None) -> GBTClassifier:
@@ -43,11 +47,16 @@ def with_features(df: DataFrame, cols: list[str], out: str = "features") -> Data
 
 def oof(df: DataFrame, make: Factory, folds: int, out: str = "p", keep: list[str] | None = None, id_col: str = "id", target: str = "classes") -> DataFrame:
     """id, y, fold and the out-of-fold score. `holdout` marks a tenth of the training rows for early stopping."""
-    parts = None
     cols = [id_col, "y", "fold", *(keep or [])]
-    for f in range(folds):
-        train = df.where(F.col("fold") != f).withColumn("holdout", mixed(id_col, 1000 + f) % 10 == 0)
-        model = make(42 + f).fit(train)
+    train = [df.where(F.col("fold") != f).withColumn("holdout", mixed(id_col, 1000 + f) % 10 == 0) for f in range(folds)]
+
+    def fitted(f: int):
+        return inheritable_thread_target(df.sparkSession)(lambda: make(42 + f).fit(train[f]))()
+
+    with ThreadPoolExecutor(max(1, min(folds, FITS))) as pool:  # a fit is many short jobs, which leave cores idle
+        models = list(pool.map(fitted, range(folds)))
+    parts = None
+    for f, model in enumerate(models):
         scored = model.transform(df.where(F.col("fold") == f))
         p = F.get(vector_to_array("probability"), F.lit(1)) if target == "classes" else F.col("prediction")
         s = scored.select(*cols, p.cast("double").alias(out))

@@ -1,5 +1,6 @@
 """Work that grew faster than it had to: results on odd rows and the shape of the plans."""
 import re
+import threading
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -88,3 +89,22 @@ def test_fold_bounds_count_each_row_once(spark):
     assert len(got) == 3 and out.count() == 960
     for k, r in got.items():
         assert np.allclose(r[1:], np.quantile(v[[s for s in range(12) if s % 3 != k]], [.01, .99, .95, .99, .999]))
+
+
+def test_learners_pass_over_few_tasks(spark, tmp_path, monkeypatch):
+    """A frame with a row for each series is held in tasks that follow its rows, not those that made the panel; folds are fitted at once."""
+    from meterloom import session
+    from meterloom.operators import learn
+    from meterloom.plans import learn_plans
+
+    spark.range(6_000).selectExpr("id % 300 as l_suppkey", "date_add(date'2024-01-01', cast(id % 70 as int)) as l_shipdate", "cast(id % 11 as double) as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    session.tune(spark)
+    x = learn_plans.series_frame(spark, str(tmp_path))
+    assert x.count() == 300 and x.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert all(ids == sorted(ids) for ids in x.select("id").rdd.map(lambda r: r.id).glom().collect())
+    threads, fit = set(), learn.LogisticRegression.fit
+    monkeypatch.setattr(learn.LogisticRegression, "fit", lambda self, rows: threads.add(threading.get_ident()) or fit(self, rows))
+    s = learn.oof(learn.with_features(x, ["mean", "std"]), learn.logistic, 5)
+    assert {r.id: r.fold for r in s.collect()} == {r.id: r.fold for r in x.collect()} and len(threads) > 1
+    session.tune(spark)
