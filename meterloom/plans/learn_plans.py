@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..operators import boosting as B, clean as C, extra_trees as X, isotonic as ISO, learn as L, metrics as M, pool as K, runs as RU, sampling as SA, select as SE, series_stats as S
 from ..operators.folds import series_folds, series_labels, stratified_folds
-from ..session import cut_lineage, gathered, pass_tasks
+from ..session import cut_lineage, gathered
 from ..sources import tables as T
 from .catalog import query
 from .metric_plans import SERIES, auc_sql, series_scored, with_subgroup_of
@@ -201,7 +201,7 @@ def series_frame(spark, sf):
     panel is made once."""
     x = cut_lineage(series_scored(spark, sf))
     f = stratified_folds(x.select("series_id", "y"), K_FOLDS).select("series_id", "fold")
-    return gathered(x.join(f, "series_id").withColumnRenamed("series_id", "id"), "id", pass_tasks(x))
+    return gathered(x.join(f, "series_id").withColumnRenamed("series_id", "id"), "id")
 
 
 @query("gbt_oof", "H-12, H-14")

@@ -14,3 +14,13 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def own_settings():
+    """What a query set for itself does not reach the next test."""
+    yield
+    from pyspark.sql import SparkSession
+
+    if live := SparkSession.getActiveSession():
+        session.tune(live)
